@@ -114,7 +114,7 @@ def section_lines(
     pieces = source.select(
         "doc_id",
         opening.alias("opening"),
-        F.explode(header_pieces(_numbered(F.col("text")), grammar, LINE_LABEL)).alias("piece"),
+        F.explode_outer(header_pieces(_numbered(F.col("text")), grammar, LINE_LABEL)).alias("piece"),
     ).select(
         "doc_id",
         F.when(headed, grammar.title(_unlabelled(first_line)))
@@ -124,7 +124,7 @@ def section_lines(
         F.array_remove(F.split("piece", "\n", -1), "").alias("labelled"),
     )
     return (
-        pieces.select("doc_id", "section", "headed", F.posexplode("labelled").alias("at", "labelled"))
+        pieces.select("doc_id", "section", "headed", F.posexplode_outer("labelled").alias("at", "labelled"))
         .select(
             "doc_id",
             F.substring_index("labelled", "\t", 1).cast("int").alias("line_no"),

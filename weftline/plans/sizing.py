@@ -26,3 +26,20 @@ def fetch_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """The rows of ``df`` as one Arrow table, or None when there are too many."""
     table = df.limit(max_rows + 1).toArrow()
     return table if table.num_rows <= max_rows else None
+
+
+SMALL_INPUT_PARTITIONS = 64
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of a few splits enough tasks for heavy per-row work.
+
+    Only an input of fewer than ``SMALL_INPUT_PARTITIONS`` partitions that would
+    leave cores idle is moved; a large scan has splits enough and is left alone.
+    ``key`` should be unique, so the spread is even and the same on a retry.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, SMALL_INPUT_PARTITIONS)
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, key)
