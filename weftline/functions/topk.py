@@ -91,7 +91,9 @@ class TopK:
         self.ids = self.ids.take(pa.array(best)).combine_chunks()
         self.settled = len(self.query)
 
-    def table(self, query_ids: pa.Array, query_name: str, score_name: str) -> pa.Table | None:
+    def table(
+        self, query_ids: pa.Array | pa.ChunkedArray, query_name: str, score_name: str
+    ) -> pa.Table | None:
         if self.ids is None:
             return None
         self._settle()
@@ -104,3 +106,50 @@ def cosine_block(best: TopK, queries: np.ndarray, vectors: np.ndarray, ids: pa.T
     """Score a block in slices of queries, so memory stays flat."""
     for at in range(0, len(queries), QUERY_ROWS):
         best.add(at, cosine(queries[at : at + QUERY_ROWS], vectors), ids)
+
+
+DOCUMENT_ROWS = 512
+
+
+def bm25_block(
+    best: TopK,
+    queries: pa.Table,
+    documents: pa.Table,
+    ids: list[str],
+    average_length: float,
+    k1: float,
+    b: float,
+) -> None:
+    """Score a block of documents by BM25.
+
+    ``queries`` holds terms and weights (the idf of each term), ``documents``
+    terms, tfs and doc_len. Only terms of the queries get a column; a document
+    that shares no term with a query has no score.
+    """
+    for at in range(0, queries.num_rows, QUERY_ROWS):
+        asked = queries.slice(at, QUERY_ROWS)
+        asked_terms = asked.column("terms").combine_chunks()
+        vocabulary = pc.unique(asked_terms.flatten())
+        weights = np.zeros((asked.num_rows, len(vocabulary)))
+        weights[
+            _parents(asked_terms), pc.index_in(asked_terms.flatten(), vocabulary).to_numpy()
+        ] = asked.column("weights").combine_chunks().flatten().to_numpy()
+        for start in range(0, documents.num_rows, DOCUMENT_ROWS):
+            held = documents.slice(start, DOCUMENT_ROWS)
+            terms = held.column("terms").combine_chunks()
+            column = pc.index_in(terms.flatten(), vocabulary)
+            known = pc.is_valid(column).to_numpy(zero_copy_only=False)
+            row = _parents(terms)[known]
+            length = held.column("doc_len").to_numpy().astype(np.float64)
+            tf = held.column("tfs").combine_chunks().flatten().to_numpy()[known].astype(np.float64)
+            saturated = np.zeros((held.num_rows, len(vocabulary)))
+            saturated[row, column.drop_null().to_numpy()] = (
+                tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average_length))
+            )
+            scores = weights @ saturated.T
+            best.add(at, np.where(scores > 0, np.round(scores, 6), np.nan), held.select(ids))
+
+
+def _parents(lists: pa.ListArray) -> np.ndarray:
+    """For each value of a list column, the row it belongs to."""
+    return pc.list_parent_indices(lists).to_numpy()

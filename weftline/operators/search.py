@@ -13,7 +13,7 @@ decided in Spark:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -30,132 +30,165 @@ from weftline.plans import sizing
 
 MAX_TRAVELLING_ROWS = 20_000
 MAX_GROUPS = 100_000
-SLICE_VECTORS = 20_000
+SLICE_CANDIDATES = 20_000
 SLICE_QUERIES = 4_096
 
+# Scores a block of candidates against a block of queries into a TopK.
+Scorer = Callable[[topk.TopK, pa.Table, pa.Table], None]
 
-def _schema(queries: DataFrame, vectors: DataFrame, ids: list[str], score: str) -> T.StructType:
-    fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
-    fields += [T.StructField(c, vectors.schema[c].dataType) for c in ids]
-    return T.StructType([*fields, T.StructField(score, T.DoubleType())])
 
+def cosine_scorer(ids: list[str]) -> Scorer:
+    def score(best: topk.TopK, queries: pa.Table, candidates: pa.Table) -> None:
+        topk.cosine_block(
+            best,
+            topk.matrix(queries.column("embedding")),
+            topk.matrix(candidates.column("embedding")),
+            candidates.select(ids),
+        )
 
-def ranked(best: DataFrame, id_col: str, k: int, score: str = "sim") -> DataFrame:
-    """Final cut over the k best of every task. The row_number filter also runs
-    before the shuffle, as a group limit."""
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(score), F.col(id_col))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return score
 
 
-def cosine_topk(
+def best_matches(
     queries: DataFrame,
-    vectors: DataFrame,
+    candidates: DataFrame,
+    ids: list[str],
     k: int,
-    exclude_self: bool = False,
+    scorer: Scorer,
+    score: str,
     max_travelling: int = MAX_TRAVELLING_ROWS,
 ) -> DataFrame:
-    """Exact k nearest vectors of each query: query_id, ids, sim, rank.
-
-    ``queries`` holds query_id and embedding; ``vectors`` an id column, any
-    further columns to carry along, and embedding. ``exclude_self`` drops the
-    vector whose id equals the query's.
-    """
-    ids = [c for c in vectors.columns if c != "embedding"]
-    schema = _schema(queries, vectors, ids, "sim")
-    keep = k + 1 if exclude_self else k
-    small = sizing.fetch_bounded(queries.select("query_id", "embedding"), max_travelling)
+    """The best k candidates per query and task, over all candidates: query_id,
+    ids, score. ``ids[0]`` breaks ties. Picks the plan by the number of queries;
+    ``ranked`` makes the final cut."""
+    schema = _schema(queries, candidates, ids, score)
+    small = sizing.fetch_bounded(queries, max_travelling)
     if small is not None:
-        best = _with_travelling_queries(small, vectors.select(*ids, "embedding"), ids, keep, schema)
+        best = with_travelling_queries(small, candidates, k, scorer, schema)
     else:
-        best = _in_slices(
-            queries.withColumn("cell", F.lit(0)), vectors.withColumn("cell", F.lit(0)), ids, keep, schema
+        best = in_slices(
+            queries.withColumn("cell", F.lit(0)),
+            candidates.withColumn("cell", F.lit(0)),
+            k,
+            scorer,
+            schema,
         )
-    if exclude_self:
-        best = best.where(F.col(ids[0]) != F.col("query_id"))
-    return ranked(best, ids[0], k)
+    return best
+
+
+def ranked(best: DataFrame, id_col: str, k: int, score: str = "sim") -> DataFrame:
+    """Final cut over the k best of every task. The row_number filter also runs
+    before the shuffle, as a group limit."""
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(score), F.col(id_col))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _with_travelling_queries(
-    small: pa.Table, vectors: DataFrame, ids: list[str], k: int, schema: T.StructType
+def _schema(queries: DataFrame, candidates: DataFrame, ids: list[str], score: str) -> T.StructType:
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
+    fields += [T.StructField(c, candidates.schema[c].dataType) for c in ids]
+    return T.StructType([*fields, T.StructField(score, T.DoubleType())])
+
+
+def with_travelling_queries(
+    small: pa.Table, candidates: DataFrame, k: int, scorer: Scorer, schema: T.StructType
 ) -> DataFrame:
+    """Every partition of candidates keeps its k best per query."""
+    score = schema.fields[-1].name
+
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids = small.column("query_id").combine_chunks()
-        if len(query_ids) == 0:
-            return
-        queries = topk.matrix(small.column("embedding"))
         best = topk.TopK(k)
         for batch in batches:
-            if batch.num_rows:
-                block = pa.Table.from_batches([batch])
-                topk.cosine_block(best, queries, topk.matrix(block.column("embedding")), block.select(ids))
-        found = best.table(query_ids, "query_id", "sim")
+            if batch.num_rows and small.num_rows:
+                scorer(best, small, pa.Table.from_batches([batch]))
+        found = best.table(small.column("query_id"), "query_id", score)
         if found is not None:
             yield from found.to_batches()
 
-    return vectors.mapInArrow(best_of_partition, schema)
+    return candidates.mapInArrow(best_of_partition, schema)
 
 
-def _in_slices(
-    queries: DataFrame, vectors: DataFrame, ids: list[str], k: int, schema: T.StructType
+def in_slices(
+    queries: DataFrame, candidates: DataFrame, k: int, scorer: Scorer, schema: T.StructType
 ) -> DataFrame:
-    """Best k per query within the cells it is routed to.
+    """Best k per query among the candidates of the cells it is routed to.
 
-    ``queries``: one row per (query_id, cell); ``vectors``: one row per vector.
+    ``queries`` has one row per (query_id, cell), ``candidates`` one per
+    candidate. A cell is cut into slices on both sides; each pair of slices is
+    one group, so a hot cell becomes many groups of bounded size.
     """
-    n_slices = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
+    names = [f.name for f in schema.fields]
+    ids, score = names[1:-1], names[-1]
+    slices = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
     shapes = (
-        vectors.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n_vectors"))
+        candidates.groupBy("cell")
+        .agg(F.count(F.lit(1)).alias("n_candidates"))
         .join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries")), "cell")
         .select(
             "cell",
-            n_slices("n_vectors", SLICE_VECTORS).alias("v_slices"),
-            n_slices("n_queries", SLICE_QUERIES).alias("q_slices"),
+            slices("n_candidates", SLICE_CANDIDATES).alias("c_slices"),
+            slices("n_queries", SLICE_QUERIES).alias("q_slices"),
         )
     )
     known = sizing.fetch_bounded(shapes, MAX_GROUPS)
     if known is not None:
-        shapes = F.broadcast(vectors.sparkSession.createDataFrame(known, shapes.schema))
+        shapes = F.broadcast(candidates.sparkSession.createDataFrame(known, shapes.schema))
     slot = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sliced_vectors = (
-        vectors.join(shapes, "cell")
-        .withColumn("v_slice", slot(ids[0], "v_slices"))
+    counts = ["c_slices", "q_slices"]
+    sliced_candidates = (
+        candidates.join(shapes, "cell")
+        .withColumn("c_slice", slot(ids[0], "c_slices"))
         .withColumn("q_slice", every("q_slices"))
-        .select("cell", "v_slice", "q_slice", *ids, "embedding")
+        .drop(*counts)
     )
     sliced_queries = (
         queries.join(shapes, "cell")
         .withColumn("q_slice", slot("query_id", "q_slices"))
-        .withColumn("v_slice", every("v_slices"))
-        .select("cell", "v_slice", "q_slice", "query_id", "embedding")
+        .withColumn("c_slice", every("c_slices"))
+        .drop(*counts)
     )
-    columns = [f.name for f in schema.fields]
 
-    def best_of_group(left: pa.Table, right: pa.Table) -> pa.Table:
+    def best_of_group(held: pa.Table, asked: pa.Table) -> pa.Table:
         best = topk.TopK(k)
-        if left.num_rows and right.num_rows:
-            topk.cosine_block(
-                best,
-                topk.matrix(right.column("embedding")),
-                topk.matrix(left.column("embedding")),
-                left.select(ids),
-            )
-        found = best.table(right.column("query_id").combine_chunks(), "query_id", "sim")
-        if found is None:
-            empty = {"query_id": right.schema.field("query_id").type, "sim": pa.float64()}
-            empty.update({c: left.schema.field(c).type for c in ids})
-            return pa.table({c: pa.array([], type=empty[c]) for c in columns})
-        return found
-
-    keys = ["cell", "v_slice", "q_slice"]
+        if held.num_rows and asked.num_rows:
+            scorer(best, asked, held)
+        found = best.table(asked.column("query_id"), "query_id", score)
+        if found is not None:
+            return found
+        kinds = {"query_id": asked.schema.field("query_id").type, score: pa.float64()}
+        kinds.update({c: held.schema.field(c).type for c in ids})
+        return pa.table({c: pa.array([], type=kinds[c]) for c in names})
+
+    keys = ["cell", "c_slice", "q_slice"]
     return (
-        sliced_vectors.groupBy(*keys)
+        sliced_candidates.groupBy(*keys)
         .cogroup(sliced_queries.groupBy(*keys))
         .applyInArrow(best_of_group, schema)
     )
 
 
+def cosine_topk(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    exclude_self: bool = False,
+    max_travelling: int = MAX_TRAVELLING_ROWS,
+) -> DataFrame:
+    """Exact k nearest vectors of each query: query_id, ids, sim, rank.
+
+    ``queries`` holds query_id and embedding; ``vectors`` an id column, any
+    further columns to carry along, and embedding. ``exclude_self`` drops the
+    vector whose id equals the query's.
+    """
+    ids = [c for c in vectors.columns if c != "embedding"]
+    asked = queries.select("query_id", "embedding")
+    keep = k + 1 if exclude_self else k
+    best = best_matches(asked, vectors, ids, keep, cosine_scorer(ids), "sim", max_travelling)
+    if exclude_self:
+        best = best.where(F.col(ids[0]) != F.col("query_id"))
+    return ranked(best, ids[0], k)
+
+
 # --- cells -----------------------------------------------------------------
 
 
@@ -242,7 +275,7 @@ def cosine_topk_ivf(
     routed = queries.select("query_id", "embedding").join(routes, "query_id")
     schema = _schema(queries, celled, ids, "sim")
     keep = k + 1 if exclude_self else k
-    best = _in_slices(routed, celled.select("cell", *ids, "embedding"), ids, keep, schema)
+    best = in_slices(routed, celled.select("cell", *ids, "embedding"), keep, cosine_scorer(ids), schema)
     if exclude_self:
         best = best.where(F.col(ids[0]) != F.col("query_id"))
     return ranked(best, ids[0], k)
