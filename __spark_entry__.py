@@ -12,16 +12,37 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
-from weftline.operators import chunking, embedding, search, sections  # noqa: E402
+from weftline.operators import (  # noqa: E402
+    billing,
+    chunking,
+    embedding,
+    fulltext,
+    health,
+    indexing,
+    locations,
+    search,
+    sections,
+    tenancy,
+)
 from weftline.operators.sections import SHORT_LINES  # noqa: E402
 from weftline.plans.sizing import spread_small_input  # noqa: E402
-from weftline.sources.tables import load_table  # noqa: E402
-from weftline.sources.workspace import stage  # noqa: E402
+from weftline.sources.snapshots import snapshot_export, snapshot_import_clean  # noqa: E402
+from weftline.sources.tables import load_table, schema_of  # noqa: E402
+from weftline.sources.versions import VersionStore  # noqa: E402
+from weftline.sources.workspace import fresh_path, stage  # noqa: E402
+from weftline.streaming import indexes as index_stream  # noqa: E402
+from weftline.streaming import locations as location_stream  # noqa: E402
 
 K = 10
 NPROBE = 4
 DIM = 64
 
+TENANT = "AMERICA"
+ENABLED = ("AMERICA", "ASIA", "EUROPE")
+RUN_DATE = "1998-11-01"
+DAILY_RUN_DATE = "1998-10-04"
+AS_OF = "1998-01-15"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +51,7 @@ def _table(name: str) -> Query:
 
 
 embeddings, benchmark = _table("embeddings"), _table("benchmark")
+orders, customer, events = _table("orders"), _table("customer"), _table("events")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +101,227 @@ def ivf_cells_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ivf_cells(vectors, search.kmeans_centroids(vectors, cells=16))
 
 
+# --- index upkeep ----------------------------------------------------------
+# The corpus before: every document not in Spanish, as it is. The corpus now: no
+# document labelled toxic, and a note at the end of those of low quality. So
+# Spanish documents are inserts, noted ones updates, toxic ones deletes.
+
+NOTE = "\nReviewed: low quality."
+
+
+def old_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where(F.col("lang") != "es")
+
+
+def new_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load_table(spark, sf_dir, "labels")
+    toxic = labels.where(F.col("toxic") == 1).select("doc_id")
+    low = labels.where(F.col("quality") == 0).select("doc_id", "quality")
+    noted = F.when(F.col("quality").isNotNull(), F.concat("text", F.lit(NOTE)))
+    return (
+        documents(spark, sf_dir)
+        .join(toxic, "doc_id", "left_anti")
+        .join(low, "doc_id", "left")
+        .withColumn("text", F.coalesce(noted, "text"))
+        .drop("quality")
+    )
+
+
+def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.index_diff(
+        indexing.index_state(old_corpus(spark, sf_dir)),
+        indexing.index_state(new_corpus(spark, sf_dir)),
+    )
+
+
+def index_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old_index = stage(indexing.full_rebuild(old_corpus(spark, sf_dir)), "old-index")
+    diff = stage(index_diff(spark, sf_dir), "diff")
+    return indexing.index_apply(old_index, diff, new_corpus(spark, sf_dir))
+
+
+def _store(spark: SparkSession) -> VersionStore:
+    return VersionStore(spark, fresh_path(spark, "store"))
+
+
+def full_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark).replace("chunks", indexing.full_rebuild(new_corpus(spark, sf_dir)))
+
+
+def full_rebuild_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark)
+    store.drop("points")
+    return store.replace("points", indexing.point_index(documents(spark, sf_dir)))
+
+
+def dual_target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark)
+    index_stream.update_indexes(store, documents(spark, sf_dir), complete=True)
+    reports = [
+        store.current(table)
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_docs"))
+        .select(F.lit(table).alias("target"), "rows", "distinct_docs")
+        for table, key in (("chunks", "doc_id"), ("points", "point_id"))
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+def index_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark)
+    arriving = (
+        spark.readStream.schema(schema_of("documents"))
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf_dir)
+    )
+    index_stream.start_index_updates(arriving, store, fresh_path(spark, "offsets")).awaitTermination()
+    return store.current("chunks")
+
+
+# --- full text -------------------------------------------------------------
+
+
+def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenants = documents(spark, sf_dir).withColumnRenamed("source", "tenant")
+    counts = stage(fulltext.term_counts(tenants, ["tenant"]), "term-counts")
+    frequencies = stage(fulltext.document_frequencies(counts, ["tenant"]), "frequencies")
+    return fulltext.fulltext_postings(counts, frequencies, ["tenant"])
+
+
+def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = documents(spark, sf_dir)
+    counts = stage(fulltext.term_counts(held), "term-counts")
+    return fulltext.fulltext_topk(benchmark(spark, sf_dir), counts, held.count(), K)
+
+
+# --- accounts --------------------------------------------------------------
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (load_table(spark, sf_dir, t) for t in ("nation", "region"))
+    return tenancy.tenant_accounts(customer(spark, sf_dir), nation, region)
+
+
+def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enabled = spark.createDataFrame([(t,) for t in ENABLED], "tenant string")
+    return tenancy.tenant_scope(accounts(spark, sf_dir), enabled)
+
+
+def _run(spark: SparkSession, sf_dir: str, period: str, date: str, tenant: str | None) -> DataFrame:
+    """A run after an earlier one that stopped: accounts of the BUILDING segment
+    are billed already."""
+    segment = customer(spark, sf_dir).where(F.col("c_mktsegment") == "BUILDING")
+    everyone = accounts(spark, sf_dir)
+    earlier = everyone.join(segment, everyone["account"] == segment["c_custkey"], "left_semi")
+    charges = orders(spark, sf_dir)
+    existing = billing.billing_run(charges, earlier, date, tenant, period=period)
+    return billing.billing_run(charges, everyone, date, tenant, existing, period).drop("tenant")
+
+
+def billing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, billing.MONTH, RUN_DATE, TENANT)
+
+
+def billing_run_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, billing.DAY, DAILY_RUN_DATE, None)
+
+
+def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return billing.autopay_run(
+        billing.all_invoices(orders(spark, sf_dir)), billing.funds(customer(spark, sf_dir))
+    )
+
+
+def autopay_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paid(spark, sf_dir).select(
+        "account", "period_start", "amount", "applied", "balance", "status"
+    )
+
+
+def _issued(invoices: DataFrame) -> DataFrame:
+    return invoices.where(F.col("issued") <= F.to_date(F.lit(AS_OF)))
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("c_mktsegment") == "HOUSEHOLD", billing.COMPLIANT).when(
+        F.col("c_mktsegment") == "MACHINERY", billing.DELINQUENT
+    )
+    return (
+        customer(spark, sf_dir)
+        .select(F.col("c_custkey").alias("account"), mark.alias("mark"))
+        .where(F.col("mark").isNotNull())
+    )
+
+
+def invoice_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issued = _issued(billing.all_invoices(orders(spark, sf_dir)))
+    marked = billing.invoice_mark(issued, _marks(spark, sf_dir), AS_OF)
+    return marked.select("account", "period_start", "due_date", "due_date_marked")
+
+
+def invoice_delinquency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return billing.invoice_delinquency(_issued(_paid(spark, sf_dir)), AS_OF)
+
+
+def delinquency_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balances = billing.invoice_mark(_issued(_paid(spark, sf_dir)), _marks(spark, sf_dir), AS_OF)
+    return billing.delinquency_transitions(
+        billing.invoice_delinquency(balances, AS_OF),
+        billing.invoice_delinquency(balances, AS_OF, due="due_date_marked"),
+    )
+
+
+# --- snapshots -------------------------------------------------------------
+
+SNAPSHOT_TABLES = (
+    "region", "nation", "customer", "orders", "events", "documents", "embeddings",
+    "benchmark", "labels", "pages", "conversations",
+)
+
+
+def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: load_table(spark, sf_dir, t) for t in SNAPSHOT_TABLES}
+    return snapshot_export(spark, tables, fresh_path(spark, "snapshot"))
+
+
+def import_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, store = fresh_path(spark, "snapshot"), _store(spark)
+    snapshot_export(spark, {"documents": load_table(spark, sf_dir, "documents")}, path)
+    snapshot_import_clean(spark, path, {"documents": schema_of("documents")}, store)
+    return store.current("documents")
+
+
+# --- locations -------------------------------------------------------------
+
+
+def location_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log holds three kinds of event; the batch brings every event."""
+    path = fresh_path(spark, "locations")
+    batch = events(spark, sf_dir)
+    held = batch.where(F.col("event_type").isin("signup", "view", "error"))
+    locations.write_log(locations.with_day(held), path)
+    return locations.location_append(spark, path, batch)
+
+
+def location_append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "locations")
+    arriving = (
+        spark.readStream.schema(schema_of("events"))
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    repeated = arriving.unionByName(arriving.where(F.col("event_type").isin("signup", "view")))
+    location_stream.start_location_log(
+        repeated, path, fresh_path(spark, "offsets")
+    ).awaitTermination()
+    return spark.read.schema(schema_of("events")).parquet(path).select(arriving.columns)
+
+
+def location_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locations.location_latest(events(spark, sf_dir))
+
+
 # --- contract --------------------------------------------------------------
 
 
@@ -98,6 +341,34 @@ def queries() -> dict[str, Query]:
         "ivf_cells": ivf_cells,
         "cosine_topk_ivf": cosine_topk_ivf,
         "ivf_cells_kmeans": ivf_cells_kmeans,
+        "index_diff": index_diff,
+        "index_apply": index_apply,
+        "index_apply_stream": index_apply_stream,
+        "full_rebuild": full_rebuild,
+        "point_index": on_documents(indexing.point_index),
+        "point_vectors": on_documents(indexing.point_vectors),
+        "full_rebuild_points": full_rebuild_points,
+        "dual_target_index": dual_target_index,
+        "chunk_index_health": on_documents(
+            lambda d: health.chunk_index_health(chunking.chunk_documents(d))
+        ),
+        "vector_index_health": on_documents(
+            lambda d: health.vector_index_health(indexing.point_index(d))
+        ),
+        "fulltext_postings": fulltext_postings,
+        "fulltext_topk": fulltext_topk,
+        "tenant_scope": tenant_scope,
+        "billing_run": billing_run,
+        "billing_run_daily": billing_run_daily,
+        "autopay_run": autopay_run,
+        "invoice_mark": invoice_mark,
+        "invoice_delinquency": invoice_delinquency,
+        "delinquency_transitions": delinquency_transitions,
+        "snapshot_export": export_all,
+        "snapshot_import_clean": import_documents,
+        "location_append": location_append,
+        "location_append_stream": location_append_stream,
+        "location_latest": location_latest,
     }
 
 

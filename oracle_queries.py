@@ -98,6 +98,116 @@ cell_ranks AS (
 )"""
 
 
+CORPORA = """
+old_docs AS (SELECT doc_id, text, lang FROM documents WHERE lang <> 'es'),
+new_docs AS (
+  SELECT doc_id, lang,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+              THEN text || chr(10) || 'Reviewed: low quality.' ELSE text END AS text
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)"""
+
+TENANTS = """
+accounts AS (
+  SELECT c_custkey AS account, r_name AS tenant, c_mktsegment AS segment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+)"""
+
+INVOICES = """
+invoices AS (
+  SELECT o_custkey AS account, date_trunc('month', o_orderdate)::DATE AS period_start,
+         sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS amount
+  FROM orders GROUP BY ALL
+),
+dated AS (
+  SELECT *, (period_start + INTERVAL 1 MONTH)::DATE AS issued,
+         (period_start + INTERVAL 1 MONTH)::DATE + 30 AS due_date
+  FROM invoices
+),
+prior AS (
+  SELECT *, coalesce(sum(amount) OVER (PARTITION BY account ORDER BY period_start
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dated
+),
+paid AS (
+  SELECT p.*, greatest(0, least(amount,
+           (greatest(c_acctbal, 0) * 100)::DECIMAL(18,2) - before))::DECIMAL(28,2) AS applied
+  FROM prior p JOIN customer ON account = c_custkey
+),
+balances AS (SELECT *, (amount - applied)::DECIMAL(28,2) AS balance FROM paid),
+marked AS (
+  SELECT b.*, CASE c_mktsegment WHEN 'MACHINERY' THEN DATE '1998-01-14'
+                                WHEN 'HOUSEHOLD' THEN DATE '1998-01-16'
+                                ELSE due_date END AS due_date_marked
+  FROM balances b JOIN customer ON account = c_custkey
+  WHERE issued <= DATE '1998-01-15'
+)"""
+
+
+def delinquency(due: str) -> str:
+    late = f"balance > 0 AND {due} < DATE '1998-01-15'"
+    return f"""SELECT account,
+         CASE WHEN bool_or({late}) THEN 'delinquent' ELSE 'compliant' END AS status,
+         sum(CASE WHEN {late} THEN balance ELSE 0 END)::DECIMAL(28,2) AS past_due,
+         min(CASE WHEN {late} THEN {due} END) AS oldest_due
+  FROM marked GROUP BY account"""
+
+
+def billed(start: str, end: str, where: str) -> str:
+    return f"""
+WITH {TENANTS}
+SELECT concat_ws(':', tenant, account, '{start}') AS invoice_key, account,
+       DATE '{start}' AS period_start, DATE '{end}' + 30 AS due_date,
+       count(*) AS n_charges, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS amount
+FROM orders JOIN accounts ON o_custkey = account
+WHERE o_orderdate >= TIMESTAMP '{start}' AND o_orderdate < TIMESTAMP '{end}'
+  AND segment <> 'BUILDING' AND {where}
+GROUP BY tenant, account"""
+
+
+POINTS = r"""
+points AS (
+  SELECT doc_id AS point_id, lang AS layer,
+         nullif(regexp_extract(text, '^([^.\n]{1,60}\.)', 1), '') AS summary
+  FROM documents
+)"""
+
+# Columns of the snapshot tables by how their values are spelled in the hash.
+SNAPSHOT_COLUMNS: dict[str, str] = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:num c_mktsegment",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:num o_orderdate:time o_orderpriority",
+    "events": "event_id ts:time user_id event_type value:num props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding:list label",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "pages": "page_id url html",
+    "conversations": "conv_id turn role text",
+}
+
+SPELLED = {
+    "": "{c}::VARCHAR",
+    "num": "{c}::DECIMAL(28,6)::VARCHAR",
+    "time": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+    "list": "array_to_string([x::DOUBLE::DECIMAL(28,6)::VARCHAR FOR x IN {c}], ',')",
+}
+
+
+def snapshot_hash(table: str) -> str:
+    spelled = []
+    for column in SNAPSHOT_COLUMNS[table].split():
+        name, _, kind = column.partition(":")
+        spelled.append(f"coalesce({SPELLED[kind].format(c=name)}, chr(0))")
+    row = f"concat_ws(chr(31), {', '.join(spelled)})"
+    return f"""
+SELECT '{table}' AS "table", count(*) AS rows,
+       coalesce(sum(('0x' || substr(md5({row}), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS content_hash
+FROM {table}"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -178,4 +288,103 @@ scored AS (
 SELECT query_id, vec_id, sim,
        (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id))::INTEGER AS rank
 FROM scored QUALIFY rank <= 10"""
+
+    # --- index upkeep ---
+    sql["index_diff"] = f"""
+WITH {CORPORA}
+SELECT doc_id, CASE WHEN o.text IS NULL THEN 'insert' WHEN n.text IS NULL THEN 'delete'
+                    WHEN o.text <> n.text THEN 'update' ELSE 'unchanged' END AS change
+FROM old_docs o FULL OUTER JOIN new_docs n USING (doc_id)"""
+    rebuilt = f"WITH {CORPORA}, {chunks('new_docs')} SELECT * FROM chunks"
+    sql["index_apply"] = rebuilt
+    sql["full_rebuild"] = rebuilt
+    sql["index_apply_stream"] = sql["chunk_documents"]
+    sql["point_index"] = f"WITH {POINTS} SELECT * FROM points"
+    sql["full_rebuild_points"] = sql["point_index"]
+    sql["point_vectors"] = f"""
+WITH {counted("documents", "doc_id", "counted")}
+SELECT doc_id AS point_id, bucket, round(n / norm, 6) AS weight FROM counted"""
+    sql["dual_target_index"] = f"""
+WITH {chunks()}
+SELECT 'chunks' AS target, count(*) AS rows, count(DISTINCT doc_id) AS distinct_docs FROM chunks
+UNION ALL
+SELECT 'points', count(*), count(DISTINCT doc_id) FROM documents"""
+
+    # --- health ---
+    sql["chunk_index_health"] = f"""
+WITH {chunks()}
+SELECT layer, count(*) AS n_chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+       round(count(symbol) / count(*), 6) AS symbol_coverage
+FROM chunks GROUP BY layer"""
+    sql["vector_index_health"] = f"""
+WITH {POINTS}
+SELECT layer, count(*) AS n_points, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+       round(count(summary) / count(*), 6) AS summary_coverage
+FROM points GROUP BY layer"""
+
+    # --- full text ---
+    sql["fulltext_postings"] = f"""
+WITH tokens AS (
+  SELECT source AS tenant, doc_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term
+  FROM documents
+),
+counts AS (
+  SELECT tenant, term, doc_id, count(*)::INTEGER AS tf FROM tokens WHERE term <> '' GROUP BY ALL
+)
+SELECT tenant, term, doc_id, tf, count(*) OVER (PARTITION BY tenant, term) AS df FROM counts"""
+    sql["fulltext_topk"] = f"""
+WITH tokens AS (
+  SELECT doc_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term FROM documents
+),
+counts AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tokens WHERE term <> '' GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS dl FROM counts GROUP BY doc_id),
+corpus AS (
+  SELECT (SELECT count(*) FROM documents)::DOUBLE AS n,
+         (SELECT sum(tf) FROM counts) / (SELECT count(*) FROM documents) AS avgdl
+),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM counts GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term FROM benchmark)
+  WHERE term <> ''
+),
+scored AS (
+  SELECT item_id, doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+                   / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM asked JOIN counts USING (term) JOIN df USING (term) JOIN lengths USING (doc_id)
+  CROSS JOIN corpus
+  GROUP BY ALL
+)
+SELECT item_id, doc_id, score,
+       (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+FROM scored QUALIFY rank <= 10"""
+
+    # --- accounts ---
+    sql["tenant_scope"] = f"""
+WITH {TENANTS}
+SELECT account AS c_custkey, tenant FROM accounts WHERE tenant IN ('AMERICA', 'ASIA', 'EUROPE')"""
+    sql["billing_run"] = billed("1998-10-01", "1998-11-01", "tenant = 'AMERICA'")
+    sql["billing_run_daily"] = billed("1998-10-03", "1998-10-04", "true")
+    sql["autopay_run"] = f"""
+WITH {INVOICES}
+SELECT account, period_start, amount, applied, balance,
+       CASE WHEN balance = 0 THEN 'paid' WHEN applied > 0 THEN 'partial' ELSE 'open' END AS status
+FROM balances"""
+    sql["invoice_mark"] = f"""
+WITH {INVOICES} SELECT account, period_start, due_date, due_date_marked FROM marked"""
+    sql["invoice_delinquency"] = f"WITH {INVOICES} {delinquency('due_date')}"
+    sql["delinquency_transitions"] = f"""
+WITH {INVOICES}, old AS ({delinquency('due_date')}), new AS ({delinquency('due_date_marked')})
+SELECT account, old.status AS old_status, new.status AS new_status
+FROM old FULL OUTER JOIN new USING (account) WHERE old.status IS DISTINCT FROM new.status"""
+
+    # --- snapshots and locations ---
+    sql["snapshot_export"] = "\nUNION ALL".join(snapshot_hash(t) for t in SNAPSHOT_COLUMNS)
+    sql["snapshot_import_clean"] = "SELECT * FROM documents"
+    sql["location_append"] = "SELECT * FROM events"
+    sql["location_append_stream"] = "SELECT * FROM events"
+    sql["location_latest"] = """
+SELECT user_id, event_id, ts, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
     return sql
