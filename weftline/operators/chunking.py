@@ -29,11 +29,11 @@ _STAND_IN = "\ufffe"
 
 def _symbols(blocks: Column, grammar: Grammar) -> Column:
     """One header (or null) per block: the last one at or before its start."""
-    clean = F.transform(blocks, lambda b: F.translate(b, _START, _STAND_IN))
+    clean = F.transform(blocks, lambda b: F.replace(b, F.lit(_START), F.lit(_STAND_IN)))
     marked = F.concat(F.lit(_START), F.array_join(clean, _START))
     # A start inside a line moves to the front of the line: the header in force
     # stays the same, and no header line is left with a mark inside.
-    marked = F.regexp_replace(marked, rf"(?<![^\n])([^\n{_START}]*){_START}", rf"{_START}$1")
+    marked = F.regexp_replace(marked, rf"(?dm)^([^\n{_START}]*){_START}", rf"{_START}$1")
     label = f"{_START}?"
 
     def per_piece(piece: Column) -> Column:

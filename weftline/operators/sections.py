@@ -73,7 +73,7 @@ SHORT_LINES = Grammar(
 def header_pieces(text: Column, grammar: Grammar, label: str = "") -> Column:
     """``text`` cut in front of each header line. ``label`` is a pattern for
     what stands before each line's own text."""
-    return F.split(text, rf"(?<![^\n])(?={label}{grammar.header})", -1)
+    return F.split(text, rf"(?dm)^(?={label}{grammar.header})", -1)
 
 
 def opens_with_header(piece: Column, grammar: Grammar, label: str = "") -> Column:
