@@ -32,6 +32,7 @@ MAX_TRAVELLING_ROWS = 20_000
 MAX_GROUPS = 100_000
 SLICE_CANDIDATES = 20_000
 SLICE_QUERIES = 4_096
+ROUTE = "route__"
 
 # Scores a block of candidates against a block of queries into a TopK.
 Scorer = Callable[[topk.TopK, pa.Table, pa.Table], None]
@@ -67,8 +68,8 @@ def best_matches(
         best = with_travelling_queries(small, candidates, k, scorer, schema)
     else:
         best = in_slices(
-            queries.withColumn("cell", F.lit(0)),
-            candidates.withColumn("cell", F.lit(0)),
+            queries.withColumn(ROUTE, F.lit(0)),
+            candidates.withColumn(ROUTE, F.lit(0)),
             k,
             scorer,
             schema,
@@ -110,21 +111,21 @@ def with_travelling_queries(
 def in_slices(
     queries: DataFrame, candidates: DataFrame, k: int, scorer: Scorer, schema: T.StructType
 ) -> DataFrame:
-    """Best k per query among the candidates of the cells it is routed to.
+    """Best k per query among the candidates that share its route.
 
-    ``queries`` has one row per (query_id, cell), ``candidates`` one per
-    candidate. A cell is cut into slices on both sides; each pair of slices is
+    ``queries`` has one row per query and route, ``candidates`` one per
+    candidate. A route is cut into slices on both sides; each pair of slices is
     one group, so a hot cell becomes many groups of bounded size.
     """
     names = [f.name for f in schema.fields]
     ids, score = names[1:-1], names[-1]
     slices = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
     shapes = (
-        candidates.groupBy("cell")
+        candidates.groupBy(ROUTE)
         .agg(F.count(F.lit(1)).alias("n_candidates"))
-        .join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries")), "cell")
+        .join(queries.groupBy(ROUTE).agg(F.count(F.lit(1)).alias("n_queries")), ROUTE)
         .select(
-            "cell",
+            ROUTE,
             slices("n_candidates", SLICE_CANDIDATES).alias("c_slices"),
             slices("n_queries", SLICE_QUERIES).alias("q_slices"),
         )
@@ -136,17 +137,19 @@ def in_slices(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     counts = ["c_slices", "q_slices"]
     sliced_candidates = (
-        candidates.join(shapes, "cell")
+        candidates.join(shapes, ROUTE)
         .withColumn("c_slice", slot(ids[0], "c_slices"))
         .withColumn("q_slice", every("q_slices"))
         .drop(*counts)
     )
     sliced_queries = (
-        queries.join(shapes, "cell")
+        queries.join(shapes, ROUTE)
         .withColumn("q_slice", slot("query_id", "q_slices"))
         .withColumn("c_slice", every("c_slices"))
         .drop(*counts)
     )
+    # Queries and candidates may be the same table: give one side its own columns.
+    sliced_queries = sliced_queries.select(*[F.col(c).alias(c) for c in sliced_queries.columns])
 
     def best_of_group(held: pa.Table, asked: pa.Table) -> pa.Table:
         best = topk.TopK(k)
@@ -159,7 +162,7 @@ def in_slices(
         kinds.update({c: held.schema.field(c).type for c in ids})
         return pa.table({c: pa.array([], type=kinds[c]) for c in names})
 
-    keys = ["cell", "c_slice", "q_slice"]
+    keys = [ROUTE, "c_slice", "q_slice"]
     return (
         sliced_candidates.groupBy(*keys)
         .cogroup(sliced_queries.groupBy(*keys))
@@ -272,10 +275,13 @@ def cosine_topk_ivf(
     """
     ids = [c for c in celled.columns if c not in ("embedding", "cell")]
     routes = nearest_cells(queries, centroids, nprobe, "query_id").select("query_id", "cell")
-    routed = queries.select("query_id", "embedding").join(routes, "query_id")
+    routed = queries.select("query_id", "embedding").join(
+        routes.withColumnRenamed("cell", ROUTE), "query_id"
+    )
     schema = _schema(queries, celled, ids, "sim")
     keep = k + 1 if exclude_self else k
-    best = in_slices(routed, celled.select("cell", *ids, "embedding"), keep, cosine_scorer(ids), schema)
+    held = celled.select(F.col("cell").alias(ROUTE), *ids, "embedding")
+    best = in_slices(routed, held, keep, cosine_scorer(ids), schema)
     if exclude_self:
         best = best.where(F.col(ids[0]) != F.col("query_id"))
     return ranked(best, ids[0], k)
