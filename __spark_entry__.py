@@ -85,7 +85,7 @@ def ivf_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ivf(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     vectors = vectors.select("vec_id", "embedding")
-    celled = stage(search.ivf_cells(vectors, centroids).join(vectors, "vec_id"), "celled")
+    celled = stage(search.ivf_index(vectors, centroids), "celled")
     return search.cosine_topk_ivf(
         _as_queries(vectors), celled, centroids, K, NPROBE, exclude_self=True
     )
@@ -266,6 +266,7 @@ def invoice_delinquency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delinquency_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     balances = billing.invoice_mark(_issued(_paid(spark, sf_dir)), _marks(spark, sf_dir), AS_OF)
+    balances = stage(balances, "balances")
     return billing.delinquency_transitions(
         billing.invoice_delinquency(balances, AS_OF),
         billing.invoice_delinquency(balances, AS_OF, due="due_date_marked"),

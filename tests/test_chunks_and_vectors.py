@@ -161,7 +161,7 @@ def test_all_cells_probed_equals_exact(spark, small, monkeypatch):
     vectors = load_table(spark, small, "embeddings")
     centroids = search.label_centroids(vectors, 64)
     plain = vectors.select("vec_id", "embedding")
-    celled = search.ivf_cells(vectors, centroids).join(plain, "vec_id").cache()
+    celled = search.ivf_index(plain, centroids).cache()
     queries = plain.withColumnRenamed("vec_id", "query_id")
     exact = search.cosine_topk(queries, plain, 10, exclude_self=True)
     same_rows(exact, search.cosine_topk_ivf(queries, celled, centroids, 10, 10, exclude_self=True))
@@ -171,7 +171,7 @@ def test_recall_grows_with_probes(spark, small):
     vectors = load_table(spark, small, "embeddings")
     plain = vectors.select("vec_id", "embedding").cache()
     centroids = search.kmeans_centroids(vectors, cells=12)
-    celled = search.ivf_cells(plain, centroids).join(plain, "vec_id").cache()
+    celled = search.ivf_index(plain, centroids).cache()
     assert celled.count() == plain.count()
     queries = plain.withColumnRenamed("vec_id", "query_id")
     exact = search.cosine_topk(queries, plain, 10).select("query_id", "vec_id").cache()
@@ -187,6 +187,7 @@ def test_many_centroids_take_the_sliced_plan(spark, small):
     centroids = search.label_centroids(vectors, 64)
     few = search.nearest_cells(vectors, centroids, 3)
     many = search.nearest_cells(vectors, centroids, 3, max_travelling=2)
+    assert few.count() == 3 * vectors.count()
     same_rows(few, many)
 
 

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from weftline.functions.hashing import table_hash
 from weftline.operators import chunking, fulltext, health, indexing
 from weftline.plans import ordering, sizing, skew
-from weftline.sources import snapshots
+from weftline.sources import snapshots, workspace
 from weftline.sources.tables import load_table, schema_of
 from weftline.sources.versions import VersionStore
-from weftline.sources.workspace import fresh_path, shared_folder, stage
+from weftline.sources.workspace import fresh_path, stage
 from weftline.streaming import indexes
 
 
@@ -240,5 +240,21 @@ def test_size_checks(spark):
     assert sizing.spread_small_input(spark.range(0, 9, 1, 9), "id").rdd.getNumPartitions() == 9
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session(spark, monkeypatch):
+    named = spark.conf.get(workspace.CHECKPOINT_DIR, None)
+    assert named is None or workspace.shared_folder(spark) == named.rstrip("/")
+    monkeypatch.setattr(workspace, "CHECKPOINT_DIR", "spark.weftline.no.such.setting")
+    own = workspace.shared_folder(spark)
+    assert own != named and workspace.shared_folder(spark) == own
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, name, default):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        workspace.shared_folder(Session())

@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 # Tasks get these helpers by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERY_ROWS = 1024
+QUERY_ROWS = 512
+VECTOR_ROWS = 8192
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -103,9 +104,11 @@ class TopK:
 
 
 def cosine_block(best: TopK, queries: np.ndarray, vectors: np.ndarray, ids: pa.Table) -> None:
-    """Score a block in slices of queries, so memory stays flat."""
-    for at in range(0, len(queries), QUERY_ROWS):
-        best.add(at, cosine(queries[at : at + QUERY_ROWS], vectors), ids)
+    """Score two blocks in slices, so memory does not grow with their product."""
+    for start in range(0, len(vectors), VECTOR_ROWS):
+        held, held_ids = vectors[start : start + VECTOR_ROWS], ids.slice(start, VECTOR_ROWS)
+        for at in range(0, len(queries), QUERY_ROWS):
+            best.add(at, cosine(queries[at : at + QUERY_ROWS], held), held_ids)
 
 
 DOCUMENT_ROWS = 512

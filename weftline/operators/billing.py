@@ -89,13 +89,13 @@ def all_invoices(orders: DataFrame, period: str = MONTH) -> DataFrame:
     """Every calendar period's invoice of every account: account, period_start,
     issued, due_date, n_charges, amount."""
     _check_period(period)
-    issued = (
-        F.to_date(F.add_months("period_start", 1)) if period == MONTH else F.date_add("period_start", 1)
-    )
+    day = F.to_date("o_orderdate")
+    start = F.trunc(day, "month") if period == MONTH else day
+    issued = F.add_months("period_start", 1) if period == MONTH else F.date_add("period_start", 1)
     return (
         orders.groupBy(
             F.col("o_custkey").alias("account"),
-            F.to_date(F.date_trunc(period, "o_orderdate")).alias("period_start"),
+            start.alias("period_start"),
         )
         .agg(F.count(F.lit(1)).alias("n_charges"), _amount().alias("amount"))
         .withColumn("issued", issued)

@@ -15,6 +15,8 @@ from weftline.plans.sizing import broadcast_if_small
 K1 = 1.2
 B = 0.75
 
+SLICE_DOCUMENTS = 20_000
+
 
 def term_counts(documents: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """One row per document and term: scope columns, term, doc_id, tf, doc_len.
@@ -86,7 +88,7 @@ def fulltext_topk(
     def score(best: topk.TopK, asked: pa.Table, block: pa.Table) -> None:
         topk.bm25_block(best, asked, block, ["doc_id"], average_length, K1, B)
 
-    best = search.best_matches(weighted, held, ["doc_id"], k, score, "score", max_travelling)
+    best = search.best_matches(weighted, held, ["doc_id"], k, score, "score", max_travelling, SLICE_DOCUMENTS)
     return search.ranked(best.where(F.col("score").isNotNull()), "doc_id", k, "score").withColumnRenamed(
         "query_id", "item_id"
     )

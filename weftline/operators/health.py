@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.workspace import stage
+
 
 def _health(table: DataFrame, count_name: str, covered: str, coverage_name: str) -> DataFrame:
-    layers = table.groupBy("layer").agg(
-        F.count(F.lit(1)).alias(count_name), F.count(covered).alias("covered__")
-    )
+    counts = [F.count(F.lit(1)).alias(count_name), F.count(covered).alias("covered__")]
+    # Stored, so that the table is read once for the counts and for their total.
+    layers = stage(table.groupBy("layer").agg(*counts), "layers")
     total = layers.agg(F.sum(count_name)).scalar()
     return layers.select(
         "layer",

@@ -30,8 +30,8 @@ from weftline.plans import sizing
 
 MAX_TRAVELLING_ROWS = 20_000
 MAX_GROUPS = 100_000
-SLICE_CANDIDATES = 20_000
-SLICE_QUERIES = 4_096
+SLICE_CANDIDATES = 100_000
+SLICE_QUERIES = 50_000
 ROUTE = "route__"
 
 # Scores a block of candidates against a block of queries into a TopK.
@@ -58,6 +58,7 @@ def best_matches(
     scorer: Scorer,
     score: str,
     max_travelling: int = MAX_TRAVELLING_ROWS,
+    slice_candidates: int | None = None,
 ) -> DataFrame:
     """The best k candidates per query and task, over all candidates: query_id,
     ids, score. ``ids[0]`` breaks ties. Picks the plan by the number of queries;
@@ -73,6 +74,7 @@ def best_matches(
             k,
             scorer,
             schema,
+            slice_candidates,
         )
     return best
 
@@ -109,7 +111,12 @@ def with_travelling_queries(
 
 
 def in_slices(
-    queries: DataFrame, candidates: DataFrame, k: int, scorer: Scorer, schema: T.StructType
+    queries: DataFrame,
+    candidates: DataFrame,
+    k: int,
+    scorer: Scorer,
+    schema: T.StructType,
+    slice_candidates: int | None = None,
 ) -> DataFrame:
     """Best k per query among the candidates that share its route.
 
@@ -126,7 +133,7 @@ def in_slices(
         .join(queries.groupBy(ROUTE).agg(F.count(F.lit(1)).alias("n_queries")), ROUTE)
         .select(
             ROUTE,
-            slices("n_candidates", SLICE_CANDIDATES).alias("c_slices"),
+            slices("n_candidates", slice_candidates or SLICE_CANDIDATES).alias("c_slices"),
             slices("n_queries", SLICE_QUERIES).alias("q_slices"),
         )
     )
@@ -224,40 +231,41 @@ def nearest_cells(
     id_col: str = "vec_id",
     max_travelling: int = MAX_TRAVELLING_ROWS,
 ) -> DataFrame:
-    """The n nearest cells of every vector: id_col, cell, rank. Ties go to the
-    lower cell. Centroids travel with the task, so no row of ``vectors`` moves."""
-    points = vectors.select(F.col(id_col).alias("query_id"), "embedding")
-    small = sizing.fetch_bounded(centroids.select("cell", "embedding"), max_travelling)
+    """The n nearest cells of every vector: the columns of ``vectors`` and cell.
+
+    Ties go to the lower cell. Centroids are few (counted first) and travel with
+    the task, so no row of ``vectors`` is shuffled.
+    """
+    centres = centroids.select("cell", "embedding")
+    small = sizing.fetch_bounded(centres, max_travelling)
     if small is None:
-        found = cosine_topk(points, centroids.select("cell", "embedding"), n, max_travelling=0)
-        return found.select(F.col("query_id").alias(id_col), "cell", "rank")
+        points = vectors.select(F.col(id_col).alias("query_id"), "embedding")
+        found = cosine_topk(points, centres, n, max_travelling=0)
+        return vectors.join(found.select(F.col("query_id").alias(id_col), "cell"), id_col)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = small.select(["cell"])
-        if cells.num_rows == 0:
-            return
-        centres = topk.matrix(small.column("embedding"))
+        cells, centre = small.select(["cell"]), topk.matrix(small.column("embedding"))
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and cells.num_rows:
                 best = topk.TopK(n)
-                topk.cosine_block(best, topk.matrix(batch.column("embedding")), centres, cells)
-                found = best.table(batch.column("query_id"), id_col, "sim")
-                position = topk.positions(best.query)
-                yield from found.drop_columns(["sim"]).append_column("rank", pa.array(position)).to_batches()
-
-    schema = T.StructType(
-        [
-            T.StructField(id_col, points.schema["query_id"].dataType),
-            T.StructField("cell", centroids.schema["cell"].dataType),
-            T.StructField("rank", T.IntegerType()),
-        ]
-    )
-    return points.mapInArrow(assign, schema)
+                topk.cosine_block(best, topk.matrix(batch.column("embedding")), centre, cells)
+                chosen = best.table(pa.array(range(batch.num_rows)), "at", "sim")
+                rows = pa.Table.from_batches([batch]).take(chosen.column("at"))
+                yield from rows.append_column("cell", chosen.column("cell")).to_batches()
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", centroids.schema["cell"].dataType)])
+    return vectors.mapInArrow(assign, schema)
+
+
+def ivf_index(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Coarse quantiser (Jegou et al. 2011): every vector with its nearest cell.
+    Store the result; it is the index."""
+    return nearest_cells(vectors, centroids, 1, id_col)
 
 
 def ivf_cells(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Coarse quantiser (Jegou et al. 2011): each vector's nearest cell."""
-    return nearest_cells(vectors, centroids, 1, id_col).select(id_col, "cell")
+    """id_col and cell of every vector."""
+    return ivf_index(vectors.select(id_col, "embedding"), centroids, id_col).select(id_col, "cell")
 
 
 def cosine_topk_ivf(
@@ -274,10 +282,9 @@ def cosine_topk_ivf(
     ``nprobe`` is the number of cells.
     """
     ids = [c for c in celled.columns if c not in ("embedding", "cell")]
-    routes = nearest_cells(queries, centroids, nprobe, "query_id").select("query_id", "cell")
-    routed = queries.select("query_id", "embedding").join(
-        routes.withColumnRenamed("cell", ROUTE), "query_id"
-    )
+    routed = nearest_cells(
+        queries.select("query_id", "embedding"), centroids, nprobe, "query_id"
+    ).withColumnRenamed("cell", ROUTE)
     schema = _schema(queries, celled, ids, "sim")
     keep = k + 1 if exclude_self else k
     held = celled.select(F.col("cell").alias(ROUTE), *ids, "embedding")

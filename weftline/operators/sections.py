@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.plans import ordering
+from weftline.sources.workspace import stage
 
 # The marker grammar and the name of the opening section.
 DEFAULT_SECTION = "General"
@@ -199,7 +200,8 @@ def section_summary(
     """Sections that have entries: section, first_doc, first_line, n_entries,
     max_name_len. Sort by (first_doc, first_line) for the listing order.
     ``max_name_len`` is the longest name of all sections."""
-    sections = _per_section(documents, grammar, carry_across_docs)
+    # Stored, so that the text is read once for the rows and for the width.
+    sections = stage(_per_section(documents, grammar, carry_across_docs), "sections")
     longest = sections.agg(F.max("longest")).scalar()
     return sections.where(F.col("n_entries") > 0).select(
         "section",

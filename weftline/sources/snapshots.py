@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import table_hash
-from weftline.sources.versions import VersionStore
+from weftline.sources.versions import Version, VersionStore
+
+T = TypeVar("T")
 
 MANIFEST = "manifest"
+TABLES_AT_ONCE = 4
 MANIFEST_SCHEMA = "table string, rows bigint, content_hash string"
 
 
@@ -23,13 +29,13 @@ def snapshot_export(spark: SparkSession, tables: Mapping[str, DataFrame], path:
     content_hash. Rows and hash are observed while a table is written, so the
     data is read once. A folder without manifest is no snapshot.
     """
-    found = []
-    for name, df in tables.items():
-        seen = Observation(name)
-        df.observe(
-            seen, F.count(F.lit(1)).alias("rows"), table_hash(df.schema).alias("content_hash")
-        ).write.parquet(f"{path}/{name}")
-        found.append((name, seen.get["rows"], seen.get["content_hash"]))
+
+    def export(name: str) -> tuple[str, int, str]:
+        observed, seen = _observed(tables[name])
+        observed.write.parquet(f"{path}/{name}")
+        return name, seen.get["rows"], seen.get["content_hash"]
+
+    found = _at_once(spark, export, tables)
     manifest = spark.createDataFrame(found, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.parquet(f"{path}/{MANIFEST}")
     return read_manifest(spark, path)
@@ -52,16 +58,29 @@ def snapshot_import_clean(
     missing = sorted(set(schemas) - set(expected))
     if missing:
         raise SnapshotError(f"not in the snapshot: {', '.join(missing)}")
-    staged = {}
-    for name, schema in schemas.items():
-        df = spark.read.schema(schema).option("mode", "FAILFAST").parquet(f"{path}/{name}")
-        seen = Observation(name)
-        checked = df.observe(
-            seen, F.count(F.lit(1)).alias("rows"), table_hash(df.schema).alias("content_hash")
-        )
-        staged[name] = store.write(checked, name)
+
+    def copy(name: str) -> tuple[str, Version]:
+        df = spark.read.schema(schemas[name]).option("mode", "FAILFAST").parquet(f"{path}/{name}")
+        observed, seen = _observed(df)
+        version = store.write(observed, name)
         got = (seen.get["rows"], seen.get["content_hash"])
         if got != expected[name]:
             raise SnapshotError(f"{name}: manifest says {expected[name]}, data is {got}")
-    store.publish(staged)
-    return sorted(staged)
+        return name, version
+
+    copies = dict(_at_once(spark, copy, schemas))
+    store.publish(copies)
+    return sorted(copies)
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its row count and content hash taken while it is written."""
+    seen = Observation()
+    measures = F.count(F.lit(1)).alias("rows"), table_hash(df.schema).alias("content_hash")
+    return df.observe(seen, *measures), seen
+
+
+def _at_once(spark: SparkSession, job: Callable[[str], T], names: Iterable[str]) -> list[T]:
+    """Submit one Spark job per table side by side; the first failure is raised."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(job), names))

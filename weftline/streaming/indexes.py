@@ -53,15 +53,14 @@ def start_index_updates(documents: DataFrame, store: VersionStore, checkpoint: s
     """Upsert a stream of documents into both indexes, all that is available.
 
     A batch may be delivered again after a failure; applying it twice changes
-    nothing. Within a batch a document counts once.
+    nothing. Within a batch a document counts once; the batch is stored first, so
+    every table is derived from the same choice. Bound the size of a batch with
+    ``maxFilesPerTrigger`` on the source.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        once = batch.dropDuplicates(["doc_id"]).persist()
-        try:
-            update_indexes(store, once, complete=False)
-        finally:
-            once.unpersist()
+        once = store.read(store.write(batch.dropDuplicates(["doc_id"]), "arrivals"))
+        update_indexes(store, once, complete=False)
 
     return (
         documents.writeStream.foreachBatch(upsert)
