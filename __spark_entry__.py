@@ -184,15 +184,14 @@ def index_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = documents(spark, sf_dir).withColumnRenamed("source", "tenant")
-    counts = stage(fulltext.term_counts(tenants, ["tenant"]), "term-counts")
-    frequencies = stage(fulltext.document_frequencies(counts, ["tenant"]), "frequencies")
-    return fulltext.fulltext_postings(counts, frequencies, ["tenant"])
+    index = stage(fulltext.document_terms(tenants, ["tenant"]), "terms")
+    frequencies = stage(fulltext.document_frequencies(index, ["tenant"]), "frequencies")
+    return fulltext.fulltext_postings(index, frequencies, ["tenant"])
 
 
 def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = documents(spark, sf_dir)
-    counts = stage(fulltext.term_counts(held), "term-counts")
-    return fulltext.fulltext_topk(benchmark(spark, sf_dir), counts, held.count(), K)
+    index = stage(fulltext.document_terms(documents(spark, sf_dir)), "terms")
+    return fulltext.fulltext_topk(benchmark(spark, sf_dir), index, K)
 
 
 # --- accounts --------------------------------------------------------------

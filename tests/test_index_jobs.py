@@ -113,12 +113,22 @@ def test_health(spark):
 
 def test_salted_postings_equal_plain(spark, tiny):
     docs = load_table(spark, tiny, "documents")
-    counts = stage(fulltext.term_counts(docs, ["source"]), "counts")
-    frequencies = stage(fulltext.document_frequencies(counts, ["source"]), "df")
-    plain = fulltext.fulltext_postings(counts, frequencies, ["source"])
-    salted = fulltext.fulltext_postings(counts, frequencies, ["source"], hot_rows=3)
+    index = stage(fulltext.document_terms(docs, ["source"]), "terms")
+    frequencies = stage(fulltext.document_frequencies(index, ["source"]), "df")
+    plain = fulltext.fulltext_postings(index, frequencies, ["source"])
+    shuffled = fulltext.fulltext_postings(index, frequencies, ["source"], max_broadcast=5)
+    salted = fulltext.fulltext_postings(index, frequencies, ["source"], hot_rows=3, max_broadcast=5)
+    same_rows(plain, shuffled)
     same_rows(plain, salted)
-    assert plain.count() == counts.count()
+    assert plain.count() == index.agg(F.sum(F.size("terms"))).first()[0]
+
+
+def test_document_terms_do_not_shuffle_and_keep_empty_documents(spark):
+    docs = spark.createDataFrame([(1, "b a B"), (2, "?"), (3, "")], "doc_id bigint, text string")
+    index = fulltext.document_terms(docs)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.doc_len, dict(zip(r.terms, r.tfs))) for r in index.collect()}
+    assert got == {1: (3, {"a": 1, "b": 2}), 2: (0, {}), 3: (0, {})}
 
 
 def test_hot_key_is_spread(spark):
@@ -126,7 +136,7 @@ def test_hot_key_is_spread(spark):
         F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), "id"
     )
     per_key = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    got = skew.join_per_key(facts, per_key, ["key"], "n", F.col("id"), hot_rows=100)
+    got = skew.join_per_key(facts, per_key, ["key"], "n", F.col("id"), hot_rows=100, max_broadcast=5)
     assert got.count() == 3000
     assert rows(got.groupBy("n").count()) == [(1, 2000), (1000, 1000)]
 
@@ -136,7 +146,7 @@ def test_bm25_against_brute_force(spark, tiny, max_travelling, monkeypatch):
     import math
     import re
 
-    monkeypatch.setattr(fulltext.search, "SLICE_CANDIDATES", 30)
+    monkeypatch.setattr(fulltext, "SLICE_DOCUMENTS", 30)
     monkeypatch.setattr(fulltext.search, "SLICE_QUERIES", 7)
     docs = load_table(spark, tiny, "documents").select("doc_id", "text")
     asked = load_table(spark, tiny, "benchmark")
@@ -163,8 +173,8 @@ def test_bm25_against_brute_force(spark, tiny, max_travelling, monkeypatch):
                 scored.append((-round(score, 6), doc_id))
         scored.sort()
         expected += [(r.item_id, d, -s, i + 1) for i, (s, d) in enumerate(scored[:5])]
-    counts = stage(fulltext.term_counts(docs), "counts")
-    got = fulltext.fulltext_topk(asked, counts, docs.count(), 5, max_travelling)
+    index = stage(fulltext.document_terms(docs), "terms")
+    got = fulltext.fulltext_topk(asked, index, 5, max_travelling)
     assert rows(got.select("item_id", "doc_id", "score", "rank"), "item_id", "rank") == sorted(
         expected, key=lambda r: (r[0], r[3])
     )

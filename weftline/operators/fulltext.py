@@ -5,12 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import text as tx
 from weftline.functions import topk
+from weftline.functions.terms import count_terms
 from weftline.operators import search
 from weftline.plans import skew
-from weftline.plans.sizing import broadcast_if_small
+from weftline.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 
 K1 = 1.2
 B = 0.75
@@ -18,77 +20,95 @@ B = 0.75
 SLICE_DOCUMENTS = 20_000
 
 
-def term_counts(documents: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """One row per document and term: scope columns, term, doc_id, tf, doc_len.
+def document_terms(documents: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """One row per document: scope columns, doc_id, doc_len, terms, tfs.
 
-    A document is one row, so its tokens are counted in the task that reads it
-    and one row per distinct term is shuffled. Store it: it is the index.
+    A document is one row, so its terms are counted in the task that reads it;
+    nothing is shuffled. Store it: it is the index, and the postings are its
+    exploded form.
     """
-    scope = scope or []
-    return (
-        documents.select(*scope, "doc_id", tx.tokens(F.col("text")).alias("tokens"))
-        .select(*scope, "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy(*scope, "doc_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    kept = [*(scope or []), "doc_id"]
+    tokenised = documents.select(*kept, tx.tokens(F.col("text")).alias("tokens"))
+    measured = tokenised.select(*kept, F.size("tokens").alias("doc_len"), "tokens")
+    schema = T.StructType(
+        [
+            *measured.schema.fields[:-1],
+            T.StructField("terms", T.ArrayType(T.StringType())),
+            T.StructField("tfs", T.ArrayType(T.IntegerType())),
+        ]
     )
+    return measured.mapInArrow(count_terms, schema)
 
 
-def document_frequencies(counts: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def document_frequencies(index: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """scope columns, term, df."""
-    return counts.groupBy(*(scope or []), "term").agg(F.count(F.lit(1)).alias("df"))
+    kept = scope or []
+    terms = index.select(*kept, F.explode("terms").alias("term"))
+    return terms.groupBy(*kept, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def fulltext_postings(
-    counts: DataFrame, frequencies: DataFrame, scope: list[str] | None = None, hot_rows: int = skew.HOT_ROWS
+    index: DataFrame,
+    frequencies: DataFrame,
+    scope: list[str] | None = None,
+    hot_rows: int = skew.HOT_ROWS,
+    max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """scope columns, term, doc_id, tf, df. A term of very many documents is
-    salted by document."""
+    """scope columns, term, doc_id, tf, df. ``frequencies`` is used more than
+    once: pass a stored table. A term of very many documents is salted by
+    document."""
     on = [*(scope or []), "term"]
-    joined = skew.join_per_key(
-        counts.drop("doc_len"), frequencies, on, "df", F.col("doc_id"), hot_rows
+    postings = index.select(
+        *(scope or []), "doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("posting")
+    ).select(
+        *(scope or []),
+        F.col("posting.terms").alias("term"),
+        "doc_id",
+        F.col("posting.tfs").alias("tf"),
     )
-    return joined.select(*on, "doc_id", "tf", "df")
+    return skew.join_per_key(
+        postings, frequencies, on, "df", F.col("doc_id"), hot_rows, max_broadcast
+    ).select(*on, "doc_id", "tf", "df")
 
 
 def fulltext_topk(
     queries: DataFrame,
-    counts: DataFrame,
-    n_documents: int,
+    index: DataFrame,
     k: int = 10,
     max_travelling: int = search.MAX_TRAVELLING_ROWS,
 ) -> DataFrame:
     """Best k documents of each query text: item_id, doc_id, score, rank.
 
-    ``counts`` is the stored index. Only postings of query terms are shuffled,
-    by document; a task then scores whole documents, so the pairs of a frequent
-    term with all its documents are never rows.
+    ``index`` is the stored ``document_terms``. A task scores whole documents, so
+    the pairs of a frequent term with all its documents are never rows; only
+    document counts of query terms and k rows per query and task are shuffled.
     """
     asked_terms = queries.select(
-        F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")
+        F.col("item_id").alias("query_id"),
+        F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"),
     )
     wanted = broadcast_if_small(asked_terms.select("term").distinct())
-    matched = counts.join(wanted, "term", "left_semi")
+    held_terms = index.select(F.explode("terms").alias("term"))
+    frequencies = held_terms.join(wanted, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df")
+    )
+    n_documents, n_tokens = index.agg(F.count(F.lit(1)), F.sum("doc_len")).first()
+    average_length = (n_tokens or 0) / max(n_documents, 1)
     df = F.col("df")
     idf = F.log(1 + (F.lit(n_documents) - df + 0.5) / (df + 0.5))
     weighted = (
-        asked_terms.join(document_frequencies(matched), "term")
+        asked_terms.join(frequencies, "term")
         .groupBy("query_id")
         .agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("parts"))
         .select("query_id", F.col("parts.term").alias("terms"), F.col("parts.idf").alias("weights"))
     )
-    held = (
-        matched.groupBy("doc_id", "doc_len")
-        .agg(F.collect_list(F.struct("term", "tf")).alias("parts"))
-        .select("doc_id", "doc_len", F.col("parts.term").alias("terms"), F.col("parts.tf").alias("tfs"))
-    )
-    n_tokens = counts.agg(F.sum("tf")).first()[0] or 0
-    average_length = n_tokens / n_documents if n_documents else 0.0
 
-    def score(best: topk.TopK, asked: pa.Table, block: pa.Table) -> None:
-        topk.bm25_block(best, asked, block, ["doc_id"], average_length, K1, B)
+    def score(best: topk.TopK, asked: pa.Table, held: pa.Table) -> None:
+        topk.bm25_block(best, asked, held, ["doc_id"], average_length, K1, B)
 
-    best = search.best_matches(weighted, held, ["doc_id"], k, score, "score", max_travelling, SLICE_DOCUMENTS)
-    return search.ranked(best.where(F.col("score").isNotNull()), "doc_id", k, "score").withColumnRenamed(
-        "query_id", "item_id"
+    held = index.select("doc_id", "doc_len", "terms", "tfs")
+    best = search.best_matches(
+        weighted, held, ["doc_id"], k, score, "score", max_travelling, SLICE_DOCUMENTS
     )
+    found = search.ranked(best.where(F.col("score").isNotNull()), "doc_id", k, "score")
+    return found.withColumnRenamed("query_id", "item_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.sizing import broadcast_if_small
+
 DAY = "event_date"
 
 
@@ -19,7 +21,7 @@ def new_locations(log: DataFrame, batch: DataFrame) -> DataFrame:
     batch are read from a log partitioned by day.
     """
     once = batch.dropDuplicates([DAY, "event_id"])
-    days = batch.select(DAY).distinct()
+    days = broadcast_if_small(batch.select(DAY).distinct())
     held = log.join(days, DAY, "left_semi").select(DAY, "event_id")
     return once.join(held, [DAY, "event_id"], "left_anti")
 

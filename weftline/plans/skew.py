@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans import sizing
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
@@ -16,19 +18,26 @@ def join_per_key(
     weight: str,
     spread_by: Column,
     hot_rows: int = HOT_ROWS,
+    max_broadcast: int = sizing.BROADCAST_ROWS,
 ) -> DataFrame:
     """Inner join of ``facts`` with one row per key.
 
+    Few keys (counted) are broadcast and ``facts`` stay where they are. Else both
+    sides are shuffled by key and the per-key side, one row per key, is hashed,
+    so ``facts`` need no sort.
+
     ``weight`` is a column of ``per_key`` that holds the number of fact rows of
     the key. Keys above the limit are salted: their facts are spread by the hash
     of ``spread_by``, their per-key row is repeated once per salt. The limit is
     never below total / MAX_HOT_KEYS, so at most MAX_HOT_KEYS keys are hot and
     the table of hot keys is safe to broadcast.
     """
+    if sizing.fits(per_key, max_broadcast):
+        return facts.join(F.broadcast(per_key), on)
     total, heaviest = per_key.agg(F.sum(weight), F.max(weight)).first()
     limit = max(hot_rows, -(-(total or 0) // MAX_HOT_KEYS))
     if (heaviest or 0) <= limit:
-        return facts.join(per_key, on)
+        return facts.join(per_key.hint("shuffle_hash"), on)
     salts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     hot = F.broadcast(
         per_key.where(F.col(weight) > limit).select(*on, salts.alias("salts__"))
@@ -47,4 +56,4 @@ def join_per_key(
             ).otherwise(F.array(F.lit(0)))
         ),
     )
-    return spread.join(repeated, [*on, "salt__"]).drop("salt__", "salts__")
+    return spread.join(repeated.hint("shuffle_hash"), [*on, "salt__"]).drop("salt__", "salts__")
