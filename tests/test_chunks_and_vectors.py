@@ -7,10 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows, same_rows
-from pyspark.sql import functions as F
 
 from weftline.functions import topk
-from weftline.functions import vectors as vx
 from weftline.operators import chunking, embedding, search, sections
 from weftline.sources.tables import load_table
 
@@ -97,8 +95,6 @@ def test_text_without_tokens_has_a_zero_vector_and_no_sparse_rows(spark):
     docs = spark.createDataFrame([(1, "?! --"), (2, "")], "doc_id bigint, text string")
     assert all(set(r.embedding) == {0.0} for r in embedding.embed(docs).collect())
     assert embedding.hashed_embedding(docs).count() == 0
-    with pytest.raises(ValueError):
-        vx.token_bucket(F.lit("a"), 100)
 
 
 # --- top-k -----------------------------------------------------------------

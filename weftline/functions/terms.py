@@ -1,22 +1,63 @@
-"""Task-side term counting for a batch of tokenised documents."""
+"""Task-side helpers over batches of tokenised texts.
+
+Tokens are cut in the JVM and arrive as a list column, the last of the batch.
+Each works on the distinct tokens of a batch and on row numbers, never on one
+text at a time.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-# Tasks get this helper by value, so executors need no copy of the package.
+# Tasks get these helpers by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _replace_last(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    kept = batch.schema.names[:-1]
+    arrays = [*[batch.column(name) for name in kept], *columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=[*kept, *columns])
+
+
+def bucket_of(token: str, buckets: int) -> int:
+    """First 32 bits of the token's md5, modulo ``buckets``."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % buckets
+
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the last column, a list of tokens, by the distinct terms and their
-    counts, two lists of equal length."""
+def hashed_vectors(buckets: int, name: str) -> Callable[[Batches], Batches]:
+    """Feature hashing (Weinberger et al. 2009): replace the tokens by an
+    L2-normalised vector of bucket counts. A token is hashed once per batch."""
+
+    def embed(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = batch.num_rows
+            tokens = batch.column(batch.num_columns - 1)
+            coded = tokens.flatten().dictionary_encode()
+            bucket = np.array([bucket_of(t, buckets) for t in coded.dictionary.to_pylist()], np.int64)
+            row = pc.list_parent_indices(tokens).to_numpy()
+            slot = row * buckets + bucket[coded.indices.to_numpy()]
+            counts = np.bincount(slot, minlength=rows * buckets).reshape(rows, buckets)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors = counts / np.maximum(norm, 1.0)  # only a zero vector has a norm below 1
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * buckets)
+            values = pa.array(vectors.ravel())
+            yield _replace_last(batch, {name: pa.ListArray.from_arrays(offsets, values)})
+
+    return embed
+
+
+def count_terms(batches: Batches) -> Batches:
+    """Replace the tokens by the distinct terms and their counts, two lists of
+    equal length."""
     for batch in batches:
         tokens = batch.column(batch.num_columns - 1)
         coded = tokens.flatten().dictionary_encode()
@@ -28,14 +69,6 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = pa.array(
             np.searchsorted(pair // kinds, np.arange(batch.num_rows + 1)).astype(np.int32)
         )
-        terms = coded.dictionary.take(pa.array(pair % kinds))
-        counts = pa.array(times.astype(np.int32))
-        kept = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(name) for name in kept],
-                pa.ListArray.from_arrays(offsets, terms),
-                pa.ListArray.from_arrays(offsets, counts),
-            ],
-            names=[*kept, "terms", "tfs"],
-        )
+        terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(pair % kinds)))
+        tfs = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
+        yield _replace_last(batch, {"terms": terms, "tfs": tfs})

@@ -1,47 +1,16 @@
-"""Feature hashing (Weinberger et al. 2009) as column expressions."""
+"""Vector expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions import text as tx
-
-BUCKETS = 64
-
-
-def token_bucket(token: Column, buckets: int = BUCKETS) -> Column:
-    """First 32 bits of the token's md5, modulo ``buckets``.
-
-    ``buckets`` divides 256, so the last of the four bytes decides.
-    """
-    if 256 % buckets:
-        raise ValueError("buckets must divide 256")
-    low_byte = F.conv(F.substring(F.md5(token), 7, 2), 16, 10).cast("int")
-    return low_byte % buckets
-
-
-def token_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    return F.transform(tx.tokens(text), lambda t: token_bucket(t, buckets))
-
-
-def bucket_counts(hashed: Column, buckets: int = BUCKETS) -> Column:
-    """Dense counts of an array of bucket numbers.
-
-    The array is zipped in: named inside the lambda, the hashing could be
-    evaluated again for every bucket.
-    """
-    return F.zip_with(
-        F.sequence(F.lit(0), F.lit(buckets - 1)),
-        F.array_repeat(hashed, buckets),
-        lambda b, h: (F.size(h) - F.size(F.array_remove(h, b))).cast("double"),
-    )
-
 
 def unit(vector: Column) -> Column:
     """L2-normalised array<double>; a zero vector stays zero.
 
-    The norm is zipped in for the same reason.
+    The norm is zipped in: named inside the lambda, it would be computed again
+    for every element.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
     return F.zip_with(
