@@ -33,6 +33,14 @@ from weftline.sources.workspace import fresh_path, stage  # noqa: E402
 from weftline.streaming import indexes as index_stream  # noqa: E402
 from weftline.streaming import locations as location_stream  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from weftline.llm import queries as llm
+except ImportError as missing:
+    if (missing.name or "").split(".")[0] not in ("corpus_pipeline", "weftline"):
+        raise
+    llm = None
+
 K = 10
 NPROBE = 4
 DIM = 64
@@ -369,8 +377,10 @@ def queries() -> dict[str, Query]:
         "location_append": location_append,
         "location_append_stream": location_append_stream,
         "location_latest": location_latest,
+        **(llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if llm and corpus_pipeline.ORACLE_SQL else {}
+    return oracle_queries.oracle_sql() | pipeline | (llm.oracle_sql() if llm else {})

@@ -1,8 +1,12 @@
+import re
+
 import __spark_entry__ as registered
 import pytest
 from compare import check, duck
 
 NO_TWIN = {"ivf_cells_kmeans"}
+# the training-data operators have their own tests, and may be absent
+OWN = {n for n in registered.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
 
 
 @pytest.fixture(scope="module")
@@ -11,11 +15,11 @@ def connection(tiny):
 
 
 def test_every_query_has_a_twin():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == NO_TWIN
+    assert OWN - set(registered.oracle_sql()) == NO_TWIN
     assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_equals_twin(spark, tiny, connection, name):
     sql = registered.oracle_sql().get(name)
     difference, n_rows, *_ = check(spark, connection, tiny, registered.queries()[name], sql)
