@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, fingerprints, language, lines, packing, sharding, token_counts, url_filter
+from weftline.llm import chat, fingerprints, language, lines, minhash, packing, sharding, token_counts, url_filter
 from weftline.llm.url_filter import ALLOW, BLOCK, Rule
 from weftline.sources.tables import load_table
 
@@ -194,6 +194,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -210,6 +214,7 @@ def queries() -> dict[str, Query]:
         "op6_histogram_shards": op6_histogram_shards,
         "op7_token_counts": op7_token_counts,
         "op8_line_dedup": op8_line_dedup,
+        "op9_minhash_groups": op9_minhash_groups,
         "op10_fingerprints": op10_fingerprints,
     }
 
