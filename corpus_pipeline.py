@@ -1,14 +1,75 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+1. language ID: documents without a recognised language go;
+2. line dedup: lines repeated in later documents go, documents stay;
+3. near-dedup: one document of each group of near copies stays;
+4. decontamination: documents that hold a test item go;
+5. packing: what is left is packed into token sequences.
+
+All stages but the last return the columns of documents. A document that loses
+lines has its length counted again. Stages take documents with nulls in any
+column, repeated rows, further columns, or no rows at all; rows without a doc_id
+pass all stages but the first, which judges their text like any other.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.llm import decontamination, language, lines, minhash, packing
+from weftline.llm.queries import WORD_TOKENIZER, language_model
 from weftline.sources.tables import load_table
 from weftline.sources.workspace import stage
 
-STAGES = []
-ORACLE_SQL = None
+MIN_LANGUAGE_SCORE = 0.35
+NEAR_PERCENT = 80
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language.with_language(docs, language_model(docs), "found__")
+    sure = (F.col("found__.lang") != language.UNKNOWN) & (F.col("found__.score") >= MIN_LANGUAGE_SCORE)
+    return found.where(sure).select(docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup_lines(docs, name="kept__")
+    changed = F.col("kept__.n_dropped") > 0
+    cleaned = cleaned.withColumn("text", F.when(changed, F.col("kept__.text")).otherwise(F.col("text")))
+    n_chars = F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group stays; of repeated rows, one."""
+    named = docs.where("doc_id IS NOT NULL")
+    groups = minhash.near_duplicates(named, percent=NEAR_PERCENT)
+    gone = stage(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = named.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = stage(repeated, "repeated")
+    once = left.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    first = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, load_table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENIZER))
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+ORACLE_SQL = None  # SQL cannot express the learned model, MinHash or the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, fingerprints, language, lines, minhash, packing, sharding, token_counts, url_filter
+from weftline.llm import chat, decontamination, fingerprints, language, lines, minhash, packing, sharding, token_counts, url_filter
 from weftline.llm.url_filter import ALLOW, BLOCK, Rule
 from weftline.sources.tables import load_table
 
@@ -32,6 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, sf_dir, "documents")
 
 
+# --- 1 decontamination -----------------------------------------------------
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(documents(spark, sf_dir), load_table(spark, sf_dir, "benchmark"))
+
+
 # --- 2 language ------------------------------------------------------------
 
 
@@ -207,6 +214,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_language_id": op2_language_id,
         "op3_chat_format": op3_chat_format,
         "op4_url_filter": op4_url_filter,
