@@ -50,6 +50,7 @@ ENABLED = ("AMERICA", "ASIA", "EUROPE")
 RUN_DATE = "1998-11-01"
 DAILY_RUN_DATE = "1998-10-04"
 AS_OF = "1998-01-15"
+LATE_BEFORE = "2024-01-15"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,9 +158,7 @@ def full_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_rebuild_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _store(spark)
-    store.drop("points")
-    return store.replace("points", indexing.point_index(documents(spark, sf_dir)))
+    return _store(spark).replace("points", indexing.point_index(documents(spark, sf_dir)))
 
 
 def dual_target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,17 +312,16 @@ def location_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def location_append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "locations")
-    arriving = (
-        spark.readStream.schema(schema_of("events"))
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    repeated = arriving.unionByName(arriving.where(F.col("event_type").isin("signup", "view")))
-    location_stream.start_location_log(
-        repeated, path, fresh_path(spark, "offsets")
-    ).awaitTermination()
-    return spark.read.schema(schema_of("events")).parquet(path).select(arriving.columns)
+    """Two arrivals: the later half of the time first, then every event, so that the
+    second brings both late events and repeats."""
+    inbox, path, offsets = (fresh_path(spark, name) for name in ("inbox", "locations", "offsets"))
+    batch = events(spark, sf_dir)
+    late = F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp_ntz")
+    for arrivals in (batch.where(~late), batch):
+        arrivals.write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(schema_of("events")).parquet(inbox)
+        location_stream.start_location_log(arriving, path, offsets).awaitTermination()
+    return spark.read.schema(schema_of("events")).parquet(path).select(batch.columns)
 
 
 def location_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
     sql["section_catalog"] = f"""
 WITH {LINES}
 SELECT doc_id, line_no::INTEGER AS line_no, section,
-       (row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no))::INTEGER AS entry_pos,
+       (row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no))::BIGINT AS entry_pos,
        split_part(line, ' ', 1) AS name,
        CASE WHEN contains(line, ' ') THEN substring(line, instr(line, ' ') + 1) ELSE '' END AS help
 FROM section_rows WHERE NOT is_header"""

@@ -136,6 +136,31 @@ def test_append_is_idempotent(spark, tiny):
     same_rows(locations.location_append(spark, path, events), events)
 
 
+def test_first_append_makes_the_log_and_null_times_repeat_once(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "event_id bigint, ts timestamp_ntz")
+    path = fresh_path(spark, "log")
+    assert locations.location_append(spark, path, rows).count() == 2
+    assert locations.location_append(spark, path, rows).count() == 2
+
+
+def test_late_events_reach_the_log(spark, tiny):
+    events = load_table(spark, tiny, "events")
+    source, path, offsets = (fresh_path(spark, n) for n in ("source", "log", "offsets"))
+    late = "ts < timestamp_ntz'2024-01-15'"
+    for part in (events.where(f"NOT {late}"), events.where(late)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema_of("events")).parquet(source)
+        stream.start_location_log(arriving, path, offsets).awaitTermination()
+    same_rows(spark.read.schema(schema_of("events")).parquet(path).select(events.columns), events)
+
+
+def test_invoices_without_funds_stay_open(spark):
+    invoices = spark.createDataFrame([(1, "2024-01-01", 5.0)], "account bigint, period_start string, amount double")
+    invoices = invoices.withColumn("amount", F.col("amount").cast("decimal(28,2)"))
+    paid = billing.autopay_run(invoices, spark.createDataFrame([], "account bigint, funds decimal(18,2)")).collect()
+    assert [(r["status"], float(r["balance"])) for r in paid] == [("open", 5.0)]
+
+
 def test_latest(spark, tiny):
     events = load_table(spark, tiny, "events")
     newest = {}
@@ -153,5 +178,5 @@ def test_stream_log_equals_batch_log(spark, tiny):
     for part in (early, events):  # the first half arrives twice, in order
         part.orderBy("ts").coalesce(1).write.mode("append").parquet(source)
         arriving = spark.readStream.schema(schema_of("events")).parquet(source)
-        stream.start_location_log(arriving, path, offsets, "60 days").awaitTermination()
+        stream.start_location_log(arriving, path, offsets).awaitTermination()
     same_rows(spark.read.schema(schema_of("events")).parquet(path).select(events.columns), events)

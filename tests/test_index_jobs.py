@@ -212,6 +212,23 @@ def test_bad_snapshot_publishes_nothing(spark, tiny):
         snapshots.read_manifest(spark, fresh_path(spark, "nowhere")).collect()
 
 
+def test_clean_import_withdraws_and_takes_every_table(spark, tiny):
+    path, store = fresh_path(spark, "snapshot"), VersionStore(spark, fresh_path(spark, "store"))
+    tables = {t: load_table(spark, tiny, t) for t in ("customer", "region")}
+    snapshots.snapshot_export(spark, tables, path)
+    store.replace("nation", load_table(spark, tiny, "nation"))
+    with pytest.raises(snapshots.SnapshotError):
+        snapshots.snapshot_import_clean(spark, path, {"customer": schema_of("customer")}, store)
+    assert store.names() == ["nation"]
+    snapshots.snapshot_import_clean(spark, path, {t: schema_of(t) for t in tables}, store)
+    assert store.names() == ["customer", "region"]
+
+
+def test_newest_version_of_a_batch_wins(spark):
+    batch = spark.createDataFrame([(1, "old", 1), (1, "new", 3), (1, "mid", 2), (2, "x", None)], "doc_id bigint, text string, v int")
+    assert sorted(map(tuple, indexes.newest(batch, "v").collect())) == [(1, "new"), (2, "x")]
+
+
 def test_hash_ignores_order_but_not_content(spark):
     schema = "a bigint, b double, c string, d array<float>"
     one = [(1, 0.1, "x", [1.0, 2.5]), (2, None, None, None), (2, None, None, None)]

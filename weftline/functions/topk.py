@@ -27,6 +27,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     if column.null_count:
         raise ValueError("null vector")
+    lengths = pc.min_max(pc.list_value_length(column))
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("vectors of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -47,11 +50,6 @@ def _cut(query: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - first < k]
 
 
-def positions(query: np.ndarray) -> np.ndarray:
-    """1-based position of each row in its run of equal queries."""
-    return (np.arange(len(query)) - np.searchsorted(query, query, side="left") + 1).astype(np.int32)
-
-
 class TopK:
     """Best k candidates of each query over a stream of scored blocks."""
 

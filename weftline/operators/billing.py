@@ -115,7 +115,8 @@ def autopay_run(invoices: DataFrame, account_funds: DataFrame) -> DataFrame:
     """Pay each account's invoices from its funds, oldest first.
 
     An account has one invoice per period, so a window per account is short
-    however many charges lie behind it.
+    however many charges lie behind it. An account without a row of funds has none;
+    its invoices stay open.
     """
     oldest_first = (
         Window.partitionBy("account")
@@ -124,10 +125,10 @@ def autopay_run(invoices: DataFrame, account_funds: DataFrame) -> DataFrame:
     )
     zero = F.lit(0).cast("decimal(28,2)")
     prior = F.coalesce(F.sum("amount").over(oldest_first), zero)
-    applied = F.greatest(zero, F.least(F.col("amount"), F.col("funds") - F.col("prior")))
+    applied = F.greatest(zero, F.least(F.col("amount"), F.coalesce("funds", zero) - F.col("prior")))
     return (
         invoices.withColumn("prior", prior)
-        .join(account_funds, "account")
+        .join(account_funds, "account", "left")
         .withColumn("applied", applied.cast("decimal(28,2)"))
         .withColumn("balance", (F.col("amount") - F.col("applied")).cast("decimal(28,2)"))
         .withColumn(

@@ -65,7 +65,8 @@ def chunk_documents(
     repeated = (F.size("blocks") > 1) & (F.length(F.element_at("blocks", -1)) <= overlap)
     n_chunks = F.size("blocks") - F.when(repeated, 1).otherwise(0)
     return (
-        documents.select(
+        documents.where("text IS NOT NULL")
+        .select(
             "doc_id",
             F.col(layer).alias("layer"),
             F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(block).alias("blocks"),

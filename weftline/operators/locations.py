@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.sizing import broadcast_if_small
+from weftline.sources.workspace import path_exists
 
 DAY = "event_date"
+NO_DAY = "1900-01-01"
 
 
 def with_day(events: DataFrame) -> DataFrame:
-    return events.withColumn(DAY, F.to_date("ts"))
+    """An event without a time has a day of its own, so its repeats meet it too."""
+    return events.withColumn(DAY, F.coalesce(F.to_date("ts"), F.lit(NO_DAY).cast("date")))
 
 
 def new_locations(log: DataFrame, batch: DataFrame) -> DataFrame:
@@ -32,9 +35,12 @@ def write_log(rows: DataFrame, path: str) -> None:
 
 def location_append(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
     """Append a batch to the log at ``path`` and return the log. Appending the
-    same batch again adds nothing."""
+    same batch again adds nothing; the first append makes the log."""
     rows = with_day(batch)
-    log = spark.read.schema(rows.schema).parquet(path)
+    if path_exists(spark, path):
+        log = spark.read.schema(rows.schema).parquet(path)
+    else:
+        log = spark.createDataFrame([], rows.schema)
     write_log(new_locations(log, rows).select(rows.columns), path)
     return spark.read.schema(rows.schema).parquet(path).drop(DAY)
 

@@ -21,7 +21,7 @@ from weftline.sources.workspace import stage
 DEFAULT_SECTION = "General"
 HEADER_PATTERN = r"##@--"
 HEADER_STRIP_PATTERN = r"^##@--\s*"
-ENTRY_PATTERN = r"^[a-zA-Z0-9_.-]+:.*##@"
+ENTRY_PATTERN = r"(?s)^[a-zA-Z0-9_.-]+:.*##@"
 ENTRY_SPLIT_PATTERN = r"(?s)^([^:]*):.*##@(.*)$"
 
 SHORT_LINE = 40
@@ -112,7 +112,7 @@ def section_lines(
         opening = F.coalesce("opening", F.lit(DEFAULT_SECTION))
     first_line = F.substring_index("piece", "\n", 1)
     headed = opens_with_header(F.col("piece"), grammar, LINE_LABEL)
-    pieces = source.select(
+    pieces = source.where("text IS NOT NULL").select(
         "doc_id",
         opening.alias("opening"),
         F.explode_outer(header_pieces(_numbered(F.col("text")), grammar, LINE_LABEL)).alias("piece"),

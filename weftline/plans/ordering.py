@@ -56,7 +56,7 @@ def number_rows(
     edges were taken from."""
     if not edges:
         within = Window.partitionBy(group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(within))
+        return df.withColumn(name, F.row_number().over(within).cast("bigint"))
     bucketed = with_bucket(df, order[0], edges, "bucket__")
     earlier = (
         Window.partitionBy(group)
@@ -73,7 +73,7 @@ def number_rows(
     return (
         bucketed.withColumn(name, F.row_number().over(within))
         .join(offsets, [group, "bucket__"])
-        .withColumn(name, (F.col(name) + F.col("offset__")).cast("int"))
+        .withColumn(name, F.col(name) + F.col("offset__"))
         .drop("bucket__", "offset__")
     )
 

@@ -48,7 +48,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def snapshot_import_clean(
     spark: SparkSession, path: str, schemas: Mapping[str, object], store: VersionStore
 ) -> list[str]:
-    """Replace the store's tables by those of a snapshot, all or nothing.
+    """Replace all of the store's tables by those of a snapshot, all or nothing.
+
+    Every table of the manifest needs its schema, and a table of the store that the
+    snapshot lacks is withdrawn in the same step.
 
     Every table is read with its fixed schema, copied, and compared with the
     manifest; only when all agree are the copies published. On the first
@@ -58,6 +61,9 @@ def snapshot_import_clean(
     missing = sorted(set(schemas) - set(expected))
     if missing:
         raise SnapshotError(f"not in the snapshot: {', '.join(missing)}")
+    unnamed = sorted(set(expected) - set(schemas))
+    if unnamed:
+        raise SnapshotError(f"in the snapshot but without a schema: {', '.join(unnamed)}")
 
     def copy(name: str) -> tuple[str, Version]:
         df = spark.read.schema(schemas[name]).option("mode", "FAILFAST").parquet(f"{path}/{name}")
@@ -69,7 +75,7 @@ def snapshot_import_clean(
         return name, version
 
     copies = dict(_at_once(spark, copy, schemas))
-    store.publish(copies)
+    store.publish(copies, withdraw=sorted(set(store.names()) - set(copies)))
     return sorted(copies)
 
 

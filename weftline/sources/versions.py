@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.workspace import path_exists
+
 LEDGER_SCHEMA = "seq bigint, name string, path string, schema string"
 
 
@@ -33,12 +34,9 @@ class VersionStore:
         self.root = root.rstrip("/")
 
     def _ledger(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.root}/ledger")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        if not path_exists(self.spark, f"{self.root}/ledger"):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.root}/ledger")
 
     def _append(self, entries: list[tuple[str, str | None, str | None]]) -> None:
         last = self._ledger().agg(F.max("seq")).first()[0] or 0
@@ -55,9 +53,15 @@ class VersionStore:
     def read(self, version: Version) -> DataFrame:
         return self.spark.read.schema(version.schema).parquet(version.path)
 
-    def publish(self, versions: Mapping[str, Version]) -> None:
-        """Make written versions the current ones, all in one step."""
-        self._append([(name, v.path, v.schema.json()) for name, v in versions.items()])
+    def publish(self, versions: Mapping[str, Version], withdraw: Iterable[str] = ()) -> None:
+        """Make written versions the current ones and withdraw names, all in one step."""
+        written = [(name, v.path, v.schema.json()) for name, v in versions.items()]
+        self._append([*written, *((name, None, None) for name in withdraw)])
+
+    def names(self) -> list[str]:
+        """The names that have a published version; a store holds a few tables."""
+        last = self._ledger().groupBy("name").agg(F.max_by(F.struct("path"), "seq").alias("last"))
+        return sorted(r["name"] for r in last.where("last.path IS NOT NULL").collect())
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write, publish and return ``df`` as the current version of ``name``."""

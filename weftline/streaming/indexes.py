@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,17 +49,31 @@ def update_indexes(store: VersionStore, documents: DataFrame, complete: bool) ->
     )
 
 
-def start_index_updates(documents: DataFrame, store: VersionStore, checkpoint: str) -> StreamingQuery:
+def newest(batch: DataFrame, version: str) -> DataFrame:
+    """The row of the largest ``version`` of each document, without that column."""
+    order = Window.partitionBy("doc_id").orderBy(F.col(version).desc_nulls_last(), F.sha2("text", 256))
+    ranked = batch.withColumn("place__", F.row_number().over(order))
+    return ranked.where("place__ = 1").drop("place__", version)
+
+
+def start_index_updates(
+    documents: DataFrame, store: VersionStore, checkpoint: str, version: str | None = None
+) -> StreamingQuery:
     """Upsert a stream of documents into both indexes, all that is available.
 
     A batch may be delivered again after a failure; applying it twice changes
-    nothing. Within a batch a document counts once; the batch is stored first, so
-    every table is derived from the same choice. Bound the size of a batch with
+    nothing. Of several versions in one batch the newest wins: the largest value of
+    the column ``version`` or, without one, of the source file's modification time.
+    The choice is stored first, so every table is derived from it. Bound the size of a batch with
     ``maxFilesPerTrigger`` on the source.
     """
 
+    if version is None:
+        version = "arrived__"
+        documents = documents.withColumn(version, F.col("_metadata.file_modification_time"))
+
     def upsert(batch: DataFrame, _: int) -> None:
-        once = store.read(store.write(batch.dropDuplicates(["doc_id"]), "arrivals"))
+        once = store.read(store.write(newest(batch, version), "arrivals"))
         update_indexes(store, once, complete=False)
 
     return (

@@ -3,40 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.locations import DAY, with_day
+from weftline.operators.locations import location_append
 
-LATENESS = "1 day"
 
+def start_location_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of events to the log at ``path``, all that is available.
 
-def distinct_locations(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Each event once, as long as its repeats come within ``lateness``.
-
-    The watermark needs a timestamp with time zone; the event keeps its own
-    ``ts``. State holds the ids of one lateness span, not of the whole log.
+    Every micro-batch is appended as a batch job does it: an event is new when the
+    log does not hold it, however late it comes, and a batch that is delivered again
+    adds nothing. Only the days of the batch are read from the log, and the stream
+    keeps no state of its own.
     """
-    return (
-        with_day(events)
-        .withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("event_time")
-    )
 
+    def append(batch: DataFrame, _: int) -> None:
+        location_append(batch.sparkSession, path, batch)
 
-def start_location_log(
-    events: DataFrame, path: str, checkpoint: str, lateness: str = LATENESS
-) -> StreamingQuery:
-    """Append a stream of events to the log at ``path``, all that is available."""
     return (
-        distinct_locations(events, lateness)
-        .writeStream.format("parquet")
-        .option("path", path)
+        events.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .partitionBy(DAY)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
