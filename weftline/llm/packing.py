@@ -39,7 +39,10 @@ from weftline.sources.workspace import stage
 
 CAPACITY = 2048
 END_TOKEN = 0
-MEMO = 400_000
+MEMO = 300_000
+TAIL = ".,;:!?"
+WORD_END = "</w>"
+TOGETHER = 256
 CHARS_AT_ONCE = 4_000_000
 
 
@@ -51,23 +54,67 @@ class WordIds:
 
     The tokenizer drops white space and no token, normalisation or special string
     crosses it, so a text's ids are those of its words in order. Cuts are made at
-    the blank and the line feed only.
+    the blank and the line feed only. A word of letters with ``TAIL`` characters
+    after it is its letters and its tail, two pre-tokens; unknown letters are
+    encoded many in one call and told apart by the tokens that end a pre-token.
+
+    Two generations of at most MEMO words are held: a full one becomes the old
+    one, from which words in use move on to the next.
     """
 
     def __init__(self, tokenizer: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def texts(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.memo.keys())
+        used = set().union(*words)
+        new = used - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {"": b""}
-            new = list(set().union(*words) - self.memo.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, "<u4").tobytes()
+            self.old, self.memo, new = self.memo, {"": b""}, used - {""}
+        self._learn(new)
         return [b"".join(map(self.memo.__getitem__, w)) for w in words]
 
+    def _learn(self, words: set[str]) -> None:
+        whole, cut = [], []
+        letters, tails = set(), set()
+        for word in words:
+            known = self.old.get(word)
+            if known is not None:
+                self.memo[word] = known
+                continue
+            base = word.rstrip(TAIL)
+            if not base.isalpha() or not (base.isascii() or base.lower().isalpha()):
+                whole.append(word)
+                continue
+            tail = word[len(base) :]
+            base = base.lower() if base.isascii() else base
+            cut.append((word, base, tail))
+            letters.add(base)
+            tails.add(tail)
+        self._encode_letters([w for w in letters if w not in self.memo])
+        whole += [t for t in tails if t not in self.memo]
+        for word, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(found.ids, "<u4").tobytes()
+        for word, base, tail in cut:
+            self.memo[word] = self.memo[base] + self.memo[tail]
+
+    def _encode_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) != len(some):
+                raise ValueError("a word of letters is not one pre-token of this tokenizer")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(some, stops.tolist(), strict=True):
+                self.memo[word] = data[start:stop]
+                start = stop
+
 
 _tokenizers: dict[int, WordIds] = {}
 
