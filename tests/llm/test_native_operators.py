@@ -215,7 +215,7 @@ def test_words_encode_like_whole_texts(spark):
     raw = open(WORDS, encoding="utf-8").read()
     words, tokenizer = packing.WordIds(raw), Tokenizer.from_str(raw)
     assert json.loads(raw)["model"]["type"] == "BPE"
-    texts = ["", " ", "It's <|endoftext|>  x\u0301 e \u0301\n\nＡ\x1cb\u00a0c 'S ΑΣ ΣΑΣ. a\tb", "don't\nwon't 123 4.5 ...!!", "İstanbul ǅ"]
+    texts = ["", " ", "It's <|endoftext|>  x\u0301 e \u0301\n\nＡ\x1cb\u00a0c 'S ΑΣ ΣΑΣ. a\tb", "don't\nwon't 123 4.5 ...!!", "İstanbul ǅ", "İ, é. e\u0301! straße--- ΑΣ's {ﬁ}"]
     for text, ids in zip(texts, words.texts(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert hashlib.sha256(raw.encode()).hexdigest()

@@ -23,13 +23,14 @@ the text are read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,81 +40,80 @@ from weftline.sources.workspace import stage
 
 CAPACITY = 2048
 END_TOKEN = 0
-MEMO = 300_000
-TAIL = ".,;:!?"
-WORD_END = "</w>"
-TOGETHER = 256
+MEMO = 400_000
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
 CHARS_AT_ONCE = 4_000_000
 
 
 # --- tokens ----------------------------------------------------------------
 
 
-class WordIds:
-    """Token ids of texts as little-endian 32-bit numbers, remembered per word.
+def _byte_symbols() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others in
+    their order for the code points from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_SYMBOLS = _byte_symbols()
+
+
+def _plain_letters(word: str) -> bool:
+    """Whether normalising ``word`` is lower-casing it letter by letter, and leaves
+    letters: not for decomposed forms, the sigma and letters that become marks."""
+    return word.isalpha() and word.lower().isalpha() and "Σ" not in word and is_normalized("NFC", word)
+
+
+class WordIds(dict):
+    """Token ids of words as little-endian 32-bit numbers, remembered per word.
 
     The tokenizer drops white space and no token, normalisation or special string
     crosses it, so a text's ids are those of its words in order. Cuts are made at
     the blank and the line feed only. A word of letters with ``TAIL`` characters
-    after it is its letters and its tail, two pre-tokens; unknown letters are
-    encoded many in one call and told apart by the tokens that end a pre-token.
+    after it is its letters and its tail, two pre-tokens; letters are
+    lower-cased, spelt as byte symbols and given to the merge model directly.
 
     Two generations of at most MEMO words are held: a full one becomes the old
     one, from which words in use move on to the next.
     """
 
     def __init__(self, tokenizer: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.merge = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*words)
-        new = used - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.old, self.memo, new = self.memo, {"": b""}, used - {""}
-        self._learn(new)
-        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
-
-    def _learn(self, words: set[str]) -> None:
-        whole, cut = [], []
-        letters, tails = set(), set()
-        for word in words:
-            known = self.old.get(word)
-            if known is not None:
-                self.memo[word] = known
-                continue
-            base = word.rstrip(TAIL)
-            if not base.isalpha() or not (base.isascii() or base.lower().isalpha()):
-                whole.append(word)
-                continue
-            tail = word[len(base) :]
-            base = base.lower() if base.isascii() else base
-            cut.append((word, base, tail))
-            letters.add(base)
-            tails.add(tail)
-        self._encode_letters([w for w in letters if w not in self.memo])
-        whole += [t for t in tails if t not in self.memo]
-        for word, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, "<u4").tobytes()
-        for word, base, tail in cut:
-            self.memo[word] = self.memo[base] + self.memo[tail]
-
-    def _encode_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(stops) != len(some):
-                raise ValueError("a word of letters is not one pre-token of this tokenizer")
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(some, stops.tolist(), strict=True):
-                self.memo[word] = data[start:stop]
-                start = stop
+        known = self.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self._encode(word)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def _encode(self, word: str) -> bytes:
+        base = word.rstrip(TAIL)
+        if not (base.isascii() and base.isalpha() or _plain_letters(base)):
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(base) < len(word):
+            return self[base] + self[word[len(base) :]]
+        lower = base.lower()
+        if lower != base:
+            return self[lower]
+        if not base.isascii():
+            base = base.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return self._packed([t.id for t in self.merge(base)])
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _tokenizers: dict[int, WordIds] = {}
