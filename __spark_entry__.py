@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
+from weftline.functions.hashing import table_hash  # noqa: E402
 from weftline.operators import (  # noqa: E402
     billing,
     chunking,
@@ -222,7 +223,7 @@ def _run(spark: SparkSession, sf_dir: str, period: str, date: str, tenant: str |
     earlier = everyone.join(segment, everyone["account"] == segment["c_custkey"], "left_semi")
     charges = orders(spark, sf_dir)
     existing = billing.billing_run(charges, earlier, date, tenant, period=period)
-    return billing.billing_run(charges, everyone, date, tenant, existing, period).drop("tenant")
+    return billing.billing_run(charges, everyone, date, tenant, existing, period).drop("tenant", "period_end")
 
 
 def billing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,20 +234,44 @@ def billing_run_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, billing.DAY, DAILY_RUN_DATE, None)
 
 
-def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str, runs: list[tuple[str, str]]) -> DataFrame:
+    """Runs (period, date) one after the other, each over the invoices of those before."""
+    charges, everyone = orders(spark, sf_dir), accounts(spark, sf_dir)
+    invoices = None
+    for period, date in runs:
+        new = billing.billing_run(charges, everyone, date, existing=invoices, period=period)
+        new = stage(new, "invoices")
+        invoices = new if invoices is None else invoices.unionByName(new)
+    return invoices.select("account", "period_start", "period_end", "n_charges", "amount")
+
+
+def billing_days_then_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = [(billing.DAY, f"1998-10-{day:02}") for day in (2, 3, 5)]
+    return _runs(spark, sf_dir, [*days, (billing.MONTH, RUN_DATE)])
+
+
+def billing_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, [(billing.MONTH, "1998-03-31"), (billing.MONTH, "1998-04-30")])
+
+
+def _paid(spark: SparkSession, sf_dir: str, issued_by: str | None = None) -> DataFrame:
     return billing.autopay_run(
-        billing.all_invoices(orders(spark, sf_dir)), billing.funds(customer(spark, sf_dir))
+        billing.all_invoices(orders(spark, sf_dir), issued_by=issued_by),
+        billing.funds(customer(spark, sf_dir)),
     )
 
 
+PAID_COLUMNS = ("account", "period_start", "amount", "applied", "balance", "status")
+
+
 def autopay_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paid(spark, sf_dir).select(
-        "account", "period_start", "amount", "applied", "balance", "status"
-    )
+    return _paid(spark, sf_dir).select(*PAID_COLUMNS)
 
 
-def _issued(invoices: DataFrame) -> DataFrame:
-    return invoices.where(F.col("issued") <= F.to_date(F.lit(AS_OF)))
+def autopay_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    purses = billing.funds(customer(spark, sf_dir))
+    charges, everyone = orders(spark, sf_dir), accounts(spark, sf_dir)
+    return billing.autopay_tenant(charges, everyone, purses, TENANT, AS_OF).select(*PAID_COLUMNS)
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,17 +286,17 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issued = _issued(billing.all_invoices(orders(spark, sf_dir)))
+    issued = billing.all_invoices(orders(spark, sf_dir), issued_by=AS_OF)
     marked = billing.invoice_mark(issued, _marks(spark, sf_dir), AS_OF)
     return marked.select("account", "period_start", "due_date", "due_date_marked")
 
 
 def invoice_delinquency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billing.invoice_delinquency(_issued(_paid(spark, sf_dir)), AS_OF)
+    return billing.invoice_delinquency(_paid(spark, sf_dir, AS_OF), AS_OF)
 
 
 def delinquency_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    balances = billing.invoice_mark(_issued(_paid(spark, sf_dir)), _marks(spark, sf_dir), AS_OF)
+    balances = billing.invoice_mark(_paid(spark, sf_dir, AS_OF), _marks(spark, sf_dir), AS_OF)
     balances = stage(balances, "balances")
     return billing.delinquency_transitions(
         billing.invoice_delinquency(balances, AS_OF),
@@ -282,7 +307,7 @@ def delinquency_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- snapshots -------------------------------------------------------------
 
 SNAPSHOT_TABLES = (
-    "region", "nation", "customer", "orders", "events", "documents", "embeddings",
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "benchmark", "labels", "pages", "conversations",
 )
 
@@ -292,6 +317,23 @@ def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_export(spark, tables, fresh_path(spark, "snapshot"))
 
 
+def import_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and hash of every table of a store after the import. Before it, the store
+    held another version of one table and a table that the snapshot lacks."""
+    path, store = fresh_path(spark, "snapshot"), _store(spark)
+    store.replace("region", load_table(spark, sf_dir, "nation"))
+    store.replace("stale", load_table(spark, sf_dir, "region"))
+    snapshot_export(spark, {t: load_table(spark, sf_dir, t) for t in SNAPSHOT_TABLES}, path)
+    snapshot_import_clean(spark, path, {t: schema_of(t) for t in SNAPSHOT_TABLES}, store)
+    found = None
+    for name in store.names():
+        held = store.current(name)
+        row = held.agg(F.count(F.lit(1)).alias("rows"), table_hash(held.schema).alias("content_hash"))
+        row = row.select(F.lit(name).alias("table"), "rows", "content_hash")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def import_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, store = fresh_path(spark, "snapshot"), _store(spark)
     snapshot_export(spark, {"documents": load_table(spark, sf_dir, "documents")}, path)
@@ -366,12 +408,16 @@ def queries() -> dict[str, Query]:
         "tenant_scope": tenant_scope,
         "billing_run": billing_run,
         "billing_run_daily": billing_run_daily,
+        "billing_days_then_month": billing_days_then_month,
+        "billing_month_ends": billing_month_ends,
         "autopay_run": autopay_run,
+        "autopay_tenant": autopay_tenant,
         "invoice_mark": invoice_mark,
         "invoice_delinquency": invoice_delinquency,
         "delinquency_transitions": delinquency_transitions,
         "snapshot_export": export_all,
         "snapshot_import_clean": import_documents,
+        "snapshot_import_all": import_all,
         "location_append": location_append,
         "location_append_stream": location_append_stream,
         "location_latest": location_latest,

@@ -157,7 +157,7 @@ def delinquency(due: str) -> str:
 def billed(start: str, end: str, where: str) -> str:
     return f"""
 WITH {TENANTS}
-SELECT concat_ws(':', tenant, account, '{start}') AS invoice_key, account,
+SELECT concat_ws(':', tenant, account, '{start}', '{end}') AS invoice_key, account,
        DATE '{start}' AS period_start, DATE '{end}' + 30 AS due_date,
        count(*) AS n_charges, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS amount
 FROM orders JOIN accounts ON o_custkey = account
@@ -166,6 +166,15 @@ WHERE o_orderdate >= TIMESTAMP '{start}' AND o_orderdate < TIMESTAMP '{end}'
 GROUP BY tenant, account"""
 
 
+def billed_between(start: str, end: str) -> str:
+    """Charges of [start, end) as one invoice per account with a tenant."""
+    return f"""
+SELECT account, DATE '{start}' AS period_start, DATE '{end}' AS period_end,
+       count(*) AS n_charges, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS amount
+FROM orders JOIN accounts ON o_custkey = account
+WHERE o_orderdate >= TIMESTAMP '{start}' AND o_orderdate < TIMESTAMP '{end}'"""
+
+
 POINTS = r"""
 points AS (
   SELECT doc_id AS point_id, lang AS layer,
@@ -178,7 +187,13 @@ SNAPSHOT_COLUMNS: dict[str, str] = {
     "region": "r_regionkey r_name",
     "nation": "n_nationkey n_name n_regionkey",
     "customer": "c_custkey c_name c_nationkey c_acctbal:num c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:num",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:num",
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:num o_orderdate:time o_orderpriority",
+    "lineitem": (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:num l_extendedprice:num "
+        "l_discount:num l_tax:num l_returnflag l_linestatus l_shipdate:time"
+    ),
     "events": "event_id ts:time user_id event_type value:num props",
     "documents": "doc_id text lang source n_chars",
     "embeddings": "vec_id embedding:list label",
@@ -366,6 +381,21 @@ WITH {TENANTS}
 SELECT account AS c_custkey, tenant FROM accounts WHERE tenant IN ('AMERICA', 'ASIA', 'EUROPE')"""
     sql["billing_run"] = billed("1998-10-01", "1998-11-01", "tenant = 'AMERICA'")
     sql["billing_run_daily"] = billed("1998-10-03", "1998-10-04", "true")
+    days = [("1998-10-01", "1998-10-02"), ("1998-10-02", "1998-10-03"), ("1998-10-04", "1998-10-05")]
+    by_day = [f"{billed_between(*d)} GROUP BY account" for d in days]
+    on_days = " OR ".join(f"o_orderdate::DATE = DATE '{d}'" for d, _ in days)
+    by_day.append(f"{billed_between('1998-10-01', '1998-11-01')} AND NOT ({on_days}) GROUP BY account")
+    sql["billing_days_then_month"] = f"WITH {TENANTS}" + "\nUNION ALL".join(by_day)
+    sql["billing_month_ends"] = f"""
+WITH {TENANTS} {billed_between("1998-02-28", "1998-03-31")} GROUP BY account
+UNION ALL {billed_between("1998-03-30", "1998-04-30")} AND o_orderdate >= TIMESTAMP '1998-03-31'
+GROUP BY account"""
+    sql["autopay_tenant"] = f"""
+WITH {TENANTS}, {INVOICES}
+SELECT account, period_start, amount, applied, balance,
+       CASE WHEN balance = 0 THEN 'paid' WHEN applied > 0 THEN 'partial' ELSE 'open' END AS status
+FROM balances JOIN accounts USING (account)
+WHERE tenant = 'AMERICA' AND issued <= DATE '1998-01-15'"""
     sql["autopay_run"] = f"""
 WITH {INVOICES}
 SELECT account, period_start, amount, applied, balance,
@@ -381,6 +411,7 @@ FROM old FULL OUTER JOIN new USING (account) WHERE old.status IS DISTINCT FROM n
 
     # --- snapshots and locations ---
     sql["snapshot_export"] = "\nUNION ALL".join(snapshot_hash(t) for t in SNAPSHOT_COLUMNS)
+    sql["snapshot_import_all"] = sql["snapshot_export"]
     sql["snapshot_import_clean"] = "SELECT * FROM documents"
     sql["location_append"] = "SELECT * FROM events"
     sql["location_append_stream"] = "SELECT * FROM events"

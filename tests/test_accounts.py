@@ -49,6 +49,39 @@ def test_second_run_adds_nothing(orders, accounts):
     same_rows(other, billing.billing_run(orders, accounts, "1998-12-01"))
 
 
+def test_days_then_month_bill_each_charge_once(orders, accounts):
+    days = billing.billing_run(orders, accounts, "1998-10-02", period=billing.DAY)
+    for date in ("1998-10-03", "1998-10-07"):
+        days = days.unionByName(billing.billing_run(orders, accounts, date, existing=days, period=billing.DAY))
+    month = billing.billing_run(orders, accounts, "1998-11-01", existing=days)
+    both = days.unionByName(month)
+    whole = billing.billing_run(orders, accounts, "1998-11-01")
+    charges = lambda df: df.agg(F.sum("n_charges"), F.sum("amount").cast("decimal(28,2)")).first()
+    assert charges(both) == charges(whole)
+    assert both.count() == both.select("invoice_key").distinct().count()
+    assert billing.billing_run(orders, accounts, "1998-10-05", existing=both, period=billing.DAY).isEmpty()
+
+
+def test_month_ends_do_not_overlap(orders, accounts):
+    march = billing.billing_run(orders, accounts, "1998-03-31")
+    april = billing.billing_run(orders, accounts, "1998-04-30", existing=march)
+    n = orders.where("o_orderdate >= '1998-02-28' AND o_orderdate < '1998-04-30'").join(
+        accounts, F.col("o_custkey") == F.col("account")
+    )
+    assert march.unionByName(april).agg(F.sum("n_charges")).first()[0] == n.count()
+
+
+def test_autopay_of_a_tenant_needs_both(spark, tiny, orders, accounts):
+    purses = billing.funds(load_table(spark, tiny, "customer"))
+    for tenant, date in (("", "1998-01-15"), ("ASIA", None), ("ASIA", "1998-1-15")):
+        with pytest.raises(ValueError):
+            billing.autopay_tenant(orders, accounts, purses, tenant, date)
+    paid = billing.autopay_tenant(orders, accounts, purses, "ASIA", "1998-01-15")
+    plan = paid._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(o_orderdate" in plan
+    assert paid.agg(F.max("issued")).first()[0] <= dt.date(1998, 1, 15)
+
+
 def test_month_is_the_sum_of_its_days(orders, accounts):
     monthly = billing.billing_run(orders, accounts, "1996-03-01", "EUROPE")
     days = None

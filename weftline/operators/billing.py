@@ -43,10 +43,11 @@ def _amount() -> Column:
 
 def _with_key(invoices: DataFrame) -> DataFrame:
     return invoices.select(
-        F.concat_ws(":", "tenant", "account", "period_start").alias("invoice_key"),
+        F.concat_ws(":", "tenant", "account", "period_start", "period_end").alias("invoice_key"),
         "tenant",
         "account",
         "period_start",
+        "period_end",
         "due_date",
         "n_charges",
         "amount",
@@ -64,31 +65,47 @@ def billing_run(
     """Invoices of the period that ends at ``run_date`` (exclusive).
 
     ``tenant`` None bills every tenant. ``existing`` invoices (account,
-    period_start) are not billed again, so a second run adds nothing. The date
-    bounds are literals and reach the scan.
+    period_start, period_end) of any kind of period cover the days between their
+    bounds: those days are not billed again, so a second run adds nothing, a month
+    takes what its daily runs left, and month ends of different length do not
+    overlap. The date bounds are literals and reach the scan.
     """
     _check_period(period)
     end = F.lit(parse_date(run_date))
     start = F.add_months(end, -1) if period == MONTH else F.date_sub(end, 1)
     in_scope = accounts if tenant is None else one_tenant(accounts, tenant)
-    totals = (
+    days = (
         orders.where(F.col("o_orderdate") >= start.cast("timestamp_ntz"))
         .where(F.col("o_orderdate") < end.cast("timestamp_ntz"))
-        .groupBy(F.col("o_custkey").alias("account"))
+        .groupBy(F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("day"))
         .agg(F.count(F.lit(1)).alias("n_charges"), _amount().alias("amount"))
+    )
+    if existing is not None:
+        first, last = F.greatest("period_start", start), F.date_sub(F.least("period_end", end), 1)
+        covered = existing.where((F.col("period_end") > start) & (F.col("period_start") < end))
+        covered = covered.select("account", F.explode(F.sequence(first, last)).alias("day"))  # days of one period
+        days = days.join(covered, ["account", "day"], "left_anti")
+    totals = (
+        days.groupBy("account")
+        .agg(F.sum("n_charges").alias("n_charges"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
         .withColumn("period_start", start)
+        .withColumn("period_end", end)
         .withColumn("due_date", F.date_add(end, DUE_DAYS))
     )
-    if existing is not None:
-        billed = existing.where(F.col("period_start") == start).select("account")
-        totals = totals.join(billed, "account", "left_anti")
     return _with_key(totals.join(in_scope, "account"))
 
 
-def all_invoices(orders: DataFrame, period: str = MONTH) -> DataFrame:
+def all_invoices(
+    orders: DataFrame, period: str = MONTH, issued_by: str | dt.date | None = None
+) -> DataFrame:
     """Every calendar period's invoice of every account: account, period_start,
-    issued, due_date, n_charges, amount."""
+    issued, due_date, n_charges, amount. ``issued_by`` keeps those issued by that
+    day, as a date bound that reaches the scan."""
     _check_period(period)
+    if issued_by is not None:
+        last = parse_date(issued_by)
+        last = last.replace(day=1) if period == MONTH else last
+        orders = orders.where(F.col("o_orderdate") < F.lit(last).cast("timestamp_ntz"))
     day = F.to_date("o_orderdate")
     start = F.trunc(day, "month") if period == MONTH else day
     issued = F.add_months("period_start", 1) if period == MONTH else F.date_add("period_start", 1)
@@ -139,6 +156,19 @@ def autopay_run(invoices: DataFrame, account_funds: DataFrame) -> DataFrame:
     )
 
 
+def autopay_tenant(
+    orders: DataFrame,
+    accounts: DataFrame,
+    account_funds: DataFrame,
+    tenant: str,
+    run_date: str | dt.date | None,
+) -> DataFrame:
+    """Autopay of one tenant's invoices issued by ``run_date``; both are required."""
+    invoices = all_invoices(orders, issued_by=parse_date(run_date))
+    in_scope = one_tenant(accounts, tenant).select("account")
+    return autopay_run(invoices.join(in_scope, "account", "left_semi"), account_funds)
+
+
 def invoice_mark(invoices: DataFrame, marks: DataFrame, as_of: str | dt.date | None) -> DataFrame:
     """Move the due date of the invoices of marked accounts to the day before
     (delinquent) or after (compliant) ``as_of``: adds due_date_marked."""
