@@ -154,6 +154,14 @@ def _store(spark: SparkSession) -> VersionStore:
     return VersionStore(spark, fresh_path(spark, "store"))
 
 
+def semantic_search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search the vectors of an index that held an older corpus and was updated."""
+    store = _store(spark)
+    for corpus in (old_corpus(spark, sf_dir), documents(spark, sf_dir)):
+        index_stream.update_indexes(store, corpus, complete=True)
+    return search.search_chunks(benchmark(spark, sf_dir), store.current(index_stream.VECTORS), K)
+
+
 def full_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark).replace("chunks", indexing.full_rebuild(new_corpus(spark, sf_dir)))
 
@@ -385,6 +393,7 @@ def queries() -> dict[str, Query]:
         "chunk_documents": on_documents(chunking.chunk_documents),
         "hashed_embedding": on_documents(embedding.hashed_embedding),
         "semantic_search": semantic_search,
+        "semantic_search_published": semantic_search_published,
         "cosine_topk_exact": cosine_topk_exact,
         "ivf_cells": ivf_cells,
         "cosine_topk_ivf": cosine_topk_ivf,

@@ -409,6 +409,8 @@ WITH {INVOICES}, old AS ({delinquency('due_date')}), new AS ({delinquency('due_d
 SELECT account, old.status AS old_status, new.status AS new_status
 FROM old FULL OUTER JOIN new USING (account) WHERE old.status IS DISTINCT FROM new.status"""
 
+    sql["semantic_search_published"] = sql["semantic_search"]
+
     # --- snapshots and locations ---
     sql["snapshot_export"] = "\nUNION ALL".join(snapshot_hash(t) for t in SNAPSHOT_COLUMNS)
     sql["snapshot_import_all"] = sql["snapshot_export"]

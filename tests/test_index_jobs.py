@@ -3,7 +3,7 @@ from conftest import rows, same_rows
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import table_hash
-from weftline.operators import chunking, fulltext, health, indexing
+from weftline.operators import chunking, fulltext, health, indexing, search
 from weftline.plans import ordering, sizing, skew
 from weftline.sources import snapshots, workspace
 from weftline.sources.tables import load_table, schema_of
@@ -68,8 +68,12 @@ def test_store_updates_and_resets(spark, corpora):
     indexes.update_indexes(store, new, complete=True)
     same_rows(store.current("chunks"), indexing.full_rebuild(new))
     same_rows(store.current("points"), indexing.point_index(new))
+    same_rows(store.current("vectors"), search.chunk_vectors(indexing.full_rebuild(new)))
     same_rows(store.current("state"), indexing.index_state(new))
     same_rows(first, indexing.full_rebuild(old))  # a reader keeps its version
+    assert store.drop("vectors") is True
+    indexes.update_indexes(store, old.limit(5), complete=False)
+    same_rows(store.current("vectors"), search.chunk_vectors(store.current("chunks")))
     assert store.drop("points") is True and store.current("points") is None
     same_rows(store.replace("points", indexing.point_index(new)), indexing.point_index(new))
 
@@ -96,6 +100,7 @@ def test_stream_of_documents_equals_batch(spark, corpora):
     merged = new.unionByName(old.join(new, "doc_id", "left_anti"))
     same_rows(store.current("chunks"), indexing.full_rebuild(merged))
     same_rows(store.current("state"), indexing.index_state(merged))
+    same_rows(store.current("vectors"), search.chunk_vectors(indexing.full_rebuild(merged)))
     same_rows(store.current("points"), indexing.point_index(merged))
 
 

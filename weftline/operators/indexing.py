@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators.chunking import chunk_documents
 from weftline.operators.embedding import hashed_embedding
+from weftline.operators.search import chunk_vectors
 from weftline.plans.sizing import broadcast_if_small
 
 INSERT, UPDATE, DELETE, UNCHANGED = "insert", "update", "delete", "unchanged"
@@ -49,6 +50,15 @@ def index_apply(old_index: DataFrame, diff: DataFrame, new_documents: DataFrame)
     return kept.unionByName(added)
 
 
+def vectors_apply(old_vectors: DataFrame, diff: DataFrame, new_index: DataFrame) -> DataFrame:
+    """The old vectors of untouched documents and those of the fresh chunks in
+    ``new_index``, the chunk index after the same ``diff``."""
+    gone = broadcast_if_small(diff.where(F.col("change").isin(UPDATE, DELETE)).select("doc_id"))
+    fresh = broadcast_if_small(diff.where(F.col("change").isin(INSERT, UPDATE)).select("doc_id"))
+    kept = old_vectors.join(gone, "doc_id", "left_anti").select(old_vectors.columns)
+    return kept.unionByName(chunk_vectors(new_index.join(fresh, "doc_id", "left_semi")))
+
+
 def full_rebuild(documents: DataFrame) -> DataFrame:
     """The chunk index from nothing. Equal to applying any chain of differences
     that ends at ``documents``."""

@@ -297,12 +297,24 @@ def cosine_topk_ivf(
 # --- text ------------------------------------------------------------------
 
 
-def semantic_search(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
-    """Chunks of ``documents`` nearest to each query text.
+def chunk_vectors(chunks: DataFrame) -> DataFrame:
+    """What a search reads of the chunk index: chunk_id, doc_id, embedding."""
+    return embed(chunks.select("chunk_id", "doc_id", "text"))
+
 
-    ``queries`` holds item_id and text. Chunking, embedding and scoring are one
-    stage over the documents. Result: item_id, chunk_id, doc_id, sim, rank.
+def search_chunks(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """Chunks nearest to each query text, from stored ``chunk_vectors``; no text of
+    the corpus is read.
+
+    ``queries`` holds item_id and text. Result: item_id, chunk_id, doc_id, sim, rank.
     """
     asked = embed(queries.select(F.col("item_id").alias("query_id"), "text"))
-    chunks = embed(chunk_documents(documents).select("chunk_id", "doc_id", "text"))
-    return cosine_topk(asked, chunks, k).withColumnRenamed("query_id", "item_id")
+    return cosine_topk(asked, vectors, k).withColumnRenamed("query_id", "item_id")
+
+
+def semantic_search(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
+    """Chunks of ``documents`` nearest to each query text, without a stored index.
+
+    Chunking, embedding and scoring are one stage over the documents.
+    """
+    return search_chunks(queries, chunk_vectors(chunk_documents(documents)), k)

@@ -1,4 +1,4 @@
-"""Chunk index and point table kept current from a stream of documents."""
+"""Chunk index, its vectors and point table kept current from a stream of documents."""
 
 from __future__ import annotations
 
@@ -7,29 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators import indexing
+from weftline.operators.search import chunk_vectors
 from weftline.sources.versions import VersionStore
 
-CHUNKS, STATE, POINTS = "chunks", "state", "points"
+CHUNKS, STATE, POINTS, VECTORS = "chunks", "state", "points", "vectors"
 
 
 def update_indexes(store: VersionStore, documents: DataFrame, complete: bool) -> None:
-    """Bring the published chunk index, its state and the point table up to date.
+    """Bring the published chunk index, its vectors and state and the point table up
+    to date.
 
     ``complete`` says that ``documents`` is the whole corpus, so documents it
-    lacks are deleted; a partial batch only inserts and updates. The three
+    lacks are deleted; a partial batch only inserts and updates. The four
     tables are published in one step, so a run that fails is simply run again.
     """
     new_state = indexing.index_state(documents)
     old_state, old_index = store.current(STATE), store.current(CHUNKS)
-    old_points = store.current(POINTS)
+    old_points, old_vectors = store.current(POINTS), store.current(VECTORS)
     if old_state is None or old_index is None or old_points is None:
+        chunks = store.write(indexing.full_rebuild(documents), CHUNKS)
         versions = {
-            CHUNKS: store.write(indexing.full_rebuild(documents), CHUNKS),
+            CHUNKS: chunks,
+            VECTORS: store.write(chunk_vectors(store.read(chunks)), VECTORS),
             STATE: store.write(new_state, STATE),
             POINTS: store.write(indexing.point_index(documents), POINTS),
         }
         store.publish(versions)
         return
+    if old_vectors is None:  # an index published without vectors
+        old_vectors = chunk_vectors(old_index)
     diff = indexing.index_diff(old_state, new_state)
     if not complete:
         diff = diff.where(F.col("change") != indexing.DELETE)
@@ -40,9 +46,12 @@ def update_indexes(store: VersionStore, documents: DataFrame, complete: bool) ->
     if not complete:
         kept = old_points.join(seen.withColumnRenamed("doc_id", "point_id"), "point_id", "left_anti")
         points = kept.unionByName(points)
+    chunks = store.write(indexing.index_apply(old_index, diff, documents), CHUNKS)
+    vectors = indexing.vectors_apply(old_vectors, diff, store.read(chunks))
     store.publish(
         {
-            CHUNKS: store.write(indexing.index_apply(old_index, diff, documents), CHUNKS),
+            CHUNKS: chunks,
+            VECTORS: store.write(vectors, VECTORS),
             STATE: store.write(state, STATE),
             POINTS: store.write(points, POINTS),
         }
