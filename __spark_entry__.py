@@ -6,13 +6,14 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from weftline.functions.hashing import table_hash  # noqa: E402
+from weftline.functions.text import lines  # noqa: E402
 from weftline.operators import (  # noqa: E402
     billing,
     chunking,
@@ -25,7 +26,7 @@ from weftline.operators import (  # noqa: E402
     sections,
     tenancy,
 )
-from weftline.operators.sections import SHORT_LINES  # noqa: E402
+from weftline.operators.sections import MARKERS, SHORT_LINES  # noqa: E402
 from weftline.plans.sizing import spread_small_input  # noqa: E402
 from weftline.sources.snapshots import snapshot_export, snapshot_import_clean  # noqa: E402
 from weftline.sources.tables import load_table, schema_of  # noqa: E402
@@ -44,9 +45,11 @@ except ImportError as missing:
 
 K = 10
 NPROBE = 4
+KMEANS_CELLS = 16
 DIM = 64
 
 TENANT = "AMERICA"
+TEXT_TENANT = "src3"
 ENABLED = ("AMERICA", "ASIA", "EUROPE")
 RUN_DATE = "1998-11-01"
 DAILY_RUN_DATE = "1998-10-04"
@@ -72,6 +75,26 @@ def on_documents(job: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(documents(spark, sf_dir))
 
 
+# --- marked text -----------------------------------------------------------
+# The documents in the marker grammar: short lines are headers, long ones entries,
+# and a document opens in the last section of the documents before it.
+
+
+def _marked_line(line: Column, at: Column) -> Column:
+    number, length = (at + 1).cast("string"), F.length(line).cast("string")
+    entry = F.concat(F.lit("line-"), number, F.lit(": "), length, F.lit(" ##@ "), line)
+    header = F.concat(F.lit("##@--  "), line)
+    return F.when(line == "", line).when(F.length(line) <= sections.SHORT_LINE, header).otherwise(entry)
+
+
+def marked(job: Callable[..., DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = F.array_join(F.transform(lines(F.col("text")), _marked_line), "\n")
+        return job(documents(spark, sf_dir).withColumn("text", text), MARKERS, carry_across_docs=True)
+
+    return run
+
+
 # --- vectors ---------------------------------------------------------------
 
 
@@ -93,11 +116,11 @@ def ivf_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ivf_cells(vectors, search.label_centroids(vectors, DIM))
 
 
-def _ivf(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+def _ivf(vectors: DataFrame, centroids: DataFrame, n_probe: int = NPROBE) -> DataFrame:
     vectors = vectors.select("vec_id", "embedding")
     celled = stage(search.ivf_index(vectors, centroids), "celled")
     return search.cosine_topk_ivf(
-        _as_queries(vectors), celled, centroids, K, NPROBE, exclude_self=True
+        _as_queries(vectors), celled, centroids, K, n_probe, exclude_self=True
     )
 
 
@@ -108,7 +131,13 @@ def cosine_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ivf_cells_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = embeddings(spark, sf_dir)
-    return search.ivf_cells(vectors, search.kmeans_centroids(vectors, cells=16))
+    return search.ivf_cells(vectors, search.kmeans_centroids(vectors, cells=KMEANS_CELLS))
+
+
+def cosine_topk_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned cells, all of them probed: the answer is the exact one."""
+    vectors = embeddings(spark, sf_dir)
+    return _ivf(vectors, search.kmeans_centroids(vectors, cells=KMEANS_CELLS), KMEANS_CELLS)
 
 
 # --- index upkeep ----------------------------------------------------------
@@ -205,6 +234,15 @@ def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.fulltext_postings(index, frequencies, ["tenant"])
 
 
+def fulltext_rebuild_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of all tenants of the older corpus, one tenant rebuilt from all documents."""
+    store = _store(spark)
+    for corpus, tenant in ((old_corpus, None), (documents, TEXT_TENANT)):
+        held = corpus(spark, sf_dir).withColumnRenamed("source", "tenant")
+        fulltext.rebuild_postings(store, held, tenant)
+    return fulltext.published_postings(store)
+
+
 def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stage(fulltext.document_terms(documents(spark, sf_dir)), "terms")
     return fulltext.fulltext_topk(benchmark(spark, sf_dir), index, K)
@@ -390,6 +428,9 @@ def queries() -> dict[str, Query]:
         "section_catalog": on_documents(lambda d: sections.section_catalog(d, SHORT_LINES)),
         "section_summary": on_documents(lambda d: sections.section_summary(d, SHORT_LINES)),
         "empty_sections": on_documents(lambda d: sections.empty_sections(d, SHORT_LINES)),
+        "marked_catalog": marked(sections.section_catalog),
+        "marked_summary": marked(sections.section_summary),
+        "marked_empty_sections": marked(sections.empty_sections),
         "chunk_documents": on_documents(chunking.chunk_documents),
         "hashed_embedding": on_documents(embedding.hashed_embedding),
         "semantic_search": semantic_search,
@@ -398,6 +439,7 @@ def queries() -> dict[str, Query]:
         "ivf_cells": ivf_cells,
         "cosine_topk_ivf": cosine_topk_ivf,
         "ivf_cells_kmeans": ivf_cells_kmeans,
+        "cosine_topk_kmeans": cosine_topk_kmeans,
         "index_diff": index_diff,
         "index_apply": index_apply,
         "index_apply_stream": index_apply_stream,
@@ -414,6 +456,7 @@ def queries() -> dict[str, Query]:
         ),
         "fulltext_postings": fulltext_postings,
         "fulltext_topk": fulltext_topk,
+        "fulltext_rebuild_tenant": fulltext_rebuild_tenant,
         "tenant_scope": tenant_scope,
         "billing_run": billing_run,
         "billing_run_daily": billing_run_daily,

@@ -21,6 +21,71 @@ section_rows AS (
 )"""
 
 
+MARKED = rf"""{LINES},
+marked_lines AS (
+  SELECT doc_id, line_no, CASE WHEN line = '' THEN line
+      WHEN length(line) <= 40 THEN concat('##@--  ', line)
+      ELSE concat('line-', line_no, ': ', length(line), ' ##@ ', line) END AS line
+  FROM split_lines
+),
+marked_rows AS (
+  SELECT *, starts_with(line, '##@--') AS is_header,
+         coalesce(last_value(CASE WHEN starts_with(line, '##@--')
+                                  THEN regexp_replace(line, '^##@--\s*', '') END IGNORE NULLS)
+                    OVER (ORDER BY doc_id, line_no
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  'General') AS section
+  FROM marked_lines
+  QUALIFY is_header OR regexp_matches(line, '(?s)^[a-zA-Z0-9_.-]+:.*##@')
+)"""
+MARKED_NAME, MARKED_HELP = (f"regexp_extract(line, '(?s)^([^:]*):.*##@(.*)$', {i})" for i in (1, 2))
+
+
+def catalog(ctes: str, rows: str, name: str, help_: str) -> str:
+    return f"""
+WITH {ctes}
+SELECT doc_id, line_no::INTEGER AS line_no, section,
+       (row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no))::BIGINT AS entry_pos,
+       {name} AS name, {help_} AS help
+FROM {rows} WHERE NOT is_header"""
+
+
+def summary(ctes: str, rows: str, name: str) -> str:
+    return f"""
+WITH {ctes},
+places AS (
+  SELECT section, doc_id, line_no, is_header, line,
+         row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no) AS place
+  FROM {rows}
+)
+SELECT section,
+       max(CASE WHEN place = 1 THEN doc_id END) AS first_doc,
+       max(CASE WHEN place = 1 THEN line_no END)::INTEGER AS first_line,
+       count(*) FILTER (NOT is_header) AS n_entries,
+       (SELECT max(length({name})) FROM {rows} WHERE NOT is_header)::INTEGER AS max_name_len
+FROM places GROUP BY section HAVING count(*) FILTER (NOT is_header) > 0"""
+
+
+def without_entries(ctes: str, rows: str) -> str:
+    return f"""
+WITH {ctes}
+SELECT DISTINCT section FROM {rows} h WHERE is_header
+  AND NOT EXISTS (SELECT 1 FROM {rows} e
+                  WHERE e.section = h.section AND NOT e.is_header)"""
+
+
+def postings(where: str) -> str:
+    return f"""
+WITH tokens AS (
+  SELECT source AS tenant, doc_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term
+  FROM documents WHERE {where}
+),
+counts AS (
+  SELECT tenant, term, doc_id, count(*)::INTEGER AS tf FROM tokens WHERE term <> '' GROUP BY ALL
+)
+SELECT tenant, term, doc_id, tf, count(*) OVER (PARTITION BY tenant, term) AS df FROM counts"""
+
+
 def chunks(source: str = "documents", name: str = "chunks") -> str:
     """Chunks of ``source`` (doc_id, text, lang) as CTEs; the last is ``name``."""
     p = name
@@ -227,34 +292,14 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
     # --- sections ---
-    sql["section_catalog"] = f"""
-WITH {LINES}
-SELECT doc_id, line_no::INTEGER AS line_no, section,
-       (row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no))::BIGINT AS entry_pos,
-       split_part(line, ' ', 1) AS name,
-       CASE WHEN contains(line, ' ') THEN substring(line, instr(line, ' ') + 1) ELSE '' END AS help
-FROM section_rows WHERE NOT is_header"""
-
-    sql["section_summary"] = f"""
-WITH {LINES},
-places AS (
-  SELECT section, doc_id, line_no, is_header, line,
-         row_number() OVER (PARTITION BY section ORDER BY doc_id, line_no) AS place
-  FROM section_rows
-)
-SELECT section,
-       max(CASE WHEN place = 1 THEN doc_id END) AS first_doc,
-       max(CASE WHEN place = 1 THEN line_no END)::INTEGER AS first_line,
-       count(*) FILTER (NOT is_header) AS n_entries,
-       (SELECT max(length(split_part(line, ' ', 1))) FROM section_rows
-        WHERE NOT is_header)::INTEGER AS max_name_len
-FROM places GROUP BY section HAVING count(*) FILTER (NOT is_header) > 0"""
-
-    sql["empty_sections"] = f"""
-WITH {LINES}
-SELECT DISTINCT section FROM section_rows h WHERE is_header
-  AND NOT EXISTS (SELECT 1 FROM section_rows e
-                  WHERE e.section = h.section AND NOT e.is_header)"""
+    name = "split_part(line, ' ', 1)"
+    help_ = "CASE WHEN contains(line, ' ') THEN substring(line, instr(line, ' ') + 1) ELSE '' END"
+    sql["section_catalog"] = catalog(LINES, "section_rows", name, help_)
+    sql["section_summary"] = summary(LINES, "section_rows", name)
+    sql["empty_sections"] = without_entries(LINES, "section_rows")
+    sql["marked_catalog"] = catalog(MARKED, "marked_rows", MARKED_NAME, MARKED_HELP)
+    sql["marked_summary"] = summary(MARKED, "marked_rows", MARKED_NAME)
+    sql["marked_empty_sections"] = without_entries(MARKED, "marked_rows")
 
     # --- chunks, vectors, search ---
     sql["chunk_documents"] = f"WITH {chunks()} SELECT * FROM chunks"
@@ -286,6 +331,8 @@ SELECT query_id, vec_id, sim,
        (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id))::INTEGER AS rank
 FROM scored QUALIFY rank <= 10"""
 
+    sql["cosine_topk_kmeans"] = sql["cosine_topk_exact"]
+
     sql["ivf_cells"] = f"""
 WITH {VECTORS}, {CENTROIDS}, {CELL_RANKS}
 SELECT vec_id, cell FROM cell_ranks WHERE cell_rank = 1"""
@@ -338,15 +385,8 @@ SELECT layer, count(*) AS n_points, round(count(*) / sum(count(*)) OVER (), 6) A
 FROM points GROUP BY layer"""
 
     # --- full text ---
-    sql["fulltext_postings"] = f"""
-WITH tokens AS (
-  SELECT source AS tenant, doc_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term
-  FROM documents
-),
-counts AS (
-  SELECT tenant, term, doc_id, count(*)::INTEGER AS tf FROM tokens WHERE term <> '' GROUP BY ALL
-)
-SELECT tenant, term, doc_id, tf, count(*) OVER (PARTITION BY tenant, term) AS df FROM counts"""
+    sql["fulltext_postings"] = postings("true")
+    sql["fulltext_rebuild_tenant"] = postings("lang <> 'es' OR source = 'src3'")
     sql["fulltext_topk"] = f"""
 WITH tokens AS (
   SELECT doc_id, unnest(string_split_regex(lower(text), '{TOKEN_SEPARATOR}')) AS term FROM documents

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +15,16 @@ from weftline.functions.terms import count_terms
 from weftline.operators import search
 from weftline.plans import skew
 from weftline.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from weftline.sources.versions import Version, VersionStore
+from weftline.sources.workspace import stage
 
 K1 = 1.2
 B = 0.75
 
 SLICE_DOCUMENTS = 20_000
 
+POSTINGS = "postings/"
+
 
 def document_terms(documents: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """One row per document: scope columns, doc_id, doc_len, terms, tfs.
@@ -71,6 +77,33 @@ def fulltext_postings(
     ).select(*on, "doc_id", "tf", "df")
 
 
+def rebuild_postings(store: VersionStore, documents: DataFrame, tenant: str | None = None) -> None:
+    """Rebuild and publish the postings of one tenant or, without one, of all.
+
+    Each tenant is a part of its own in ``store``. A rebuild of one tenant reads its
+    documents, writes its part and leaves the other parts as they are. A tenant
+    without postings has no part. ``documents`` has tenant, doc_id and text; rows
+    without a tenant are left out.
+    """
+    held = documents.where(F.col("tenant").isNotNull() if tenant is None else F.col("tenant") == tenant)
+    index = stage(document_terms(held, ["tenant"]), "terms")
+    frequencies = stage(document_frequencies(index, ["tenant"]), "frequencies")
+    part = F.md5("tenant").alias("part")  # a safe folder name for any tenant
+    postings = fulltext_postings(index, frequencies, ["tenant"])
+    written = store.write(postings.select("*", part), "postings", partition_by="part")
+    found = [row["part"] for row in frequencies.select(part).distinct().collect()]  # one per tenant
+    new = {POSTINGS + p: Version(f"{written.path}/part={p}", postings.schema) for p in found}
+    rebuilt = [n for n in store.names() if n.startswith(POSTINGS)]
+    if tenant is not None:
+        rebuilt = [n for n in rebuilt if n == POSTINGS + hashlib.md5(tenant.encode()).hexdigest()]
+    store.publish(new, withdraw=[n for n in rebuilt if n not in new])
+
+
+def published_postings(store: VersionStore) -> DataFrame | None:
+    """tenant, term, doc_id, tf, df of every tenant; None before the first rebuild."""
+    return store.parts(POSTINGS)
+
+
 def fulltext_topk(
     queries: DataFrame,
     index: DataFrame,

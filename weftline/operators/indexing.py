@@ -16,10 +16,10 @@ INSERT, UPDATE, DELETE, UNCHANGED = "insert", "update", "delete", "unchanged"
 
 def index_state(documents: DataFrame) -> DataFrame:
     """What an index of ``documents`` has seen: doc_id, content_hash. The layer
-    is part of the hash because it is part of the chunks."""
-    return documents.select(
-        "doc_id", tx.content_hash(F.concat_ws("\n", "lang", "text")).alias("content_hash")
-    )
+    is part of the hash because it is part of the chunks; JSON keeps nulls and the
+    two columns apart."""
+    seen = F.to_json(F.struct("lang", "text"))
+    return documents.select("doc_id", tx.content_hash(seen).alias("content_hash"))
 
 
 def index_diff(old_state: DataFrame, new_state: DataFrame) -> DataFrame:

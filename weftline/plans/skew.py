@@ -23,8 +23,8 @@ def join_per_key(
     """Inner join of ``facts`` with one row per key.
 
     Few keys (counted) are broadcast and ``facts`` stay where they are. Else both
-    sides are shuffled by key and the per-key side, one row per key, is hashed,
-    so ``facts`` need no sort.
+    sides are shuffled by key. No hash build is asked for: the per-key side grows
+    with the vocabulary, and a sort can spill.
 
     ``weight`` is a column of ``per_key`` that holds the number of fact rows of
     the key. Keys above the limit are salted: their facts are spread by the hash
@@ -37,7 +37,7 @@ def join_per_key(
     total, heaviest = per_key.agg(F.sum(weight), F.max(weight)).first()
     limit = max(hot_rows, -(-(total or 0) // MAX_HOT_KEYS))
     if (heaviest or 0) <= limit:
-        return facts.join(per_key.hint("shuffle_hash"), on)
+        return facts.join(per_key, on)
     salts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     hot = F.broadcast(
         per_key.where(F.col(weight) > limit).select(*on, salts.alias("salts__"))
@@ -56,4 +56,4 @@ def join_per_key(
             ).otherwise(F.array(F.lit(0)))
         ),
     )
-    return spread.join(repeated.hint("shuffle_hash"), [*on, "salt__"]).drop("salt__", "salts__")
+    return spread.join(repeated, [*on, "salt__"]).drop("salt__", "salts__")

@@ -81,6 +81,23 @@ class VersionStore:
             return None
         return self.read(Version(latest["path"], T.StructType.fromJson(json.loads(latest["schema"]))))
 
+    def parts(self, prefix: str) -> DataFrame | None:
+        """The published versions of all names that begin with ``prefix``, tables of
+        one schema, in one scan. None when there are none."""
+        last = (
+            self._ledger()
+            .where(F.col("name").startswith(prefix))
+            .groupBy("name")
+            .agg(F.max_by(F.struct("path", "schema"), "seq").alias("last"))
+            .where("last.path IS NOT NULL")
+            .select("last.*")
+            .collect()
+        )
+        if not last:
+            return None
+        schema = T.StructType.fromJson(json.loads(last[0]["schema"]))
+        return self.spark.read.schema(schema).parquet(*[row["path"] for row in last])
+
     def drop(self, name: str) -> bool:
         """Withdraw the published version. False, and no error, when there is none."""
         if self.current(name) is None:
