@@ -90,6 +90,31 @@ def test_spans_hold_the_leak(spark, edited):
         assert d.align(d.words_of(dict(items)[r["item_id"]].encode()), d.words_of(span.encode()))[0] == r["score"]
 
 
+def test_a_frequent_excerpt_of_a_long_item_is_found_everywhere(spark):
+    rng = random.Random(8)
+    item = [f"item{i}" for i in range(100)]
+    rows = []
+    for n in range(1000):
+        text = [f"word{rng.randrange(400)}" for _ in range(20)]
+        if n < 63:
+            excerpt = item[:45] if n >= 3 else list(item)
+            for at in range(n % 6):  # a word replaced in every stretch of MIN_SCORE / 2
+                excerpt[5 + 8 * at] = "other"
+            text[10:10] = excerpt
+        rows.append((n, " ".join(text)))
+    items = [(1, " ".join(item))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = found(d.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert got == brute(rows, items) and {i for i, _ in got} == set(range(63))
+
+
+def test_the_count_of_words_is_never_less_than_the_score():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        item, passage = rng.integers(1, 6, rng.integers(1, 12)), rng.integers(1, 9, rng.integers(1, 60))
+        assert d.most_words(item, passage) >= d.align(item, passage)[0]
+
+
 def test_leaks_of_odd_rows(spark):
     odd = odd_documents(spark)
     items = [(1, None), (None, "a b c d"), (2, ""), (3, "two words"), (4, "a shared line of more than forty characters in many documents")]

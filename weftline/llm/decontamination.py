@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: shared n-grams as seeds, then Smith-Waterman alignment.
 
 One scan finds the places where a document shares a word n-gram with any test
 item. A bitmap of fixed size says which n-grams those may be, so what travels to
 the tasks does not grow with the benchmark; the few false hits drop out in the
 exact join that follows. Hits close to each other make a passage.
 
-Document frequencies of the shared n-grams are counted over the whole corpus. The
-seeds of an item are its rare n-grams: those in at most ``RARE_SHARE`` of the
-documents, and in any case the rarer half of its own, so an item that leaked into
-very many documents is still found everywhere. Passages join items by seeds, and
-each pair is aligned by words (Smith-Waterman: match 1, mismatch and gap -1), which
-scores copies with replaced, missing or added words. A pair that shares a seed is a
-leak from ``MIN_SHARE`` of the item on, or from ``MIN_SCORE`` on for long items.
+Every shared n-gram is a seed, however many documents hold it, so an excerpt that
+leaked into very many documents is found everywhere. Passages join items by seeds.
+A pair goes on when enough words of the item stand close together in the passage;
+this count is never less than the score, so no leak is lost by it. What is left is
+aligned by words (Smith-Waterman: match 1, mismatch and gap -1), which scores
+copies with replaced, missing or added words. A pair that shares a seed is a leak
+from ``MIN_SHARE`` of the item on, or from ``MIN_SCORE`` on for long items.
 
 Defined results: words are the letters and digits of the pieces between white
 space, in lower case. Null and empty texts have none. Items of fewer words than a
@@ -35,7 +35,6 @@ from weftline.sources.workspace import stage
 GRAM = 3
 BITMAP_BITS = 26
 MARGIN = 64
-RARE_SHARE = 0.001
 MIN_SHARE = 0.5
 MIN_SCORE = 30
 MEMO = 300_000
@@ -173,27 +172,45 @@ def find_passages(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Align each (passage, item) around its seeds; stretches far apart each alone."""
-    for batch in batches:
-        rows = []
-        for doc_id, first_word, text, item_id, item, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            codes = word_hashes(text.encode().split())
-            at = np.flatnonzero(codes)
-            words, wanted = codes[at], words_of(item.encode())
-            seeds, reach = np.unique(places), len(wanted) + MARGIN
-            best = (0, 0, 0)
-            for group in np.split(seeds, np.flatnonzero(np.diff(seeds) > 2 * reach) + 1):
-                low, high = max(0, group[0] - reach), group[-1] + reach
-                score, start, end = align_span(wanted, words[low:high])
-                if score > best[0]:
-                    best = (score, int(at[low + start]), int(at[low + end - 1]) + 1)
-            score, start, end = best
-            rows.append((doc_id, item_id, score, score / len(wanted), first_word + start, end - start))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "item_id", "score", "share", "first_word", "n_words"]
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+def most_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """No local alignment scores more: the most words of the item within any stretch
+    of the passage as long as an alignment of positive score can be."""
+    counts = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    width = min(2 * len(item), len(passage))
+    return min(len(item), int((counts[width:] - counts[: len(counts) - width]).max()))
+
+
+def _aligned(pairs: DataFrame, min_share: float, min_score: int) -> DataFrame:
+    """The leaks among (passage, item): each pair aligned around its seeds, stretches
+    far apart each alone."""
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, first_word, text, item_id, item, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = word_hashes(text.encode().split())
+                at = np.flatnonzero(codes)
+                words, wanted = codes[at], words_of(item.encode())
+                seeds, reach = np.unique(places), len(wanted) + MARGIN
+                best = (0, 0, 0)
+                for group in np.split(seeds, np.flatnonzero(np.diff(seeds) > 2 * reach) + 1):
+                    low, high = max(0, group[0] - reach), group[-1] + reach
+                    most = most_words(wanted, words[low:high])
+                    if most <= best[0] or (most < min_score and most / len(wanted) < min_share):
+                        continue
+                    score, start, end = align_span(wanted, words[low:high])
+                    if score > best[0]:
+                        best = (score, int(at[low + start]), int(at[low + end - 1]) + 1)
+                score, start, end = best
+                if score >= min_score or score / len(wanted) >= min_share:
+                    rows.append((doc_id, item_id, score, score / len(wanted), first_word + start, end - start))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            names = ["doc_id", "item_id", "score", "share", "first_word", "n_words"]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    schema = "doc_id bigint, item_id bigint, score bigint, share double, first_word bigint, n_words bigint"
+    return pairs.mapInArrow(aligned, schema)
 
 
 def find_leaks(
@@ -201,35 +218,28 @@ def find_leaks(
     items: DataFrame,
     min_share: float = MIN_SHARE,
     min_score: int = MIN_SCORE,
-    rare_share: float = RARE_SHARE,
+    rare_share: float | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``doc_id, item_id, score, share, first_word, n_words`` of every leak, the best
-    alignment of each document and item; places count pieces between white space."""
+    alignment of each document and item; places count pieces between white space.
+    ``rare_share`` is accepted from older callers and changes nothing."""
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     grams = stage(_item_grams(items.withColumn("text", F.col("text").cast("binary"))), "item-grams")
     passages = find_passages(texts, _bitmap(grams)).withColumn("passage", F.monotonically_increasing_id())
     passages = stage(passages, "passages")
-    hits = passages.select("passage", "doc_id", F.inline("hits"))
+    hits = passages.select("passage", F.inline("hits"))
 
-    in_docs = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = grams.join(in_docs, "gram")
-    n_docs = texts.count()
-    middle = known.groupBy("item_id").agg(F.percentile_approx("df", 0.5, F.lit(1000)).alias("middle"))
-    rare = F.col("df") <= F.greatest(F.lit(int(rare_share * n_docs)), F.col("middle"))
-    seeds = stage(known.join(middle, "item_id").where(rare).select("gram", "item_id"), "seeds")
-
-    found = hits.join(broadcast_if_small(seeds), "gram").groupBy("passage", "item_id")
+    found = hits.join(broadcast_if_small(grams), "gram").groupBy("passage", "item_id")
     candidates = found.agg(F.collect_set("place").alias("places"))
     pairs = (
         candidates.join(passages.select("passage", "doc_id", "first_word", "text"), "passage")
         .join(items.withColumnRenamed("text", "item"), "item_id")
         .select("doc_id", "first_word", "text", "item_id", "item", "places")
     )
-    schema = "doc_id bigint, item_id bigint, score bigint, share double, first_word bigint, n_words bigint"
-    aligned = pairs.mapInArrow(_aligned, schema).where((F.col("share") >= min_share) | (F.col("score") >= min_score))
+    aligned = _aligned(pairs, min_share, min_score)
     best = F.max(F.struct("score", "share", (-F.col("first_word")).alias("first_word"), "n_words")).alias("best")
     return aligned.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id",
