@@ -210,6 +210,18 @@ def test_fingerprints_ignore_order_and_take_updates():
     assert fingerprints.Vector.from_bytes(whole.to_bytes()).likeness(whole) == 1.0
 
 
+@pytest.mark.parametrize("n", [30_000, 40_000, 66_000, 131_000])
+def test_likeness_of_long_repetitive_texts(n):
+    text = " ".join(["again"] * n)
+    edited = fingerprints.edit(text, " ".join(["other"] * n))
+    whole, changed = fingerprints.of_text(text), fingerprints.of_text(edited)
+    held = fingerprints.Vector.from_bytes(changed.to_bytes())
+    # equal pairs fill one lane with n - 1, and n / 4 of them are replaced by as many of another
+    kept, new = 3 * n // 4, n // 4
+    assert whole.likeness(held) == pytest.approx(1 - 2 * new**2 / (n**2 + kept**2 + new**2), abs=1e-3)
+    assert fingerprints.edited_vector(whole, text, edited).to_bytes() == changed.to_bytes()
+
+
 def test_fingerprints_of_odd_rows(spark):
     found = fingerprints.fingerprint_documents(odd_documents(spark))
     assert found.count() == len(texts_of(odd_documents(spark)))

@@ -5,8 +5,9 @@ fingerprint is the sum of its paragraphs' vectors modulo powers of two:
 
 * four lanes modulo 2**64 from a 256-bit hash of the paragraph: equal multisets of
   paragraphs give equal sums whatever their order;
-* ``LANES`` lanes modulo 2**16 that count the paragraph's word pairs with random
+* ``LANES`` lanes modulo 2**32 that count the paragraph's word pairs with random
   signs: the difference of two sums shows how many pairs the documents do not share.
+  A text of less than 2 GB has at most 2**30 pairs, so no count wraps.
 
 Because it is a sum, paragraphs can be inserted and deleted without the rest of
 the document: ``plus`` and ``minus``. The edited texts below are done that way.
@@ -66,18 +67,18 @@ class Vector:
         return Vector(self.exact - other.exact, self.lanes - other.lanes)
 
     def to_bytes(self) -> bytes:
-        return self.exact.astype("<u8").tobytes() + self.lanes.astype("<u2").tobytes()
+        return self.exact.astype("<u8").tobytes() + self.lanes.astype("<u4").tobytes()
 
     @staticmethod
     def from_bytes(data: bytes) -> Vector:
-        return Vector(np.frombuffer(data, "<u8", EXACT), np.frombuffer(data, "<u2", LANES, 8 * EXACT))
+        return Vector(np.frombuffer(data, "<u8", EXACT), np.frombuffer(data, "<u4", LANES, 8 * EXACT))
 
     def likeness(self, other: Vector) -> float:
         """1 for equal fingerprints; else the share of word pairs in common, estimated."""
         if np.array_equal(self.exact, other.exact) and np.array_equal(self.lanes, other.lanes):
             return 1.0
-        a, b = (v.lanes.view(np.int16).astype(np.float64) for v in (self, other))
-        apart = (self.lanes - other.lanes).view(np.int16).astype(np.float64)
+        a, b = (v.lanes.view(np.int32).astype(np.float64) for v in (self, other))
+        apart = (self.lanes - other.lanes).view(np.int32).astype(np.float64)
         both = a @ a + b @ b
         return float(np.clip(1 - (apart @ apart) / both, 0.0, 1.0)) if both else 0.0
 
@@ -96,7 +97,7 @@ def of_paragraphs(paragraphs: list[str]) -> Vector:
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     slots = (mixed >> np.uint64(40))[codes[:-1] != np.uint64(_hashes[END])]
     counts = np.bincount((slots % np.uint64(2 * LANES)).astype(np.int64), minlength=2 * LANES)
-    return Vector(exact, (counts[:LANES] - counts[LANES:]).astype(np.int16).view(np.uint16))
+    return Vector(exact, (counts[:LANES] - counts[LANES:]).astype(np.int32).view(np.uint32))
 
 
 def of_text(text: str) -> Vector:
