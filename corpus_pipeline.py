@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
-1. language ID: documents without a recognised language go;
+1. language ID: documents whose words are of no recognised language go, texts of
+   several languages stay; all stay when there are no labelled rows to learn from;
 2. line dedup: lines repeated in later documents go, documents stay;
 3. near-dedup: one document of each group of near copies stays;
 4. decontamination: documents that hold a test item go;
@@ -23,13 +24,16 @@ from weftline.llm.queries import WORD_TOKENIZER, language_model
 from weftline.sources.tables import load_table
 from weftline.sources.workspace import stage
 
-MIN_LANGUAGE_SCORE = 0.35
+MIN_LANGUAGE_SCORE = 0.35  # of the mean certainty of the words
 NEAR_PERCENT = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.with_language(docs, language_model(docs), "found__")
-    sure = (F.col("found__.lang") != language.UNKNOWN) & (F.col("found__.score") >= MIN_LANGUAGE_SCORE)
+    model = language_model(docs)
+    if model is None:
+        return docs
+    found = language.with_language(docs, model, "found__", certainty=True)
+    sure = (F.col("found__.lang") != language.UNKNOWN) & (F.col("found__.certainty") >= MIN_LANGUAGE_SCORE)
     return found.where(sure).select(docs.columns)
 
 

@@ -3,11 +3,14 @@
 import corpus_pipeline
 import pytest
 from cases import no_documents, odd_documents, texts_of
+from pyspark.sql import functions as F
 from test_decontamination import brute as brute_leaks
 from test_minhash import brute as brute_groups
 from test_native_operators import check_packing
 from test_text_operators import brute_lines
 
+from weftline.llm import language
+from weftline.llm.queries import language_model
 from weftline.sources.tables import load_table, schema_of
 from weftline.sources.workspace import stage
 
@@ -45,6 +48,22 @@ def test_stages_against_brute_force(spark, tiny):
     check_packing(after.collect(), before, 2048)
 
 
+def test_texts_of_several_languages_stay(spark, tiny):
+    docs = load_table(spark, tiny, "documents")
+    by_lang = {r["lang"]: r["text"].split() for r in docs.where("n_chars > 400").collect()}
+    assert len(by_lang) >= 3
+    mixed = " ".join(w for _, words in sorted(by_lang.items()) for w in words[:40])
+    own = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("bigint"), "text": F.lit(mixed), "lang": F.lit(None).cast("string")})
+    found = language.with_language(own, language_model(docs), "found").select("found.score").first()[0]
+    assert found < corpus_pipeline.MIN_LANGUAGE_SCORE
+    assert -1 in ids(corpus_pipeline.language_stage(spark, docs.unionByName(own), tiny))
+
+
+def test_documents_pass_when_no_language_can_be_learned(spark, tiny):
+    docs = load_table(spark, tiny, "documents").withColumn("lang", F.lit(None).cast("string"))
+    assert ids(corpus_pipeline.language_stage(spark, docs, tiny)) == ids(docs)
+
+
 def test_run_gives_the_packed_pieces(spark, tiny):
     found = corpus_pipeline.run(spark, tiny)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 50

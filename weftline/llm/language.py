@@ -320,14 +320,18 @@ def _share(docs: DataFrame, model: Model | None) -> _Shared:
     return _Shared(broadcast, f"{context.applicationId}-{name}")
 
 
-def with_language(docs: DataFrame, model: Model | None, name: str = "language", text_column: str = "text") -> DataFrame:
-    """``docs`` and a column ``name``: struct(lang, score, n_words)."""
+def with_language(
+    docs: DataFrame, model: Model | None, name: str = "language", text_column: str = "text", certainty: bool = False
+) -> DataFrame:
+    """``docs`` and a column ``name``: struct(lang, score, n_words), on demand with
+    ``certainty``: the mean over the words of the largest probability of a language."""
     shared = _share(docs, model)
 
-    @F.pandas_udf("lang string, score double, n_words bigint")
+    @F.pandas_udf("lang string, score double, n_words bigint" + (", certainty double" if certainty else ""))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             langs, shares, n_words = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            sure = np.zeros(len(texts))
             if shared.value is not None:
                 labeller = _labeller(shared)
                 names = shared.value.languages
@@ -339,12 +343,16 @@ def with_language(docs: DataFrame, model: Model | None, name: str = "language",
                         [np.bincount(owner, votes * marginals[:, k], len(lengths)) for k in range(len(names))], 1
                     )
                     best = share.argmax(1)
+                    if certainty:
+                        most = np.bincount(owner, votes * marginals.max(1), len(lengths))
+                        sure[places] = np.minimum(1.0, most / np.maximum(n, 1))
                     for i, place in enumerate(places):
                         n_words[place] = lengths[i]
                         if n[i]:
                             langs[place] = names[best[i]]
                             shares[place] = min(1.0, share[i, best[i]] / n[i])
-            yield pd.DataFrame({"lang": langs, "score": shares, "n_words": n_words})
+            found = pd.DataFrame({"lang": langs, "score": shares, "n_words": n_words})
+            yield found.assign(certainty=sure) if certainty else found
 
     return docs.withColumn(name, predict(F.col(text_column)))
 
