@@ -64,6 +64,23 @@ def test_documents_pass_when_no_language_can_be_learned(spark, tiny):
     assert ids(corpus_pipeline.language_stage(spark, docs, tiny)) == ids(docs)
 
 
+@pytest.mark.parametrize("top", [7, 2**63 - 1])
+def test_rows_without_an_id_are_judged(spark, tiny, top):
+    item = load_table(spark, tiny, "benchmark").where("text IS NOT NULL").orderBy("item_id").first()["text"]
+    words = " ".join(f"word{i}" for i in range(60))
+    line = "a line of more than forty characters in five documents"
+    texts = [(top, f"named {words}"), (None, f"named {words}"), (None, words[::-1]), (None, words[::-1]), (None, f"x {item}")]
+    texts += [(None, f"{line}\n{n} alone") for n in range(5)]
+    docs = stage(spark.createDataFrame([(*t, "en", "s", 0) for t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint"), "rows")
+    cleaned = texts_of(corpus_pipeline.line_stage(spark, docs, tiny))
+    assert sum(line in t for _, t in cleaned) == 1 and len(cleaned) == len(texts)
+    assert sum(i is None for i, _ in cleaned) == len(texts) - 1
+    once = [t for _, t in texts_of(corpus_pipeline.near_duplicate_stage(spark, docs, tiny))]
+    assert once.count(f"named {words}") == once.count(words[::-1]) == 1
+    left = texts_of(corpus_pipeline.decontamination_stage(spark, docs, tiny))
+    assert sorted(left, key=repr) == sorted((t for t in texts if item not in t[1]), key=repr)
+
+
 def test_run_gives_the_packed_pieces(spark, tiny):
     found = corpus_pipeline.run(spark, tiny)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 50
