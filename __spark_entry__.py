@@ -191,12 +191,20 @@ def semantic_search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_chunks(benchmark(spark, sf_dir), store.current(index_stream.VECTORS), K)
 
 
+def _rebuilt(spark: SparkSession, sf_dir: str, corpus: DataFrame) -> VersionStore:
+    """A store that held the older corpus, all its tables rebuilt from ``corpus``."""
+    store = _store(spark)
+    index_stream.update_indexes(store, old_corpus(spark, sf_dir), complete=True)
+    index_stream.rebuild_indexes(store, corpus)
+    return store
+
+
 def full_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark).replace("chunks", indexing.full_rebuild(new_corpus(spark, sf_dir)))
+    return _rebuilt(spark, sf_dir, new_corpus(spark, sf_dir)).current(index_stream.CHUNKS)
 
 
 def full_rebuild_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark).replace("points", indexing.point_index(documents(spark, sf_dir)))
+    return _rebuilt(spark, sf_dir, documents(spark, sf_dir)).current(index_stream.POINTS)
 
 
 def dual_target_index(spark: SparkSession, sf_dir: str) -> DataFrame:

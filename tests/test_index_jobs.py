@@ -1,3 +1,4 @@
+import __spark_entry__ as entry
 import pytest
 from conftest import rows, same_rows
 from pyspark.sql import functions as F
@@ -78,6 +79,19 @@ def test_store_updates_and_resets(spark, corpora):
     same_rows(store.replace("points", indexing.point_index(new)), indexing.point_index(new))
 
 
+@pytest.mark.parametrize("name, corpus", [("full_rebuild", entry.new_corpus), ("full_rebuild_points", entry.documents)])
+def test_rebuild_leaves_no_table_of_the_old_corpus(spark, tiny, monkeypatch, name, corpus):
+    store = VersionStore(spark, fresh_path(spark, "store"))
+    indexes.update_indexes(store, entry.old_corpus(spark, tiny), complete=True)
+    monkeypatch.setattr(entry, "_store", lambda spark: store)
+    entry.queries()[name](spark, tiny)
+    docs = corpus(spark, tiny)
+    same_rows(store.current("chunks"), indexing.full_rebuild(docs))
+    same_rows(store.current("vectors"), search.chunk_vectors(indexing.full_rebuild(docs)))
+    same_rows(store.current("state"), indexing.index_state(docs))
+    same_rows(store.current("points"), indexing.point_index(docs))
+
+
 def test_failed_build_leaves_the_published_version(spark, corpora):
     old, _ = corpora
     store = VersionStore(spark, fresh_path(spark, "store"))

@@ -13,6 +13,20 @@ from weftline.sources.versions import VersionStore
 CHUNKS, STATE, POINTS, VECTORS = "chunks", "state", "points", "vectors"
 
 
+def rebuild_indexes(store: VersionStore, documents: DataFrame) -> None:
+    """Make all four tables anew from the whole corpus, whatever the store holds, and
+    publish them in one step."""
+    chunks = store.write(indexing.full_rebuild(documents), CHUNKS)
+    store.publish(
+        {
+            CHUNKS: chunks,
+            VECTORS: store.write(chunk_vectors(store.read(chunks)), VECTORS),
+            STATE: store.write(indexing.index_state(documents), STATE),
+            POINTS: store.write(indexing.point_index(documents), POINTS),
+        }
+    )
+
+
 def update_indexes(store: VersionStore, documents: DataFrame, complete: bool) -> None:
     """Bring the published chunk index, its vectors and state and the point table up
     to date.
@@ -25,14 +39,7 @@ def update_indexes(store: VersionStore, documents: DataFrame, complete: bool) ->
     old_state, old_index = store.current(STATE), store.current(CHUNKS)
     old_points, old_vectors = store.current(POINTS), store.current(VECTORS)
     if old_state is None or old_index is None or old_points is None:
-        chunks = store.write(indexing.full_rebuild(documents), CHUNKS)
-        versions = {
-            CHUNKS: chunks,
-            VECTORS: store.write(chunk_vectors(store.read(chunks)), VECTORS),
-            STATE: store.write(new_state, STATE),
-            POINTS: store.write(indexing.point_index(documents), POINTS),
-        }
-        store.publish(versions)
+        rebuild_indexes(store, documents)
         return
     if old_vectors is None:  # an index published without vectors
         old_vectors = chunk_vectors(old_index)
