@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontamination, fingerprints, language, lines, minhash, packing, sharding, token_counts, url_filter
+from weftline.llm import (
+    chat, decontamination, fingerprints, language, lines, minhash, packing, phrases, sharding, token_counts, url_filter,
+)
 from weftline.llm.url_filter import ALLOW, BLOCK, Rule
 from weftline.sources.tables import load_table
 
@@ -209,6 +211,52 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+# --- 13 phrases ------------------------------------------------------------
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
+PHRASES_SQL = rf"""
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), cut AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS words FROM cut
+), totals AS (
+  SELECT lang, sum(len(words))::HUGEINT AS n FROM pieces GROUP BY lang
+), starts AS (
+  SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+  FROM pieces, (SELECT unnest(range(1, {phrases.MAX_WORDS + 1})) AS k) WHERE len(words) >= k
+), frequent AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM starts GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}
+), cuts AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS c FROM frequent WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.c, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.c], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.c + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM frequent s JOIN frequent b
+    ON s.lang = b.lang AND s.k > 1 AND b.k > s.k AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+    AND 100 * b.f >= {phrases.PERCENT} * s.f
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {phrases.TOP}
+"""
+
+
 # --- contract --------------------------------------------------------------
 
 
@@ -224,6 +272,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash_groups": op9_minhash_groups,
         "op10_fingerprints": op10_fingerprints,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -232,4 +281,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": CHAT_SQL,
         "op4_url_filter": _rule_sql(),
         "op8_line_dedup": LINES_SQL,
+        "op13_phrases": PHRASES_SQL,
     }
