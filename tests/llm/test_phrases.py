@@ -72,16 +72,20 @@ def test_part_of_a_longer_phrase_by_share(corpus):
     assert mined(corpus, **options) == brute(rows, **options)
 
 
-def test_many_small_shards_change_nothing(corpus, monkeypatch):
-    whole = mined(corpus, min_count=3)
-    monkeypatch.setattr(phrases, "MAX_LANGUAGES", 1)  # totals unknown: lowered support of one
-    assert mined(corpus.repartition(31), min_count=3) == whole
+@pytest.mark.parametrize("shards", [1, 2, 50])
+def test_shards_change_nothing(corpus, shards):
+    texts = corpus.selectExpr("coalesce(lang, 'und') AS lang", "text")
+    found = [
+        sorted(tuple(r) for r in phrases.frequent_phrases(texts.repartition(n), 7, 5, s)[1].collect())
+        for n, s in ((1, 8), (9, shards))
+    ]
+    assert found[0] == found[1]
 
 
 def test_a_full_map_changes_nothing(corpus):
     texts = corpus.selectExpr("coalesce(lang, 'und') AS lang", "text")
     wide, narrow = (
-        sorted(tuple(r) for r in phrases.frequent_phrases(texts, 3, 5, bits)[1].collect()) for bits in (1 << 26, 64)
+        sorted(tuple(r) for r in phrases.frequent_phrases(texts, 3, 5, map_bits=bits)[1].collect()) for bits in (1 << 26, 64)
     )
     assert wide == narrow
 

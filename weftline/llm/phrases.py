@@ -1,11 +1,12 @@
 """Phrase collocations by SON partitioning (Savasere, Omiecinski and Navathe 1995).
 
-A phrase with ``min_count`` occurrences in the corpus has, in at least one shard, its
-share of them: ``min_count`` times the shard's part of all words. So
+The documents are dealt to ``SHARDS`` shards of about one size, whole partitions each.
+A phrase with ``min_count`` occurrences in the corpus has its share of them,
+``min_count / SHARDS``, in at least one shard. So
 
-* mine: each shard (a block of documents inside one task) finds all its phrases that
-  reach this lowered support. It goes length by length: a phrase of k words is made
-  of two of k-1 words that reach it;
+* mine: each shard finds all its phrases that reach this lowered support. A shard is
+  as many tasks as it has partitions: a task counts the phrases of a block of words,
+  the counts of a shard are added up by hash;
 * unite: the hashes of the locally frequent phrases set the bits of one map of fixed
   size. Two phrases on one bit only mean that more is counted;
 * count: every shard counts all phrases whose bit is set and whose parts are
@@ -13,8 +14,7 @@ share of them: ``min_count`` times the shard's part of all words. So
 
 Single words come first and are all counted. Then two rounds follow: pairs of words
 that are frequent themselves, then phrases of three words and more whose pairs are
-frequent in the whole corpus. These rules do not depend on the shards. They carry the
-work where shards are so many that the lowered support is one occurrence.
+frequent in the whole corpus.
 
 Scores are native: a phrase is cut in two, ``l`` and ``r`` count its parts, the score
 is floor(1000 * a * n / (l * r)) in decimals of 38 digits, the lowest cut counts.
@@ -33,11 +33,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.sizing import fetch_bounded
 from weftline.sources.workspace import stage
 
 MIN_COUNT = 100
@@ -46,9 +46,8 @@ TOP = 2000
 PERCENT = 100  # of a phrase's occurrences, inside a longer one, that make it redundant
 UNKNOWN = "und"
 BLOCK_WORDS = 4_000_000  # words a task holds at once
-SHARDS = 32  # at least, where the input has as many partitions
-MAP_BITS = 1 << 26  # 8 MB
-MAX_LANGUAGES = 100_000
+SHARDS = 8
+MAP_BITS = 1 << 25  # 4 MB
 
 _BREAK = b"."
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -70,7 +69,7 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class _Vocabulary(dict):
-    """Codes of the words of one shard and language; 0 is a break."""
+    """Codes of the words of one block and language; 0 is a break."""
 
     def __init__(self) -> None:
         super().__init__({_BREAK: 0})
@@ -81,7 +80,7 @@ class _Vocabulary(dict):
 
 
 @dataclass
-class _Shard:
+class _Block:
     vocabulary: _Vocabulary = field(default_factory=_Vocabulary)
     codes: list[np.ndarray] = field(default_factory=list)
     n_words: int = 0
@@ -93,16 +92,16 @@ class _Shard:
         self.codes += [codes, np.zeros(1, np.int64)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Shard]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Block]]:
     """Blocks of documents, by language, of about BLOCK_WORDS words."""
-    held: dict[str, _Shard] = {}
+    held: dict[str, _Block] = {}
     n = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            shard = held.setdefault(lang, _Shard())
-            before = shard.n_words
-            shard.add(text.as_py())
-            n += shard.n_words - before
+            block = held.setdefault(lang, _Block())
+            before = block.n_words
+            block.add(text.as_py())
+            n += block.n_words - before
             if n >= BLOCK_WORDS:
                 yield held
                 held, n = {}, 0
@@ -112,7 +111,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Shard]]:
 
 @dataclass
 class _Level:
-    """The kept phrases of one length in a shard: at each position the number of the
+    """The kept phrases of one length in a block: at each position the number of the
     phrase that begins there (0: none kept), and of each phrase its hash, the position
     of its first occurrence and its count."""
 
@@ -130,10 +129,10 @@ def _kept(numbers: np.ndarray, places: np.ndarray, size: int, hashes, first, cou
     return _Level(at, hashes[keep], first[keep], counts[keep])
 
 
-def _words_of(lang: str, shard: _Shard, codes: np.ndarray, allowed: np.ndarray | None) -> tuple[_Level, np.ndarray]:
+def _words_of(lang: str, block: _Block, codes: np.ndarray, allowed: np.ndarray | None) -> tuple[_Level, np.ndarray]:
     """Single words, and the hash of each code. The language is part of the hash."""
     seed = xxhash.xxh32_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in shard.vocabulary), np.uint64, len(shard.vocabulary))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in block.vocabulary), np.uint64, len(block.vocabulary))
     places = np.flatnonzero(codes)
     found, first, numbers, counts = np.unique(codes[places], return_index=True, return_inverse=True, return_counts=True)
     keep = np.ones(len(found), bool) if allowed is None else _in_map(allowed, hashes[found])
@@ -161,8 +160,8 @@ def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
-def _rows(lang: str, shard: _Shard, codes: np.ndarray, words: int, level: _Level) -> pa.RecordBatch:
-    spelled = list(shard.vocabulary)
+def _rows(lang: str, block: _Block, codes: np.ndarray, words: int, level: _Level) -> pa.RecordBatch:
+    spelled = list(block.vocabulary)
     phrases = [b" ".join([spelled[c] for c in codes[i : i + words]]) for i in level.first]
     n = len(phrases)
     arrays = [pa.array([lang] * n, pa.string()), pa.array([words] * n, pa.int32()), pa.array(phrases, pa.binary())]
@@ -170,18 +169,18 @@ def _rows(lang: str, shard: _Shard, codes: np.ndarray, words: int, level: _Level
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for held in _shards(batches):
-        for lang, shard in held.items():
-            codes = np.concatenate(shard.codes)
-            level, _ = _words_of(lang, shard, codes, None)
-            yield _rows(lang, shard, codes, 1, level)
+    for held in _blocks(batches):
+        for lang, block in held.items():
+            codes = np.concatenate(block.codes)
+            level, _ = _words_of(lang, block, codes, None)
+            yield _rows(lang, block, codes, 1, level)
 
 
-def _levels(lang, shard, words_map, pairs_map, lengths, rule):
+def _levels(lang, block, words_map, pairs_map, lengths, rule):
     """(codes, length, level) of the wanted lengths; ``pairs_map`` None: pairs follow
     the rule, else they are those in the map."""
-    codes = np.concatenate(shard.codes)
-    level, hashes = _words_of(lang, shard, codes, words_map)
+    codes = np.concatenate(block.codes)
+    level, hashes = _words_of(lang, block, codes, words_map)
     for words in range(2, max(lengths) + 1):
         own = rule if pairs_map is None or words > 2 else lambda h, _: _in_map(pairs_map, h)
         level = _longer(level, codes, hashes, words, own)
@@ -191,16 +190,16 @@ def _levels(lang, shard, words_map, pairs_map, lengths, rule):
             yield codes, words, level
 
 
-def _mine(totals: dict[str, int], min_count: int, words_map: Broadcast, pairs_map: Broadcast | None, lengths: range):
+def _mine(shards: int, words_map: Broadcast, pairs_map: Broadcast | None, lengths: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs_map.value if pairs_map else None
-        for held in _shards(batches):
-            for lang, shard in held.items():
-                total = totals.get(lang)
-                support = -(-min_count * shard.n_words // total) if total else 1
-                rule = lambda _, counts, s=support: counts >= s
-                for _, _, level in _levels(lang, shard, words_map.value, pairs, lengths, rule):
-                    yield pa.record_batch([_signed(level.hashes)], ["hash"])
+        shard = TaskContext.get().partitionId() % shards
+        rule = lambda hashes, _: np.ones(len(hashes), bool)
+        for held in _blocks(batches):
+            for lang, block in held.items():
+                for _, _, level in _levels(lang, block, words_map.value, pairs, lengths, rule):
+                    number = pa.array(np.full(len(level.counts), shard, np.int32))
+                    yield pa.record_batch([number, _signed(level.hashes), pa.array(level.counts)], ["shard", "hash", "n"])
 
     return run
 
@@ -209,10 +208,10 @@ def _count(found: Broadcast, words_map: Broadcast, pairs_map: Broadcast | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs_map.value if pairs_map else None
         rule = lambda hashes, _: _in_map(found.value, hashes)
-        for held in _shards(batches):
-            for lang, shard in held.items():
-                for codes, words, level in _levels(lang, shard, words_map.value, pairs, lengths, rule):
-                    yield _rows(lang, shard, codes, words, level)
+        for held in _blocks(batches):
+            for lang, block in held.items():
+                for codes, words, level in _levels(lang, block, words_map.value, pairs, lengths, rule):
+                    yield _rows(lang, block, codes, words, level)
 
     return run
 
@@ -237,7 +236,11 @@ def _summed(counts: DataFrame, min_count: int) -> DataFrame:
 
 
 def frequent_phrases(
-    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, map_bits: int = MAP_BITS
+    docs: DataFrame,
+    min_count: int = MIN_COUNT,
+    max_words: int = MAX_WORDS,
+    shards: int = SHARDS,
+    map_bits: int = MAP_BITS,
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, n`` (words of each language) and ``lang, words, phrase, n`` of all
     phrases of 1 to ``max_words`` words with at least ``min_count`` occurrences.
@@ -245,17 +248,13 @@ def frequent_phrases(
     texts = docs.select("lang", F.col("text").cast("binary").alias("text"))
     words = stage(texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = fetch_bounded(totals, MAX_LANGUAGES)  # beyond, the support is one occurrence
-    n_words = dict(zip(known.column("lang").to_pylist(), known.column("n").to_pylist(), strict=True)) if known else {}
-    shards = max(SHARDS, sum(n_words.values()) // BLOCK_WORDS + 1)
-    texts = texts.coalesce(shards)
-
     frequent = words.where(F.col("n") >= min_count)
     words_map, pairs_map = hash_map(frequent, map_bits), None
     for lengths in (range(2, 3), range(3, max_words + 1)):
         if not len(lengths) or max(lengths) > max_words:
             continue
-        mined = texts.mapInArrow(_mine(n_words, min_count, words_map, pairs_map, lengths), "hash bigint")
+        local = texts.mapInArrow(_mine(shards, words_map, pairs_map, lengths), "shard int, hash bigint, n bigint")
+        mined = local.groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= -(-min_count // shards))
         found = hash_map(mined, map_bits)
         counted = texts.mapInArrow(_count(found, words_map, pairs_map, lengths), COUNTS)
         exact = stage(_summed(counted, min_count), f"phrases-{max(lengths)}")
