@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import (
-    chat, decontamination, fingerprints, language, lines, minhash, packing, phrases, sharding, token_counts, url_filter,
+    chat, decontamination, fingerprints, language, lines, minhash, negatives, packing, phrases, sharding, token_counts, url_filter,
 )
 from weftline.llm.url_filter import ALLOW, BLOCK, Rule
 from weftline.sources.tables import load_table
@@ -211,6 +211,38 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+# --- 11 negatives ----------------------------------------------------------
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = load_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+NEGATIVES_SQL = f"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}
+)
+SELECT p.anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+  AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+QUALIFY rank <= {negatives.NEGATIVES}
+"""
+
+
 # --- 13 phrases ------------------------------------------------------------
 
 
@@ -272,6 +304,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_minhash_groups": op9_minhash_groups,
         "op10_fingerprints": op10_fingerprints,
+        "op11_hard_negatives": op11_hard_negatives,
         "op13_phrases": op13_phrases,
     }
 
@@ -281,5 +314,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": CHAT_SQL,
         "op4_url_filter": _rule_sql(),
         "op8_line_dedup": LINES_SQL,
+        "op11_hard_negatives": NEGATIVES_SQL,
         "op13_phrases": PHRASES_SQL,
     }
