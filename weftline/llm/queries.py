@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import (
-    chat, decontamination, fingerprints, language, lines, minhash, negatives, packing, phrases, sharding, token_counts, url_filter,
+    chat, decontamination, fingerprints, language, lines, minhash, negatives, packing, phrases, repeats, sharding, token_counts,
+    url_filter,
 )
 from weftline.llm.url_filter import ALLOW, BLOCK, Rule
 from weftline.sources.tables import load_table
@@ -243,6 +244,13 @@ QUALIFY rank <= {negatives.NEGATIVES}
 """
 
 
+# --- 12 repeated strings ---------------------------------------------------
+
+
+def op12_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 # --- 13 phrases ------------------------------------------------------------
 
 
@@ -305,6 +313,7 @@ def queries() -> dict[str, Query]:
         "op9_minhash_groups": op9_minhash_groups,
         "op10_fingerprints": op10_fingerprints,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_repeated_strings": op12_repeated_strings,
         "op13_phrases": op13_phrases,
     }
 
