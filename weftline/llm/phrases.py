@@ -28,10 +28,11 @@ are read, whatever the other columns are named. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
@@ -45,7 +46,7 @@ MAX_WORDS = 5
 TOP = 2000
 PERCENT = 100  # of a phrase's occurrences, inside a longer one, that make it redundant
 UNKNOWN = "und"
-BLOCK_WORDS = 4_000_000  # words a task holds at once
+BLOCK_BYTES = 24_000_000  # of text a task holds at once
 SHARDS = 8
 MAP_BITS = 1 << 25  # 4 MB
 
@@ -57,9 +58,23 @@ _ODD = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476
 COUNTS = "lang string, words int, phrase binary, hash bigint, n bigint"
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words in lower case, with a break after each piece."""
-    return (text or b"").lower().translate(_SPACED).replace(_BREAK, b" . ").split()
+def prepared(text: bytes | None) -> bytes:
+    """Lower case, words set apart by spaces, a break after each piece."""
+    return (text or b"").lower().translate(_SPACED).replace(_BREAK, b" . ")
+
+
+def coded_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of prepared texts as codes, 0 for a break, and the word of each code."""
+    joined = b" . ".join([b"", *texts, b""])
+    offsets = pa.py_buffer(np.array([0, len(joined)], np.int64))
+    one = pa.Array.from_buffers(pa.large_string(), 1, [None, offsets, pa.py_buffer(joined)])
+    words = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+    spelled = words.dictionary.cast(pa.large_binary()).to_pylist()
+    order = np.arange(1, len(spelled) + 1)
+    order[spelled.index(_BREAK)] = 0
+    empty = spelled.index(b"") if b"" in spelled else -1
+    numbers = words.indices.to_numpy()
+    return order[numbers[numbers != empty]], [_BREAK, *spelled]
 
 
 def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -68,87 +83,83 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return found * _ODD[2]
 
 
-class _Vocabulary(dict):
-    """Codes of the words of one block and language; 0 is a break."""
-
-    def __init__(self) -> None:
-        super().__init__({_BREAK: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
-
-
-@dataclass
-class _Block:
-    vocabulary: _Vocabulary = field(default_factory=_Vocabulary)
-    codes: list[np.ndarray] = field(default_factory=list)
-    n_words: int = 0
-
-    def add(self, text: bytes | None) -> None:
-        found = tokens(text)
-        codes = np.fromiter(map(self.vocabulary.__getitem__, found), np.int64, len(found))
-        self.n_words += int(np.count_nonzero(codes))
-        self.codes += [codes, np.zeros(1, np.int64)]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """Blocks of documents, by language, cut when they pass BLOCK_BYTES: language,
+    codes and words."""
+    held: dict[str, list[bytes]] = {}
+    n = 0
 
+    def coded():
+        for lang, texts in held.items():
+            yield lang, *coded_words(texts)
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Block]]:
-    """Blocks of documents, by language, of about BLOCK_WORDS words."""
-    held: dict[str, _Block] = {}
-    n = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block = held.setdefault(lang, _Block())
-            before = block.n_words
-            block.add(text.as_py())
-            n += block.n_words - before
-            if n >= BLOCK_WORDS:
-                yield held
+            data = prepared(text.as_py())
+            held.setdefault(lang, []).append(data)
+            n += len(data)
+            if n >= BLOCK_BYTES:
+                yield from coded()
                 held, n = {}, 0
-    if held:
-        yield held
+    yield from coded()
 
 
 @dataclass
 class _Level:
     """The kept phrases of one length in a block: at each position the number of the
-    phrase that begins there (0: none kept), and of each phrase its hash, the position
-    of its first occurrence and its count."""
+    phrase that begins there (0: none kept; not filled for the longest), and of each
+    phrase its hash, its count and how it is made: a phrase one word shorter and a word."""
 
-    at: np.ndarray
+    at: np.ndarray | None
     hashes: np.ndarray
-    first: np.ndarray
     counts: np.ndarray
+    shorter: _Level | None
+    head: np.ndarray
+    tail: np.ndarray
 
+    def spelled(self, words: list[bytes]) -> list[bytes]:
+        tails = [words[c] for c in self.tail.tolist()]
+        if self.shorter is None:
+            return tails
+        heads = self.shorter.spelled(words)
+        return [heads[p] + b" " + w for p, w in zip(self.head.tolist(), tails, strict=True)]
 
-def _kept(numbers: np.ndarray, places: np.ndarray, size: int, hashes, first, counts, keep: np.ndarray) -> _Level:
-    renumbered = np.zeros(len(keep) + 1, np.int64)
-    renumbered[1:][keep] = np.arange(1, int(keep.sum()) + 1)
+
+def _numbered(numbers: np.ndarray, places: np.ndarray, size: int, keep: np.ndarray) -> np.ndarray:
+    renumbered = np.zeros(len(keep), np.int64)
+    renumbered[keep] = np.arange(1, int(keep.sum()) + 1)
     at = np.zeros(size, np.int64)
-    at[places] = renumbered[numbers + 1]
-    return _Level(at, hashes[keep], first[keep], counts[keep])
+    at[places] = renumbered[numbers]
+    return at
 
 
-def _words_of(lang: str, block: _Block, codes: np.ndarray, allowed: np.ndarray | None) -> tuple[_Level, np.ndarray]:
+def _words_of(lang: str, codes: np.ndarray, words: list[bytes], allowed: np.ndarray | None) -> tuple[_Level, np.ndarray]:
     """Single words, and the hash of each code. The language is part of the hash."""
     seed = xxhash.xxh32_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in block.vocabulary), np.uint64, len(block.vocabulary))
-    places = np.flatnonzero(codes)
-    found, first, numbers, counts = np.unique(codes[places], return_index=True, return_inverse=True, return_counts=True)
-    keep = np.ones(len(found), bool) if allowed is None else _in_map(allowed, hashes[found])
-    return _kept(numbers, places, len(codes), hashes[found], places[first], counts, keep), hashes
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    counts = np.bincount(codes, minlength=len(words))
+    counts[0] = 0
+    keep = (counts > 0) if allowed is None else (counts > 0) & _in_map(allowed, hashes)
+    found = np.flatnonzero(keep)
+    at = _numbered(codes, np.arange(len(codes)), len(codes), keep)
+    return _Level(at, hashes[found], counts[found], None, found, found), hashes
 
 
-def _longer(level: _Level, codes: np.ndarray, hashes: np.ndarray, words: int, rule) -> _Level:
+def _longer(level: _Level, codes: np.ndarray, hashes: np.ndarray, words: int, rule, last: bool) -> _Level:
     """Phrases one word longer whose two parts are both kept, as far as ``rule``
     (hashes, counts -> bool) keeps them."""
     starts = np.flatnonzero((level.at[:-1] > 0) & (level.at[1:] > 0)) if len(codes) > 1 else np.zeros(0, np.int64)
     n_codes = len(hashes)
-    found, first, numbers, counts = np.unique(
-        level.at[starts] * n_codes + codes[starts + words - 1], return_index=True, return_inverse=True, return_counts=True
-    )
-    mixed = _mix(level.hashes[found // n_codes - 1], hashes[found % n_codes])
-    return _kept(numbers, starts, len(codes), mixed, starts[first], counts, rule(mixed, counts))
+    made = level.at[starts] * n_codes + codes[starts + words - 1]
+    if last:
+        found, counts = np.unique(made, return_counts=True)
+    else:
+        found, numbers, counts = np.unique(made, return_inverse=True, return_counts=True)
+    head, tail = found // n_codes - 1, found % n_codes
+    mixed = _mix(level.hashes[head], hashes[tail])
+    keep = rule(mixed, counts)
+    at = None if last else _numbered(numbers, starts, len(codes), keep)
+    return _Level(at, mixed[keep], counts[keep], level, head[keep], tail[keep])
 
 
 def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -160,34 +171,28 @@ def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
-def _rows(lang: str, block: _Block, codes: np.ndarray, words: int, level: _Level) -> pa.RecordBatch:
-    spelled = list(block.vocabulary)
-    phrases = [b" ".join([spelled[c] for c in codes[i : i + words]]) for i in level.first]
-    n = len(phrases)
-    arrays = [pa.array([lang] * n, pa.string()), pa.array([words] * n, pa.int32()), pa.array(phrases, pa.binary())]
+def _rows(lang: str, words: list[bytes], length: int, level: _Level) -> pa.RecordBatch:
+    n = len(level.counts)
+    arrays = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, length, np.int32)), pa.array(level.spelled(words), pa.binary())]
     return pa.record_batch([*arrays, _signed(level.hashes), pa.array(level.counts)], ["lang", "words", "phrase", "hash", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for held in _blocks(batches):
-        for lang, block in held.items():
-            codes = np.concatenate(block.codes)
-            level, _ = _words_of(lang, block, codes, None)
-            yield _rows(lang, block, codes, 1, level)
-
-
-def _levels(lang, block, words_map, pairs_map, lengths, rule):
-    """(codes, length, level) of the wanted lengths; ``pairs_map`` None: pairs follow
-    the rule, else they are those in the map."""
-    codes = np.concatenate(block.codes)
-    level, hashes = _words_of(lang, block, codes, words_map)
-    for words in range(2, max(lengths) + 1):
-        own = rule if pairs_map is None or words > 2 else lambda h, _: _in_map(pairs_map, h)
-        level = _longer(level, codes, hashes, words, own)
+    for lang, codes, words in _blocks(batches):
+        yield _rows(lang, words, 1, _words_of(lang, codes, words, None)[0])
+
+
+def _levels(lang, codes, words, words_map, pairs_map, lengths, rule):
+    """(length, level) of the wanted lengths; ``pairs_map`` None: pairs follow the
+    rule, else they are those in the map."""
+    level, hashes = _words_of(lang, codes, words, words_map)
+    for length in range(2, max(lengths) + 1):
+        own = rule if pairs_map is None or length > 2 else lambda h, _: _in_map(pairs_map, h)
+        level = _longer(level, codes, hashes, length, own, length == max(lengths))
         if not len(level.counts):
             return
-        if words in lengths:
-            yield codes, words, level
+        if length in lengths:
+            yield length, level
 
 
 def _mine(shards: int, words_map: Broadcast, pairs_map: Broadcast | None, lengths: range):
@@ -195,11 +200,10 @@ def _mine(shards: int, words_map: Broadcast, pairs_map: Broadcast | None, length
         pairs = pairs_map.value if pairs_map else None
         shard = TaskContext.get().partitionId() % shards
         rule = lambda hashes, _: np.ones(len(hashes), bool)
-        for held in _blocks(batches):
-            for lang, block in held.items():
-                for _, _, level in _levels(lang, block, words_map.value, pairs, lengths, rule):
-                    number = pa.array(np.full(len(level.counts), shard, np.int32))
-                    yield pa.record_batch([number, _signed(level.hashes), pa.array(level.counts)], ["shard", "hash", "n"])
+        for lang, codes, words in _blocks(batches):
+            for _, level in _levels(lang, codes, words, words_map.value, pairs, lengths, rule):
+                number = pa.array(np.full(len(level.counts), shard, np.int32))
+                yield pa.record_batch([number, _signed(level.hashes), pa.array(level.counts)], ["shard", "hash", "n"])
 
     return run
 
@@ -208,10 +212,9 @@ def _count(found: Broadcast, words_map: Broadcast, pairs_map: Broadcast | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pairs_map.value if pairs_map else None
         rule = lambda hashes, _: _in_map(found.value, hashes)
-        for held in _blocks(batches):
-            for lang, block in held.items():
-                for codes, words, level in _levels(lang, block, words_map.value, pairs, lengths, rule):
-                    yield _rows(lang, block, codes, words, level)
+        for lang, codes, words in _blocks(batches):
+            for length, level in _levels(lang, codes, words, words_map.value, pairs, lengths, rule):
+                yield _rows(lang, words, length, level)
 
     return run
 
