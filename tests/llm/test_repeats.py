@@ -71,12 +71,6 @@ def test_long_strings_on_documents(spark, tiny):
     assert found == expected and any(r[2] for r in found)
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BROADCAST_DOCUMENTS", 0)
-    texts = corpus(3)
-    assert removed(table(spark, texts), SMALL) == brute(texts, SMALL.length)
-
-
 def test_odd_rows(spark):
     odd = odd_documents(spark)
     texts = [(r["doc_id"], r["text"]) for r in odd.collect()]

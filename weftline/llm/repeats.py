@@ -42,15 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.sources.workspace import stage
+from weftline.sources.workspace import fresh_path, stage
 
 LENGTH = 400
 TRIGGER = 64
 MAX_PHRASES = 8
 SHARD_PHRASES = 400_000
 PIECE = 1 << 20
-BROADCAST_DOCUMENTS = 500_000
-BROADCAST_ITEMS = 4_000_000
 
 _POSITION = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd; 3 modulo 8 keeps short strings of a pattern apart
@@ -396,13 +394,21 @@ def _cut_out(sizes: Sizes):
     return run
 
 
-def _with_texts(texts: DataFrame, per_document: DataFrame, items: str) -> DataFrame:
-    """``per_document`` (key and a list) with its texts. A list table whose rows and
-    items have been counted and are few travels to the texts."""
-    stored = stage(per_document, "per-document")
-    rows, n = stored.agg(F.count(F.lit(1)), F.sum(F.size(items))).first()
-    few = rows <= BROADCAST_DOCUMENTS and (n or 0) <= BROADCAST_ITEMS
-    return texts.join(F.broadcast(stored) if few else stored, "key")
+def _with_texts(texts: DataFrame, per_document: DataFrame, how: str = "inner") -> DataFrame:
+    """Texts with a list per document. Texts lie in buckets of the key and are not
+    moved; the lists of a bucket are hashed, as long as the bucket's own documents."""
+    return texts.join(per_document.hint("shuffle_hash"), "key", how)
+
+
+def _bucketed(texts: DataFrame) -> DataFrame:
+    """Store the texts in buckets of their key, as many as a shuffle has partitions."""
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "texts")
+    name = f"texts_{path.rpartition('-')[2]}"
+    dealt = texts.repartition(n, "key").write.bucketBy(n, "key")
+    dealt.format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def _decided(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -443,7 +449,7 @@ def _judge_edges(texts: DataFrame, edges: DataFrame, sizes: Sizes) -> list[DataF
     going = _undecided(classes).select("row.*", "open")
     listed = going.groupBy("key").agg(F.collect_list(F.struct("place", "low", "near", "far", "open")).alias("rows"))
     schema = "key bigint, place int, low int, near int, far int, open boolean, stretch binary"
-    rows = _with_texts(texts, listed, "rows").mapInArrow(_cut_out(sizes), schema)
+    rows = _with_texts(texts, listed).mapInArrow(_cut_out(sizes), schema)
     size = sizes.root
     while size > 1:
         size //= 4
@@ -506,7 +512,7 @@ def remove_repeats(
     remaining bytes of each text without those of strings that also start elsewhere."""
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"))
-    texts = stage(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
+    texts = _bucketed(texts.withColumn("key", F.monotonically_increasing_id()))
     samples = stage(texts.select("key", "text").mapInArrow(_parse(sizes), SAMPLES), "samples")
     again = samples.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     samples = stage(samples.join(again, "hash", "left_semi").drop("hash"), "repeated")
@@ -514,14 +520,12 @@ def remove_repeats(
     known = samples.drop("phrase").join(depths, ["key", "k"])
     each = F.sort_array(F.collect_list(F.struct("k", "place", "first", "last", "depth")))
     listed = known.groupBy("key").agg(each.alias("samples"))
-    edges = _with_texts(texts, listed, "samples").select("key", "text", "samples")
+    edges = _with_texts(texts, listed).select("key", "text", "samples")
     edges = stage(edges.mapInArrow(_stretches(sizes), EDGES), "edges")
     found = edges.where("start IS NOT NULL").select("key", "start", "end")
     for more in _judge_edges(texts.select("key", "text"), edges, sizes):
         found = found.unionByName(more)
-    starts = stage(found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("starts")), "starts")
-    rows, n = starts.agg(F.count(F.lit(1)), F.sum(F.size("starts"))).first()
-    few = rows <= BROADCAST_DOCUMENTS and (n or 0) <= BROADCAST_ITEMS
-    judged = texts.join(F.broadcast(starts) if few else starts, "key", "left")
+    starts = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("starts"))
+    judged = _with_texts(texts, starts, "left")
     result = judged.select("doc_id", "text", "starts").mapInArrow(_removed(sizes.length, with_text), RESULT)
     return result if with_text else result.drop("kept")
