@@ -16,12 +16,16 @@ from weftline.functions.hashing import table_hash  # noqa: E402
 from weftline.functions.text import lines  # noqa: E402
 from weftline.operators import (  # noqa: E402
     billing,
+    bucketed,
+    cells,
+    charges,
     chunking,
     embedding,
     fulltext,
     health,
     indexing,
     locations,
+    ranking,
     search,
     sections,
     tenancy,
@@ -46,6 +50,7 @@ except ImportError as missing:
 K = 10
 NPROBE = 4
 KMEANS_CELLS = 16
+CELL_PROBES = 2
 DIM = 64
 
 TENANT = "AMERICA"
@@ -55,6 +60,14 @@ RUN_DATE = "1998-11-01"
 DAILY_RUN_DATE = "1998-10-04"
 AS_OF = "1998-01-15"
 LATE_BEFORE = "2024-01-15"
+LEDGER_SINCE = "1998-10-01"
+LEDGER_RUNS = [
+    (billing.DAY, "1998-10-02"),
+    (billing.DAY, "1998-10-03"),
+    (billing.MONTH, "1998-11-01"),
+    (billing.MONTH, "1998-11-01"),
+    (billing.MONTH, "1998-12-01"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +153,21 @@ def cosine_topk_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ivf(vectors, search.kmeans_centroids(vectors, cells=KMEANS_CELLS), KMEANS_CELLS)
 
 
+def cosine_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centres of the most and the least frequent label, searched in the two cells
+    nearest to each of an index stored by cell."""
+    vectors, store = embeddings(spark, sf_dir), _store(spark)
+    centroids = stage(search.label_centroids(vectors, DIM), "centroids")
+    cells.publish_cells(store, vectors, centroids)
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ends = sizes.agg(
+        F.min_by("label", F.struct(-F.col("n"), "label")).alias("most"), F.min_by("label", F.struct("n", "label")).alias("least")
+    )
+    chosen = ends.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("cell"))
+    asked = centroids.join(chosen, "cell").select(F.col("cell").alias("query_id"), "embedding")
+    return cells.search_cells(store, stage(asked, "asked"), K, CELL_PROBES)
+
+
 # --- index upkeep ----------------------------------------------------------
 # The corpus before: every document not in Spanish, as it is. The corpus now: no
 # document labelled toxic, and a note at the end of those of low quality. So
@@ -232,6 +260,55 @@ def index_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.current("chunks")
 
 
+# An index in buckets: the older corpus first, then an update to the corpus of now.
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> bucketed.BucketedIndex:
+    index = bucketed.BucketedIndex(_store(spark))
+    index.update(old_corpus(spark, sf_dir), complete=True)
+    index.update(new_corpus(spark, sf_dir), complete=True)
+    return index
+
+
+def bucket_table(name: str) -> Query:
+    return lambda spark, sf_dir: _updated(spark, sf_dir).table(name)
+
+
+def bucket_chunk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _updated(spark, sf_dir).chunk_health()
+
+
+def bucket_point_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _updated(spark, sf_dir).point_health()
+
+
+def bucket_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which buckets an update writes that takes the toxic documents out: bucket,
+    n_chunks it holds now, rewritten."""
+    index = bucketed.BucketedIndex(_store(spark))
+    index.update(documents(spark, sf_dir), complete=True)
+    toxic = load_table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    kept = documents(spark, sf_dir).join(toxic, "doc_id", "left_anti")
+    touched = index.update(kept, complete=True)
+    bucket = bucketed.bucket_of(F.col("doc_id"), index.n_buckets).alias("bucket")
+    held = index.table(bucketed.CHUNKS).groupBy(bucket).agg(F.count(F.lit(1)).alias("n_chunks"))
+    return held.withColumn("rewritten", F.col("bucket").isin(touched))
+
+
+def bucket_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points after two partial batches: the older corpus, then documents labelled of
+    low quality, noted, with the deletion of toxic ones."""
+    index = bucketed.BucketedIndex(_store(spark))
+    labels = load_table(spark, sf_dir, "labels")
+    low = labels.where(F.col("quality") == 0).select("doc_id")
+    index.update(old_corpus(spark, sf_dir), complete=False)
+    arriving = new_corpus(spark, sf_dir).join(low, "doc_id", "left_semi")
+    index.update(arriving, complete=False, deleted=labels.where(F.col("toxic") == 1).select("doc_id"))
+    return index.table(bucketed.STATE).groupBy(bucketed.bucket_of(F.col("doc_id"), 8).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.min("content_hash").alias("least_hash")
+    )
+
+
 # --- full text -------------------------------------------------------------
 
 
@@ -256,6 +333,13 @@ def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.fulltext_topk(benchmark(spark, sf_dir), index, K)
 
 
+def fulltext_topk_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from published postings, scoring the ranges that can matter."""
+    store = _store(spark)
+    ranking.publish_postings(store, documents(spark, sf_dir))
+    return ranking.ranked_search(store, benchmark(spark, sf_dir), K)
+
+
 # --- accounts --------------------------------------------------------------
 
 
@@ -308,6 +392,20 @@ def billing_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir, [(billing.MONTH, "1998-03-31"), (billing.MONTH, "1998-04-30")])
 
 
+def billing_late_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five runs of a ledger by charge. Urgent charges arrive before the third run,
+    those of high priority before the last; the fourth repeats the third."""
+    ledger, everyone = charges.ChargeLedger(_store(spark), LEDGER_SINCE), accounts(spark, sf_dir)
+    priority = F.col("o_orderpriority")
+    arrived = orders(spark, sf_dir)
+    late = [("1-URGENT", "2-HIGH")] * 2 + [("2-HIGH",)] * 2 + [()]
+    for (period, date), missing in zip(LEDGER_RUNS, late, strict=True):
+        held = arrived.where(~priority.isin(*missing)) if missing else arrived
+        ledger.bill(held, everyone, date, period=period)
+    columns = ("account", "period_start", "period_end", "run", "n_charges", "amount", "n_arrears", "arrears")
+    return ledger.invoices().select(*columns)
+
+
 def _paid(spark: SparkSession, sf_dir: str, issued_by: str | None = None) -> DataFrame:
     return billing.autopay_run(
         billing.all_invoices(orders(spark, sf_dir), issued_by=issued_by),
@@ -448,6 +546,7 @@ def queries() -> dict[str, Query]:
         "cosine_topk_ivf": cosine_topk_ivf,
         "ivf_cells_kmeans": ivf_cells_kmeans,
         "cosine_topk_kmeans": cosine_topk_kmeans,
+        "cosine_topk_cells": cosine_topk_cells,
         "index_diff": index_diff,
         "index_apply": index_apply,
         "index_apply_stream": index_apply_stream,
@@ -462,14 +561,23 @@ def queries() -> dict[str, Query]:
         "vector_index_health": on_documents(
             lambda d: health.vector_index_health(indexing.point_index(d))
         ),
+        "bucket_chunks": bucket_table(bucketed.CHUNKS),
+        "bucket_points": bucket_table(bucketed.POINTS),
+        "bucket_point_vectors": bucket_table(bucketed.POINT_VECTORS),
+        "bucket_chunk_health": bucket_chunk_health,
+        "bucket_point_health": bucket_point_health,
+        "bucket_rewrites": bucket_rewrites,
+        "bucket_arrivals": bucket_arrivals,
         "fulltext_postings": fulltext_postings,
         "fulltext_topk": fulltext_topk,
+        "fulltext_topk_published": fulltext_topk_published,
         "fulltext_rebuild_tenant": fulltext_rebuild_tenant,
         "tenant_scope": tenant_scope,
         "billing_run": billing_run,
         "billing_run_daily": billing_run_daily,
         "billing_days_then_month": billing_days_then_month,
         "billing_month_ends": billing_month_ends,
+        "billing_late_charges": billing_late_charges,
         "autopay_run": autopay_run,
         "autopay_tenant": autopay_tenant,
         "invoice_mark": invoice_mark,

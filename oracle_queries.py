@@ -451,6 +451,80 @@ FROM old FULL OUTER JOIN new USING (account) WHERE old.status IS DISTINCT FROM n
 
     sql["semantic_search_published"] = sql["semantic_search"]
 
+    # --- buckets, cells, blocks, charges ---
+    points = POINTS.replace("FROM documents", "FROM new_docs")
+    sql["bucket_chunks"] = rebuilt
+    sql["bucket_points"] = f"WITH {CORPORA}, {points} SELECT * FROM points"
+    sql["bucket_point_vectors"] = f"""
+WITH {CORPORA}, {counted("new_docs", "doc_id", "counted")}
+SELECT doc_id AS point_id, bucket, round(n / norm, 6) AS weight FROM counted"""
+    sql["bucket_chunk_health"] = f"""
+WITH {CORPORA}, {chunks("new_docs")}
+SELECT layer, count(*) AS n_chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+       round(count(symbol) / count(*), 6) AS symbol_coverage
+FROM chunks GROUP BY layer"""
+    sql["bucket_point_health"] = f"""
+WITH {CORPORA}, {points}
+SELECT layer, count(*) AS n_points, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+       round(count(summary) / count(*), 6) AS summary_coverage
+FROM points GROUP BY layer"""
+    bucket = "(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {n})::INTEGER"
+    sql["bucket_rewrites"] = f"""
+WITH {chunks()}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT {bucket.format(n=16)} AS bucket, count(*) FILTER (doc_id NOT IN (FROM toxic)) AS n_chunks,
+       bool_or(doc_id IN (FROM toxic)) AS rewritten
+FROM chunks GROUP BY 1 HAVING count(*) FILTER (doc_id NOT IN (FROM toxic)) > 0"""
+    sql["bucket_arrivals"] = f"""
+WITH {CORPORA}, low AS (SELECT doc_id FROM labels WHERE quality = 0), toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
+held AS (
+  SELECT doc_id, lang, text FROM new_docs WHERE doc_id IN (FROM low)
+  UNION ALL
+  SELECT doc_id, lang, text FROM old_docs WHERE doc_id NOT IN (FROM toxic)
+    AND doc_id NOT IN (SELECT doc_id FROM new_docs WHERE doc_id IN (FROM low))
+)
+SELECT {bucket.format(n=8)} AS part, count(*) AS n_documents,
+       min(sha256('{{"lang":' || to_json(lang)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}}')) AS least_hash
+FROM held GROUP BY 1"""
+    sql["cosine_topk_cells"] = f"""
+WITH {VECTORS}, {CENTROIDS}, {CELL_RANKS},
+sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+asked AS (
+  SELECT cell AS query_id, c AS q FROM centroids
+  WHERE cell IN (SELECT label FROM sizes ORDER BY n DESC, label LIMIT 1)
+     OR cell IN (SELECT label FROM sizes ORDER BY n, label LIMIT 1)
+),
+probes AS (
+  SELECT query_id, q, cell FROM asked CROSS JOIN centroids
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {COSINE.format(a="q", b="c")} DESC, cell) <= 2
+),
+scored AS (
+  SELECT query_id, v.vec_id, {COSINE.format(a="q", b="v.v")} AS sim
+  FROM probes p JOIN cell_ranks m ON p.cell = m.cell AND m.cell_rank = 1 JOIN vectors v ON v.vec_id = m.vec_id
+)
+SELECT query_id, vec_id, sim,
+       (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id))::INTEGER AS rank
+FROM scored QUALIFY rank <= 10"""
+    sql["fulltext_topk_published"] = sql["fulltext_topk"]
+    sql["billing_late_charges"] = f"""
+WITH {TENANTS},
+charges AS (
+  SELECT account, o_orderdate::DATE AS day, o_totalprice::DECIMAL(18,2) AS amount,
+         CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderdate < TIMESTAMP '1998-10-02' THEN 1
+              WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderdate < TIMESTAMP '1998-10-03' THEN 2
+              WHEN o_orderpriority <> '2-HIGH' AND o_orderdate < TIMESTAMP '1998-11-01' THEN 3
+              ELSE 5 END AS run
+  FROM orders JOIN accounts ON o_custkey = account
+  WHERE o_orderdate >= TIMESTAMP '1998-10-01' AND o_orderdate < TIMESTAMP '1998-12-01'
+),
+runs(run, period_start, period_end) AS (
+  VALUES (1, DATE '1998-10-01', DATE '1998-10-02'), (2, DATE '1998-10-02', DATE '1998-10-03'),
+         (3, DATE '1998-10-01', DATE '1998-11-01'), (5, DATE '1998-11-01', DATE '1998-12-01')
+)
+SELECT account, period_start, period_end, run, count(*) AS n_charges, sum(amount)::DECIMAL(28,2) AS amount,
+       count(*) FILTER (day < period_start) AS n_arrears,
+       coalesce(sum(amount) FILTER (day < period_start), 0)::DECIMAL(28,2) AS arrears
+FROM charges JOIN runs USING (run) GROUP BY account, period_start, period_end, run"""
+
     # --- snapshots and locations ---
     sql["snapshot_export"] = "\nUNION ALL".join(snapshot_hash(t) for t in SNAPSHOT_COLUMNS)
     sql["snapshot_import_all"] = sql["snapshot_export"]

@@ -32,7 +32,7 @@ def parse_date(value: str | dt.date | None) -> dt.date:
     return day
 
 
-def _check_period(period: str) -> None:
+def check_period(period: str) -> None:
     if period not in (MONTH, DAY):
         raise ValueError(f"unknown billing period {period!r}")
 
@@ -70,7 +70,7 @@ def billing_run(
     takes what its daily runs left, and month ends of different length do not
     overlap. The date bounds are literals and reach the scan.
     """
-    _check_period(period)
+    check_period(period)
     end = F.lit(parse_date(run_date))
     start = F.add_months(end, -1) if period == MONTH else F.date_sub(end, 1)
     in_scope = accounts if tenant is None else one_tenant(accounts, tenant)
@@ -101,7 +101,7 @@ def all_invoices(
     """Every calendar period's invoice of every account: account, period_start,
     issued, due_date, n_charges, amount. ``issued_by`` keeps those issued by that
     day, as a date bound that reaches the scan."""
-    _check_period(period)
+    check_period(period)
     if issued_by is not None:
         last = parse_date(issued_by)
         last = last.replace(day=1) if period == MONTH else last

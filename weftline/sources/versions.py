@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from weftline.sources.workspace import path_exists
 
 LEDGER_SCHEMA = "seq bigint, name string, path string, schema string"
+LEDGER_NAMES = ["seq", "name", "path", "schema"]
+LEDGER_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,9 @@ class VersionStore:
 
     def _append(self, entries: list[tuple[str, str | None, str | None]]) -> None:
         last = self._ledger().agg(F.max("seq")).first()[0] or 0
-        rows = [(last + 1, *entry) for entry in entries]
-        ledger = self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1)
+        columns = [[last + 1] * len(entries), *(list(c) for c in zip(*entries, strict=True))] if entries else [[]] * 4
+        rows = pa.table([pa.array(c, kind) for c, kind in zip(columns, LEDGER_TYPES, strict=True)], names=LEDGER_NAMES)
+        ledger = self.spark.createDataFrame(rows).coalesce(1)
         ledger.write.mode("append").parquet(f"{self.root}/ledger")
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> Version:
@@ -81,22 +85,27 @@ class VersionStore:
             return None
         return self.read(Version(latest["path"], T.StructType.fromJson(json.loads(latest["schema"]))))
 
-    def parts(self, prefix: str) -> DataFrame | None:
-        """The published versions of all names that begin with ``prefix``, tables of
-        one schema, in one scan. None when there are none."""
+    def versions(self, prefix: str) -> dict[str, Version]:
+        """The published versions of all names that begin with ``prefix``, by name."""
         last = (
             self._ledger()
             .where(F.col("name").startswith(prefix))
             .groupBy("name")
             .agg(F.max_by(F.struct("path", "schema"), "seq").alias("last"))
             .where("last.path IS NOT NULL")
-            .select("last.*")
+            .select("name", "last.*")
             .collect()
         )
-        if not last:
+        schemas = {text: T.StructType.fromJson(json.loads(text)) for text in {row["schema"] for row in last}}
+        return {row["name"]: Version(row["path"], schemas[row["schema"]]) for row in last}
+
+    def parts(self, prefix: str) -> DataFrame | None:
+        """The published versions of all names that begin with ``prefix``, tables of
+        one schema, in one scan. None when there are none."""
+        held = list(self.versions(prefix).values())
+        if not held:
             return None
-        schema = T.StructType.fromJson(json.loads(last[0]["schema"]))
-        return self.spark.read.schema(schema).parquet(*[row["path"] for row in last])
+        return self.spark.read.schema(held[0].schema).parquet(*[v.path for v in held])
 
     def drop(self, name: str) -> bool:
         """Withdraw the published version. False, and no error, when there is none."""

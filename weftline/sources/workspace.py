@@ -40,6 +40,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition folders (``name=value``) directly below ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and "=" in f.getPath().getName())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so later uses neither recompute it nor
     depend on the executors that made it."""
