@@ -454,11 +454,12 @@ def _judge_edges(texts: DataFrame, edges: DataFrame, sizes: Sizes) -> list[DataF
     while size > 1:
         size //= 4
         rows = stage(_divided(rows, size, sizes.length), "parts")
-        first = F.min_by(F.struct(*kept, "stretch"), F.struct("key", "place")).alias("row")
+        first = F.min(F.struct("key", "place")).alias("row")
         classes = rows.groupBy("whole", "core").agg(F.count(F.lit(1)).alias("n"), open_, first)
-        classes = stage(classes, "classes")
+        classes = stage(classes, "classes")  # without the bytes: they are written once, in the parts
         found.append(_decided(rows, classes))
-        rows = _undecided(classes).select("row.*", "open")
+        going = _undecided(classes).select("whole", "row.*", "open")
+        rows = rows.drop("open").join(going, ["whole", "key", "place"])
     return found
 
 
