@@ -24,7 +24,7 @@ from weftline.operators.indexing import DELETE, INSERT, UNCHANGED, UPDATE
 from weftline.operators.search import chunk_vectors
 from weftline.plans.sizing import broadcast_if_small
 from weftline.sources.versions import Version, VersionStore
-from weftline.sources.workspace import stage, subfolders
+from weftline.sources.workspace import side_by_side, stage, subfolders
 
 BUCKETS = 16
 BUCKET = "bucket__"
@@ -41,6 +41,10 @@ def bucket_of(key: Column, n_buckets: int) -> Column:
     return F.coalesce(digest % n_buckets, F.lit(0)).cast("int")
 
 
+def _entry(table: str, bucket: int) -> str:
+    return f"{table}/{bucket:06d}"
+
+
 class BucketedIndex:
     """The tables of one index in a version store.
 
@@ -52,7 +56,7 @@ class BucketedIndex:
         self.store, self.spark = store, store.spark
         held = store.current(LAYOUT)
         if held is None:
-            held = store.replace(LAYOUT, self.spark.createDataFrame([(n_buckets,)], "buckets int"))
+            held = store.replace(LAYOUT, self.spark.range(1).select(F.lit(n_buckets).alias("buckets")))
         self.n_buckets = held.first()["buckets"]
 
     # --- reading ---
@@ -64,10 +68,10 @@ class BucketedIndex:
     def table(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame | None:
         """A table, or some of its buckets, in one scan. None when nothing is held."""
         wanted = None if buckets is None else set(buckets)
-        held = [v for b, v in sorted(self.versions(name).items()) if wanted is None or b in wanted]
-        if not held:
-            return None
-        return self.spark.read.schema(held[0].schema).parquet(*[v.path for v in held])
+        return self._read([v for b, v in sorted(self.versions(name).items()) if wanted is None or b in wanted])
+
+    def _read(self, held: list[Version]) -> DataFrame | None:
+        return self.spark.read.schema(held[0].schema).parquet(*[v.path for v in held]) if held else None
 
     def chunk_health(self) -> DataFrame:
         """layer, n_chunks, share, symbol_coverage, from the counts kept with the buckets."""
@@ -114,8 +118,9 @@ class BucketedIndex:
         return [row[0] for row in found.collect()]
 
     def _write(self, documents: DataFrame, changed: DataFrame | None, touched: list[int]) -> None:
-        """Write the touched buckets of every table and publish them together.
-        ``changed`` None replaces everything."""
+        """Write the touched buckets of every table side by side and publish them
+        together. ``changed`` None replaces everything."""
+        published = self.store.versions("")
         entries: dict[str, Version] = {}
         if changed is None:
             fresh_docs, gone = documents, None
@@ -125,36 +130,42 @@ class BucketedIndex:
             fresh_docs = stage(documents.join(broadcast_if_small(ids(INSERT, UPDATE)), "doc_id", "left_semi"), "fresh")
 
         def put(name: str, fresh: DataFrame) -> DataFrame:
-            key = KEYS[name]
-            held = None if gone is None else self.table(name, touched)
-            rows = fresh
+            key, rows = KEYS[name], fresh
+            names = [_entry(name, b) for b in touched]
+            held = None if gone is None else self._read([published[n] for n in names if n in published])
             if held is not None:
                 left = gone.select(F.col("doc_id").alias(key))
                 rows = held.join(left, key, "left_anti").select(fresh.columns).unionByName(fresh)
             return self._put(name, rows.withColumn(BUCKET, bucket_of(F.col(key), self.n_buckets)), entries)
 
-        if changed is None:
+        if changed is None:  # the chunks are many: read them back instead of cutting twice
             chunks = put(CHUNKS, chunk_documents(fresh_docs))
             fresh_chunks = chunks.drop(BUCKET)
         else:
             fresh_chunks = stage(chunk_documents(fresh_docs), "fresh-chunks")
-            chunks = put(CHUNKS, fresh_chunks)
-        put(VECTORS, chunk_vectors(fresh_chunks))
-        put(STATE, indexing.index_state(fresh_docs))
-        points = put(POINTS, indexing.point_index(fresh_docs))
-        put(POINT_VECTORS, indexing.point_vectors(fresh_docs))
-        self._put(CHUNK_LAYERS, health.layer_counts(chunks, "symbol", BUCKET), entries)
-        self._put(POINT_LAYERS, health.layer_counts(points, "summary", BUCKET), entries)
-        touched_names = {f"{name}/{b:06d}" for name in (*KEYS, CHUNK_LAYERS, POINT_LAYERS) for b in touched}
-        emptied = sorted((touched_names & set(self.store.names())) - set(entries))
-        self.store.publish(entries, withdraw=emptied)
+        jobs = {
+            VECTORS: lambda: put(VECTORS, chunk_vectors(fresh_chunks)),
+            STATE: lambda: put(STATE, indexing.index_state(fresh_docs)),
+            POINTS: lambda: put(POINTS, indexing.point_index(fresh_docs)),
+            POINT_VECTORS: lambda: put(POINT_VECTORS, indexing.point_vectors(fresh_docs)),
+        }
+        if changed is not None:
+            jobs[CHUNKS] = lambda: put(CHUNKS, fresh_chunks)
+        written = dict(zip(jobs, side_by_side(self.spark, list(jobs.values())), strict=True))
+        chunks, points = written.get(CHUNKS, None if changed is not None else chunks), written[POINTS]
+        layers = [
+            lambda: self._put(CHUNK_LAYERS, health.layer_counts(chunks, "symbol", BUCKET), entries),
+            lambda: self._put(POINT_LAYERS, health.layer_counts(points, "summary", BUCKET), entries),
+        ]
+        side_by_side(self.spark, layers)
+        touched_names = {_entry(name, b) for name in (*KEYS, CHUNK_LAYERS, POINT_LAYERS) for b in touched}
+        self.store.publish(entries, withdraw=sorted((touched_names & set(published)) - set(entries)))
 
     def _put(self, name: str, rows: DataFrame, entries: dict[str, Version]) -> DataFrame:
-        """Write the buckets of a table side by side, each one a version to publish."""
+        """Write the buckets of a table, each one a version to publish."""
         path = f"{self.store.root}/{name}/{uuid.uuid4().hex}"
         rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
         schema = rows.drop(BUCKET).schema
         for folder in subfolders(self.spark, path):
-            bucket = int(folder.rpartition("=")[2])
-            entries[f"{name}/{bucket:06d}"] = Version(f"{path}/{folder}", schema)
+            entries[_entry(name, int(folder.rpartition("=")[2]))] = Version(f"{path}/{folder}", schema)
         return self.spark.read.schema(rows.select(*schema.names, BUCKET).schema).parquet(path)

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
 
@@ -47,6 +53,12 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found if f.isDirectory() and "=" in f.getPath().getName())
 
 
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Submit Spark jobs side by side; their results in order. The first failure is raised."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so later uses neither recompute it nor
     depend on the executors that made it."""
