@@ -55,10 +55,31 @@ def test_texts_of_several_languages_stay(spark, tiny):
     mixed = " ".join(w for _, words in sorted(by_lang.items()) for w in words[:40])
     own = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("bigint"), "text": F.lit(mixed), "lang": F.lit(None).cast("string")})
     found = language.with_language(own, language_model(docs), "found").select("found.score").first()[0]
-    assert found < corpus_pipeline.MIN_LANGUAGE_SCORE
+    assert found < 0.5
     assert -1 in ids(corpus_pipeline.language_stage(spark, docs.unionByName(own), tiny))
 
 
+FOREIGN = [
+    "съешь же ещё этих мягких французских булок да выпей чаю " * 5,
+    "我们 的 朋友 今天 去 北京 " * 5,
+    "ang lahat ng tao ay isinilang na malaya at pantay pantay sa karangalan at mga karapatan sila ay pinagkalooban ng katwiran",
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän",
+    "xkq zzvt plomf grut wex hgfd qwrt vbnm " * 5,
+]
+
+
+@pytest.mark.parametrize("langs", [("de", "en", "es", "fr"), ("en",)])
+def test_texts_of_unknown_languages_go(spark, small, langs):
+    docs = load_table(spark, small, "documents").where(F.col("lang").isin(*langs))
+    texts = [(-i, text) for i, text in enumerate(FOREIGN, 1)] + [(-10, "Keniloworthy"), (-11, "12 + 30"), (-12, None)]
+    own = spark.createDataFrame(texts, "doc_id bigint, text string").selectExpr(
+        "doc_id", "text", "CAST(NULL AS string) lang", "'s' source", "CAST(1 AS bigint) n_chars"
+    )
+    kept = ids(corpus_pipeline.language_stage(spark, docs.unionByName(own, allowMissingColumns=True), small))
+    letters = [i for i, t in texts_of(docs) if any(map(str.isalpha, t or ""))]
+    assert kept == sorted([*letters, -10])  # a name alone is no evidence
+
+
 def test_documents_pass_when_no_language_can_be_learned(spark, tiny):
     docs = load_table(spark, tiny, "documents").withColumn("lang", F.lit(None).cast("string"))
     assert ids(corpus_pipeline.language_stage(spark, docs, tiny)) == ids(docs)

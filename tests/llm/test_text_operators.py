@@ -66,6 +66,29 @@ def test_blocks_do_not_change_the_chain(monkeypatch):
     assert np.allclose(found, language.chain_marginals(scores, lengths, moves))
 
 
+def test_features_of_words_beside_each_other():
+    words = ["", "a", "été", "under", "an" * 40, "under", "wörter" * 9]
+    known = {"under": (0, 2)}
+    beside = [[] for _ in words]
+    for features, owner in language.feature_blocks(words, known):
+        for f, i in zip(features.tolist(), owner.tolist(), strict=True):
+            beside[i].append(f)
+    for word, found in zip(words, beside, strict=True):
+        alone = [f for features, _ in language.feature_blocks([word], known) for f in features.tolist()]
+        assert found == alone
+        n = len(word)
+        assert len(found) == bool(n) + 2 * min(4, n) + max(0, n - 1) + max(0, n - 2) + len(known.get(word, ()))
+    assert beside[3] == beside[5] and len(set(beside[4])) < len(beside[4])
+
+
+def test_long_texts_are_cut_into_blocks(monkeypatch, model):
+    words = ["these", "der", "les", "palabra", "the" * 500, ""]
+    whole = model.word_scores(words, model.known())
+    monkeypatch.setattr(language, "POINTS_AT_ONCE", 7)
+    cut = model.word_scores(words, model.known())
+    assert all(np.allclose(a, b) for a, b in zip(whole, cut, strict=True))
+
+
 def test_code_switched_words_are_labelled(spark, docs, model):
     by_lang = {r["lang"]: " ".join(r["text"].split()[:40]) for r in docs.where("n_chars > 600").dropDuplicates(["lang"]).collect()}
     mixed = spark.createDataFrame([(1, f"{by_lang['en']} {by_lang['de']} {by_lang['es']}"), (2, None)], "doc_id bigint, text string")

@@ -14,17 +14,25 @@ different documents, so the transitions see switches. The model's size depends o
 the number of languages only. Prediction reads whole texts in one pass without a
 shuffle; chains are computed exactly in blocks, many at a time.
 
+A text in a language the model never saw shows in its letter groups: the share of a
+word's features that the sample holds, against that of a document of the sample among
+the others (``familiarity``), tells it whatever the number of languages.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so
 is everything when there are no labelled rows. Tokens without a letter take part
-in the chain but have no vote. Only the id and the text are read in prediction.
+in the chain but have no vote. Only the id and the text are read in prediction, so
+further columns change nothing; a repeated row is labelled each time, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,27 +51,65 @@ RATE = 0.15
 PENALTY = 1e-6
 BLOCK = 32
 MEMO = 300_000
+POINTS_AT_ONCE = 1 << 20
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 WORDS_AT_ONCE = 200_000
+EVIDENCE_WORDS = 5
 
 
 # --- features --------------------------------------------------------------
 
 
 def letters(token: str) -> str:
-    return "".join(filter(str.isalpha, token)).lower()
+    return (token if token.isalpha() else "".join(filter(str.isalpha, token))).lower()
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """Feature numbers of 64-bit sums: the upper bits after mixing."""
+    return (((hashes ^ (hashes >> np.uint64(29))) * SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def feature_ids(word: str, lexicons: list[frozenset[str]]) -> list[int]:
-    """Hashed features of a word of letters; the last places hold the lexicons."""
-    mask = (1 << HASH_BITS) - 1
-    if not word:
-        return [(1 << HASH_BITS) + len(lexicons)]
-    names = [f"={word[:24]}"]
-    names += [f"<{word[:n]}" for n in range(1, min(4, len(word)) + 1)]
-    names += [f">{word[-n:]}" for n in range(1, min(4, len(word)) + 1)]
-    names += [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
-    found = [zlib.crc32(name.encode()) & mask for name in names]
-    return found + [(1 << HASH_BITS) + i for i, lexicon in enumerate(lexicons) if word in lexicon]
+def _grams(points: np.ndarray, first: np.ndarray, n: int, kind: int) -> np.ndarray:
+    """Features of ``kind`` of the ``n`` code points from each place of ``first`` on."""
+    hashes = np.full(len(first), kind, np.uint64)
+    for k in range(n):
+        hashes = hashes * MULTIPLIER + points[first + k]
+    return _places(hashes)
+
+
+def feature_blocks(words: list[str], known: dict[str, tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of many words as pairs of arrays: feature, index of its word.
+
+    Features are the word (its first 24 letters), prefixes and suffixes of one to
+    four letters, all bigrams and trigrams, and the lexicons of ``known`` that hold
+    the word. A word without letters has none. The features of a word come in the
+    same order whatever words are beside it; an array holds about POINTS_AT_ONCE at most.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(lengths) - lengths
+    held = [(1 << HASH_BITS) + i for word in words for i in known.get(word, ())]
+    holder = [at for at, word in enumerate(words) for _ in known.get(word, ())]
+    yield np.array(held, np.int64), np.array(holder, np.int64)
+    whole = np.full(len(words), 1, np.uint64)
+    for k in range(24):
+        longer = np.flatnonzero(lengths > k)
+        if not len(longer):
+            break
+        whole[longer] = whole[longer] * MULTIPLIER + points[first[longer] + k]
+    some = np.flatnonzero(lengths)
+    yield _places(whole[some]), some
+    for n in range(1, 5):
+        some = np.flatnonzero(lengths >= n)
+        yield _grams(points, first[some], n, 2), some
+        yield _grams(points, first[some] + lengths[some] - n, n, 3), some
+    owner = np.repeat(np.arange(len(words)), lengths)
+    room = np.repeat(first + lengths, lengths) - np.arange(len(points))
+    for at in range(0, len(points), POINTS_AT_ONCE):
+        for n in (2, 3):
+            starts = at + np.flatnonzero(room[at : at + POINTS_AT_ONCE] >= n)
+            yield _grams(points, starts, n, 4), owner[starts]
 
 
 @dataclass(frozen=True)
@@ -72,6 +118,33 @@ class Model:
     lexicons: tuple[frozenset[str], ...]
     weights: np.ndarray  # features x languages
     transitions: np.ndarray  # languages x languages
+    seen: np.ndarray  # per feature, whether the sample holds it
+    familiarity: float  # of a word of the sample, to the sample's other documents
+
+    def known(self) -> dict[str, tuple[int, ...]]:
+        """Word -> the lexicons that hold it."""
+        return lexicon_numbers(self.lexicons)
+
+    def word_scores(self, words: list[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights of the features of each word (words x languages), and
+        the share of its features that the sample holds."""
+        scores = np.zeros((len(words), len(self.languages)))
+        held, n = np.zeros(len(words)), np.zeros(len(words))
+        for features, owner in feature_blocks(words, known):
+            weights = self.weights[features]
+            for k in range(scores.shape[1]):
+                scores[:, k] += np.bincount(owner, weights[:, k], len(words))
+            held += np.bincount(owner, self.seen[features], len(words))
+            n += np.bincount(owner, None, len(words))
+        return scores, held / np.maximum(n, 1)
+
+
+def lexicon_numbers(lexicons: tuple[frozenset[str], ...]) -> dict[str, tuple[int, ...]]:
+    numbers: dict[str, tuple[int, ...]] = {}
+    for i, lexicon in enumerate(lexicons):
+        for word in lexicon:
+            numbers[word] = (*numbers.get(word, ()), i)
+    return numbers
 
 
 # --- the chain -------------------------------------------------------------
@@ -193,23 +266,26 @@ def fit(sample: list[tuple[str, int, str]]) -> Model | None:
         frozenset(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]) for c in counts
     )
     vocabulary = {w: i for i, w in enumerate(sorted({w for docs in texts for doc in docs for w in doc}))}
-    features = [feature_ids(w, list(lexicons)) for w in vocabulary]
-    starts = np.cumsum([0, *map(len, features[:-1])])
-    flat = np.array([f for fs in features for f in fs], np.int64)
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    blocks = list(feature_blocks(list(vocabulary), lexicon_numbers(lexicons)))
+    flat, owner = (np.concatenate(arrays) for arrays in zip(*blocks, strict=True))
+    order = np.argsort(owner, kind="stable")
+    flat, owner = flat[order], owner[order]
+    lettered, starts = np.unique(owner, return_index=True)  # all but the word without letters
+    by_vocabulary = np.zeros((len(vocabulary), len(languages)))
     words, states = _sequences(
         [[[vocabulary[w] for w in doc] for doc in docs] for docs in texts], np.random.default_rng(0)
     )
 
     n = len(languages)
-    n_features = (1 << HASH_BITS) + n + 1
+    n_features = (1 << HASH_BITS) + n
     n_words = words.size
     weights, transitions = np.zeros((n_features, n)), np.zeros((n, n))
     moments = [np.zeros_like(x) for x in (weights, weights, transitions, transitions)]
-    seen_words = np.bincount((words * n + states).ravel(), minlength=len(features) * n).reshape(-1, n)
+    seen_words = np.bincount((words * n + states).ravel(), minlength=len(vocabulary) * n).reshape(-1, n)
     seen_moves = np.bincount((states[:, :-1] * n + states[:, 1:]).ravel(), minlength=n * n).reshape(n, n)
     for step in range(1, STEPS + 1):
-        emission = np.add.reduceat(weights[flat], starts, axis=0)[words]
+        by_vocabulary[lettered] = np.add.reduceat(weights[flat], starts, axis=0)
+        emission = by_vocabulary[words]
         alpha, beta = np.empty_like(emission), np.zeros_like(emission)
         alpha[:, 0] = emission[:, 0]
         for t in range(1, SEQUENCE):
@@ -222,7 +298,7 @@ def fit(sample: list[tuple[str, int, str]]) -> Model | None:
         for t in range(SEQUENCE - 1):
             pair = alpha[:, t, :, None] + transitions + (emission[:, t + 1] + beta[:, t + 1])[:, None, :]
             moves += np.exp(pair - norm[:, None, None]).sum(0)
-        expected = np.stack([np.bincount(words.ravel(), marginal[..., k].ravel(), len(features)) for k in range(n)], 1)
+        expected = np.stack([np.bincount(words.ravel(), marginal[..., k].ravel(), len(vocabulary)) for k in range(n)], 1)
         by_word = (seen_words - expected) / n_words
         up = np.stack([np.bincount(flat, by_word[owner, k], n_features) for k in range(n)], 1)
         gradients = (up - PENALTY * weights, (seen_moves - moves) / n_words)
@@ -231,7 +307,27 @@ def fit(sample: list[tuple[str, int, str]]) -> Model | None:
             mean += 0.1 * (gradient - mean)
             square += 0.01 * (gradient**2 - square)
             value += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return Model(tuple(languages), lexicons, weights.astype(np.float32), transitions)
+    seen = np.bincount(flat, minlength=n_features) > 0
+    documents = [[vocabulary[w] for w in doc if w] for docs in texts for doc in docs]
+    familiarity = _familiarity(documents, flat, np.cumsum(np.bincount(owner, minlength=len(vocabulary))))
+    return Model(tuple(languages), lexicons, weights.astype(np.float32), transitions, seen, familiarity)
+
+
+def _familiarity(documents: list[list[int]], flat: np.ndarray, ends: np.ndarray) -> float:
+    """Mean over all words of the share of their features that another document holds.
+    The features of word ``w`` of the vocabulary end at place ``ends[w]`` of ``flat``."""
+
+    def features(words: Iterable[int]) -> np.ndarray:
+        return np.concatenate([flat[ends[w - 1] if w else 0 : ends[w]] for w in words] or [flat[:0]])
+
+    holders = Counter()
+    for words in documents:
+        holders.update(np.unique(features(set(words))).tolist())
+    shared = np.zeros(flat.max() + 1)
+    shared[[f for f, n in holders.items() if n > 1]] = 1
+    totals = np.r_[0.0, np.cumsum(shared[flat])]
+    by_word = (totals[ends] - totals[np.r_[0, ends[:-1]]]) / np.maximum(np.diff(np.r_[0, ends]), 1)
+    return float(by_word[[w for words in documents for w in words]].mean())
 
 
 def train(labelled: DataFrame, **columns: str) -> Model | None:
@@ -243,38 +339,53 @@ def train(labelled: DataFrame, **columns: str) -> Model | None:
 # --- prediction ------------------------------------------------------------
 
 
+class Labels(NamedTuple):
+    """Per word its marginals, whether it has letters and the share of its features
+    that the sample holds; per text its number of words."""
+
+    marginals: np.ndarray
+    votes: np.ndarray
+    familiar: np.ndarray
+    lengths: np.ndarray
+
+
 class Labeller(dict):
-    """Scores of words: token -> row of ``scores``. Forgets all when it is full."""
+    """Scores of words: token -> row of ``scores``. New tokens of many texts are
+    scored together. Forgets all when it is full."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
-        self.lexicons = list(model.lexicons)
+        self.known = model.known()
         self.scores = np.zeros((MEMO, len(model.languages)))
         self.votes = np.zeros(MEMO)
-
-    def __missing__(self, token: str) -> int:
-        word = letters(token)
-        row = len(self)
-        self.scores[row] = self.model.weights[feature_ids(word, self.lexicons)].sum(0)
-        self.votes[row] = bool(word)
-        self[token] = row
-        return row
-
-    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marginals and votes of all words, and the number of words of each text."""
+        self.familiar = np.zeros(MEMO)
+
+    def learn(self, tokens: list[str]) -> None:
+        """Give every token a row; ``tokens`` are at most MEMO."""
+        new = set(tokens).difference(self)
+        if len(self) + len(new) > MEMO:
+            self.clear()
+            new = set(tokens)
+        fresh = list(new)
+        words = [letters(token) for token in fresh]
+        rows = slice(len(self), len(self) + len(fresh))
+        self.scores[rows], self.familiar[rows] = self.model.word_scores(words, self.known)
+        self.votes[rows] = [bool(word) for word in words]
+        self.update(zip(fresh, range(rows.start, rows.stop), strict=True))
+
+    def label(self, texts: list[list[str]]) -> Labels:
         lengths = np.array([len(t) for t in texts], np.int64)
-        scores, votes = np.empty((lengths.sum(), len(self.model.languages))), np.empty(lengths.sum())
-        at = 0
-        for tokens in texts:
-            for i in range(0, len(tokens), MEMO // 2):
-                some = tokens[i : i + MEMO // 2]
-                if len(self) + len(some) > MEMO:
-                    self.clear()
-                rows = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
-                scores[at : at + len(rows)], votes[at : at + len(rows)] = self.scores[rows], self.votes[rows]
-                at += len(rows)
-        return chain_marginals(scores, lengths, self.model.transitions), votes, lengths
+        n = int(lengths.sum())
+        scores, votes, familiar = np.empty((n, len(self.model.languages))), np.empty(n), np.empty(n)
+        tokens = list(chain.from_iterable(texts))
+        for at in range(0, n, MEMO // 2):
+            some = tokens[at : at + MEMO // 2]
+            self.learn(some)
+            rows = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+            here = slice(at, at + len(some))
+            scores[here], votes[here], familiar[here] = self.scores[rows], self.votes[rows], self.familiar[rows]
+        return Labels(chain_marginals(scores, lengths, self.model.transitions), votes, familiar, lengths)
 
     def in_groups(self, texts: pd.Series) -> Iterator[tuple[list[int], list[list[str]]]]:
         """Texts in groups of about WORDS_AT_ONCE words; a longer text is alone."""
@@ -321,38 +432,53 @@ def _share(docs: DataFrame, model: Model | None) -> _Shared:
 
 
 def with_language(
-    docs: DataFrame, model: Model | None, name: str = "language", text_column: str = "text", certainty: bool = False
+    docs: DataFrame, model: Model | None, name: str = "language", text_column: str = "text", evidence: bool = False
 ) -> DataFrame:
     """``docs`` and a column ``name``: struct(lang, score, n_words), on demand with
-    ``certainty``: the mean over the words of the largest probability of a language."""
+    ``evidence``: ``certainty``, the mean over the words with letters of the largest
+    probability of a language, and ``familiarity``, the mean share of their features
+    that the training sample holds, as a part of what it is for a document of the
+    sample among the others. ``EVIDENCE_WORDS`` expected words are added to that mean,
+    so that a name alone does not make a text foreign."""
     shared = _share(docs, model)
 
-    @F.pandas_udf("lang string, score double, n_words bigint" + (", certainty double" if certainty else ""))
+    @F.pandas_udf(
+        "lang string, score double, n_words bigint"
+        + (", certainty double, familiarity double" if evidence else "")
+    )
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             langs, shares, n_words = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            sure = np.zeros(len(texts))
+            sure, familiar = np.zeros(len(texts)), np.zeros(len(texts))
             if shared.value is not None:
                 labeller = _labeller(shared)
                 names = shared.value.languages
                 for places, group in labeller.in_groups(texts):
-                    marginals, votes, lengths = labeller.label(group)
+                    marginals, votes, held, lengths = labeller.label(group)
                     owner = np.repeat(np.arange(len(lengths)), lengths)
                     n = np.bincount(owner, votes, len(lengths))
                     share = np.stack(
                         [np.bincount(owner, votes * marginals[:, k], len(lengths)) for k in range(len(names))], 1
                     )
                     best = share.argmax(1)
-                    if certainty:
+                    if evidence:
                         most = np.bincount(owner, votes * marginals.max(1), len(lengths))
                         sure[places] = np.minimum(1.0, most / np.maximum(n, 1))
+                        expected = shared.value.familiarity
+                        familiar[places] = (
+                            (np.bincount(owner, held, len(lengths)) + EVIDENCE_WORDS * expected)
+                            / (n + EVIDENCE_WORDS)
+                            / expected
+                            if expected
+                            else 1.0
+                        )
                     for i, place in enumerate(places):
                         n_words[place] = lengths[i]
                         if n[i]:
                             langs[place] = names[best[i]]
                             shares[place] = min(1.0, share[i, best[i]] / n[i])
             found = pd.DataFrame({"lang": langs, "score": shares, "n_words": n_words})
-            yield found.assign(certainty=sure) if certainty else found
+            yield found.assign(certainty=sure, familiarity=familiar) if evidence else found
 
     return docs.withColumn(name, predict(F.col(text_column)))
 
@@ -381,7 +507,7 @@ def language_spans(docs: DataFrame, model: Model, id_column: str = "doc_id", tex
         for batch in batches:
             ids = batch["id"].astype("Int64")
             for places, group in labeller.in_groups(batch["text"]):
-                marginals, _, lengths = labeller.label(group)
+                marginals, _, _, lengths = labeller.label(group)
                 best = marginals.argmax(1)
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 starts = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])][: len(best)])
