@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
-1. language ID: documents whose words are of no recognised language go, texts of
-   several languages stay; all stay when there are no labelled rows to learn from;
+1. language ID: documents without a letter go, and those whose words are made of
+   other letter groups than the labelled rows (a language the model never saw, noise);
+   texts of several known languages stay; all stay without labelled rows to learn from;
 2. line dedup: lines repeated in later documents go, documents stay;
 3. near-dedup: one document of each group of near copies stays;
 4. decontamination: documents that hold a test item go;
@@ -28,7 +29,7 @@ from weftline.llm.queries import WORD_TOKENIZER, language_model
 from weftline.sources.tables import load_table
 from weftline.sources.workspace import stage
 
-MIN_LANGUAGE_SCORE = 0.35  # of the mean certainty of the words
+MIN_FAMILIARITY = 0.9  # of a text's words, as a part of that of a labelled document's
 NEAR_PERCENT = 80
 HIGH_ID = 1 << 62  # row numbers of Spark stay below
 NO_ID = "no_id__"
@@ -71,9 +72,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_model(docs)
     if model is None:
         return docs
-    found = language.with_language(docs, model, "found__", certainty=True)
-    sure = (F.col("found__.lang") != language.UNKNOWN) & (F.col("found__.certainty") >= MIN_LANGUAGE_SCORE)
-    return found.where(sure).select(docs.columns)
+    found = language.with_language(docs, model, "found__", evidence=True)
+    known = (F.col("found__.lang") != language.UNKNOWN) & (F.col("found__.familiarity") >= MIN_FAMILIARITY)
+    return found.where(known).select(docs.columns)
 
 
 @by_key
