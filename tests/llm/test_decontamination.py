@@ -52,9 +52,10 @@ def test_alignment_equals_the_textbook():
         assert textbook(item, passage[start:end]) == score
 
 
-@pytest.fixture(scope="module")
-def edited(spark):
-    rng = random.Random(4)
+def edited_copies(seed, rate):
+    """300 documents, 200 of them with a copy of an item of which ``rate`` of the words
+    are replaced, missing or preceded by another word; and the 20 items."""
+    rng = random.Random(seed)
     vocabulary = [f"word{i}" for i in range(400)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(16, 56)))) for i in range(20)]
     rows = []
@@ -62,7 +63,7 @@ def edited(spark):
         around = [rng.choice(vocabulary) for _ in range(rng.randrange(30, 300))]
         words = items[n % 20][1].split()
         if n < 200:
-            for _ in range(max(1, len(words) // 8)):
+            for _ in range(max(1, int(len(words) * rate))):
                 at = rng.randrange(len(words))
                 words[at : at + 1] = rng.choice([[], ["Added,", words[at]], ["other!"]])
             around[10:10] = words
@@ -70,6 +71,11 @@ def edited(spark):
     return rows, items
 
 
+@pytest.fixture(scope="module")
+def edited():
+    return edited_copies(4, 1 / 8)
+
+
 def test_edited_copies_are_found_and_clean_texts_are_not(spark, edited):
     rows, items = edited
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -77,8 +83,57 @@ def test_edited_copies_are_found_and_clean_texts_are_not(spark, edited):
     got = found(d.find_leaks(docs, bench))
     assert got == brute(rows, items)
     assert {i for i, _ in got} == set(range(200))
-    # in a corpus where every seed is common the leaks are found as well
-    assert found(d.find_leaks(docs, bench, rare_share=0.0)) == got
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.05, 1.0), (0.2, 0.98), (0.3, 0.95)])
+def test_recall_of_rare_seeds(spark, rate, least):
+    rows, items = edited_copies(5, rate)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, expected = found(d.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"))), brute(rows, items)
+    assert len(expected) > 150 and set(got) <= set(expected)
+    assert len(got) >= least * len(expected)
+    assert all(score <= expected[pair] for pair, score in got.items())
+
+
+def test_seeds_are_the_rarest_of_every_stretch(spark):
+    grams = spark.createDataFrame([(g, 1, g // 5) for g in range(15)] + [(3, 2, 0)], "gram bigint, item bigint, stretch bigint")
+    times = {0: 9, 1: 4, 2: 4, 3: 1, 4: 7, 5: 500, 6: 400, 7: 600, 8: 500}  # the others are in no passage
+    hits = spark.createDataFrame([(n, g) for g, times_ in times.items() for n in range(times_)], "passage bigint, gram bigint")
+    seeds = {(r["item"], r["gram"]) for r in d.rare_seeds(grams, hits, 2).collect()}
+    assert seeds == {(1, 3), (1, 1), (1, 6), (1, 5), (2, 3)}
+
+
+def test_frequent_grams_alone_bring_no_candidate(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(n, " ".join(f"own{n}x{i} of the many" for i in range(10))) for n in range(5)]
+    between = lambda: " ".join(f"word{rng.randrange(99)}" for _ in range(6))
+    rows = [(n, " ".join(f"of the many {between()}" for _ in range(10))) for n in range(200)]
+    rows += [(1000 + n, f"before it {text} and after") for n, text in items]
+    pairs = []
+    whole = d._aligned
+    monkeypatch.setattr(d, "_aligned", lambda df, *rest: pairs.append(df.count()) or whole(df, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = found(d.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert got == {(1000 + n, n): 40 for n in range(5)}
+    assert pairs == [5]
+
+
+def test_every_leak_holds_a_whole_stretch():
+    for n_words in range(d.GRAM, 200):
+        least = min(d.MIN_SCORE, -(-n_words // 2))
+        length = d.stretch_length(n_words, 0.5, d.MIN_SCORE)
+        for start in range(n_words - max(least, d.GRAM) + 1):
+            places = range(start, start + max(least, d.GRAM) - d.GRAM + 1)
+            whole = [s for s in range(n_words) if all(p in places for p in range(s * length, (s + 1) * length))]
+            assert whole and length <= d.MIN_SCORE // 2
+
+
+def test_bitmap_marks_the_grams(spark):
+    grams = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 500)
+    bits = d._bitmap(spark.createDataFrame([(int(g),) for g in grams] * 2, "gram bigint"))
+    at = d._bit(grams.view(np.uint64))
+    assert (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all()
+    assert np.unpackbits(bits).sum() == len(set(at.tolist()))
 
 
 def test_spans_hold_the_leak(spark, edited):

@@ -5,28 +5,36 @@ item. A bitmap of fixed size says which n-grams those may be, so what travels to
 the tasks does not grow with the benchmark; the few false hits drop out in the
 exact join that follows. Hits close to each other make a passage.
 
-Every shared n-gram is a seed, however many documents hold it, so an excerpt that
-leaked into very many documents is found everywhere. Passages join items by seeds.
-A pair goes on when enough words of the item stand close together in the passage;
-this count is never less than the score, so no leak is lost by it. What is left is
-aligned by words (Smith-Waterman: match 1, mismatch and gap -1), which scores
-copies with replaced, missing or added words. A pair that shares a seed is a leak
-from ``MIN_SHARE`` of the item on, or from ``MIN_SCORE`` on for long items.
+Seeds are rare n-grams. How many passages hold an n-gram decides: an item is cut
+into stretches so short that any part of it that is a leak holds a whole one, and of
+each stretch the ``SEEDS`` rarest n-grams that occur at all are its seeds, whatever
+their count. So an excerpt that leaked into very many documents still has seeds,
+while the frequent n-grams of an item bring no candidates; they only show where a
+candidate is to be aligned. A passage and an item that share a seed are a candidate.
+Copies edited so much that no seed of them is left are lost; the tests measure that.
+
+A candidate goes on when enough words of the item stand close together in the
+passage; this count is never less than the score, so no leak is lost by it. What is
+left is aligned by words (Smith-Waterman: match 1, mismatch and gap -1), which scores
+copies with replaced, missing or added words. It is a leak from ``MIN_SHARE`` of the
+item on, or from ``MIN_SCORE`` on for long items.
 
 Defined results: words are the letters and digits of the pieces between white
 space, in lower case. Null and empty texts have none. Items of fewer words than a
 seed are not searched. Rows of one doc_id are one document, and items of one
-item_id are each aligned. Other columns are not read.
+item_id are each aligned. Other columns are not read. Of n-grams equally rare the
+one of the smaller hash is the seed. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.sizing import broadcast_if_small
@@ -37,6 +45,7 @@ BITMAP_BITS = 26
 MARGIN = 64
 MIN_SHARE = 0.5
 MIN_SCORE = 30
+SEEDS = 3
 MEMO = 300_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _PLACES = np.random.default_rng(21).integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,32 +126,56 @@ def align_span(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 # --- the job ---------------------------------------------------------------
 
 
-def _item_grams(items: DataFrame) -> DataFrame:
-    """``gram, item_id`` of every item."""
+def stretch_length(n_words: int, min_share: float, min_score: int) -> int:
+    """Places of n-grams in a stretch: a leak has at least this many words of the item
+    less the edited ones, and twice the places of a stretch less one."""
+    least = min(min_score, math.ceil(min_share * n_words))
+    return max(1, (least - GRAM + 2) // 2)
+
+
+def _item_grams(items: DataFrame, min_share: float, min_score: int) -> DataFrame:
+    """``gram, item, stretch`` of every item."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(grams_of(words_of(t.as_py()))) for t in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(g) for g in found])
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            found = [grams_of(w) for w in words]
+            stretches = [np.arange(len(g)) // stretch_length(len(w), min_share, min_score) for w, g in zip(words, found, strict=True)]
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(g) for g in found])
             values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.record_batch([pa.array(values), pa.array(ids, pa.int64())], ["gram", "item_id"])
+            places = np.concatenate([*stretches, np.zeros(0, np.int64)])
+            yield pa.record_batch([pa.array(values), pa.array(keys), pa.array(places)], ["gram", "item", "stretch"])
 
-    return items.select("item_id", "text").mapInArrow(grams, "gram bigint, item_id bigint")
+    held = items.select("item", F.col("text").cast("binary").alias("text"))
+    return held.mapInArrow(grams, "gram bigint, item bigint, stretch bigint").distinct()
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
-    """The fixed-size bitmap of all item n-grams, as packed bits."""
-    place = F.shiftrightunsigned("gram", 64 - BITMAP_BITS)
-    filled = np.zeros(1 << BITMAP_BITS, bool)
-    at = grams.select(place.alias("bit")).distinct().toArrow()  # at most 2 ** BITMAP_BITS rows
-    filled[at.column("bit").to_numpy()] = True
-    return np.packbits(filled, bitorder="little")
+    """The fixed-size bitmap of all item n-grams, as packed bits; built in words of 64
+    bits, so at most 2 ** (BITMAP_BITS - 6) rows are fetched."""
+    bit = F.shiftrightunsigned("gram", 64 - BITMAP_BITS)
+    marked = grams.withColumn("bit", bit).selectExpr(
+        "shiftright(bit, 6) AS word", "shiftleft(1L, CAST(bit & 63 AS int)) AS mark"
+    )
+    at = marked.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    words = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
+    words[at.column("word").to_numpy()] = at.column("marks").to_numpy()
+    return words.view(np.uint8)
+
+
+def rare_seeds(grams: DataFrame, hits: DataFrame, seeds: int) -> DataFrame:
+    """``gram, item``: of each stretch the ``seeds`` n-grams in the fewest passages,
+    of those that are in any. A stretch has at most MIN_SCORE / 2 of them."""
+    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("passages"))
+    rank = F.row_number().over(Window.partitionBy("item", "stretch").orderBy("passages", "gram"))
+    ranked = grams.join(counts, "gram").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= seeds).select("gram", "item").distinct()
 
 
 def find_passages(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``doc_id, first_word, text, hits``: stretches that may share n-grams with items.
+    """``doc_id, first_word, text, hits``: passages that may share n-grams with items.
 
-    ``hits`` are (gram, place among the words of the passage)."""
+    ``hits`` are the different n-grams that may be shared."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +194,13 @@ def find_passages(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * MARGIN) + 1):
                     first, end = max(0, group[0] - MARGIN), min(len(places), group[-1] + GRAM + MARGIN)
                     start, stop = places[first], places[end - 1] + 1
-                    found = [{"gram": int(g), "place": int(p)} for g, p in zip(grams[group].view(np.int64), group - first, strict=True)]
-                    rows.append((doc_id, int(start), b" ".join(tokens[start:stop]).decode(), found))
+                    rows.append((doc_id, int(start), b" ".join(tokens[start:stop]).decode(), np.unique(grams[group]).view(np.int64)))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
             yield pa.record_batch(arrays, ["doc_id", "first_word", "text", "hits"])
 
-    schema = "doc_id bigint, first_word bigint, text string, hits array<struct<gram:bigint,place:int>>"
+    schema = "doc_id bigint, first_word bigint, text string, hits array<bigint>"
     return docs.mapInArrow(scan, schema)
 
 
@@ -181,19 +213,19 @@ def most_words(item: np.ndarray, passage: np.ndarray) -> int:
 
 
 def _aligned(pairs: DataFrame, min_share: float, min_score: int) -> DataFrame:
-    """The leaks among (passage, item): each pair aligned around its seeds, stretches
-    far apart each alone."""
+    """The leaks among (passage, item): each pair aligned around all n-grams it shares,
+    rare or not, stretches far apart each alone."""
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, first_word, text, item_id, item, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, first_word, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = word_hashes(text.encode().split())
                 at = np.flatnonzero(codes)
                 words, wanted = codes[at], words_of(item.encode())
-                seeds, reach = np.unique(places), len(wanted) + MARGIN
+                shared, reach = np.flatnonzero(np.isin(grams_of(words), grams_of(wanted))), len(wanted) + MARGIN
                 best = (0, 0, 0)
-                for group in np.split(seeds, np.flatnonzero(np.diff(seeds) > 2 * reach) + 1):
+                for group in np.split(shared, np.flatnonzero(np.diff(shared) > 2 * reach) + 1):
                     low, high = max(0, group[0] - reach), group[-1] + reach
                     most = most_words(wanted, words[low:high])
                     if most <= best[0] or (most < min_score and most / len(wanted) < min_share):
@@ -218,26 +250,26 @@ def find_leaks(
     items: DataFrame,
     min_share: float = MIN_SHARE,
     min_score: int = MIN_SCORE,
-    rare_share: float | None = None,
+    seeds: int = SEEDS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``doc_id, item_id, score, share, first_word, n_words`` of every leak, the best
-    alignment of each document and item; places count pieces between white space.
-    ``rare_share`` is accepted from older callers and changes nothing."""
+    alignment of each document and item; places count pieces between white space."""
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    grams = stage(_item_grams(items.withColumn("text", F.col("text").cast("binary"))), "item-grams")
+    items = stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    grams = stage(_item_grams(items, min_share, min_score), "item-grams")
     passages = find_passages(texts, _bitmap(grams)).withColumn("passage", F.monotonically_increasing_id())
     passages = stage(passages, "passages")
-    hits = passages.select("passage", F.inline("hits"))
+    hits = passages.select("passage", F.explode("hits").alias("gram"))
 
-    found = hits.join(broadcast_if_small(grams), "gram").groupBy("passage", "item_id")
-    candidates = found.agg(F.collect_set("place").alias("places"))
+    rare = stage(rare_seeds(grams, hits, seeds), "seeds")
+    candidates = hits.join(broadcast_if_small(rare), "gram").select("passage", "item").distinct()
     pairs = (
-        candidates.join(passages.select("passage", "doc_id", "first_word", "text"), "passage")
-        .join(items.withColumnRenamed("text", "item"), "item_id")
-        .select("doc_id", "first_word", "text", "item_id", "item", "places")
+        candidates.join(passages.drop("hits"), "passage")
+        .join(items.withColumnRenamed("text", "item_text"), "item")
+        .select("doc_id", "first_word", "text", "item_id", "item_text")
     )
     aligned = _aligned(pairs, min_share, min_score)
     best = F.max(F.struct("score", "share", (-F.col("first_word")).alias("first_word"), "n_words")).alias("best")
