@@ -96,16 +96,18 @@ def test_recall_of_rare_seeds(spark, rate, least):
 
 
 def test_seeds_are_the_rarest_of_every_stretch(spark):
-    grams = spark.createDataFrame([(g, 1, g // 5) for g in range(15)] + [(3, 2, 0)], "gram bigint, item bigint, stretch bigint")
-    times = {0: 9, 1: 4, 2: 4, 3: 1, 4: 7, 5: 500, 6: 400, 7: 600, 8: 500}  # the others are in no passage
+    rows = [(g, 1, g // 6, g) for g in range(18)] + [(3, 2, 0, 0)]
+    grams = spark.createDataFrame(rows, "gram bigint, item bigint, stretch bigint, place bigint")
+    times = {0: 9, 1: 4, 2: 4, 3: 1, 4: 7, 5: 3, 6: 400, 7: 500, 8: 600}  # the others are in no passage
     hits = spark.createDataFrame([(n, g) for g, times_ in times.items() for n in range(times_)], "passage bigint, gram bigint")
-    seeds = {(r["item"], r["gram"]) for r in d.rare_seeds(grams, hits, 2).collect()}
-    assert seeds == {(1, 3), (1, 1), (1, 6), (1, 5), (2, 3)}
+    seeds = sorted((r["item"], r["gram"]) for r in d.rare_seeds(grams, hits, 3).collect())
+    # 3, then 0 for it shares no word with 3, then the rarest of the rest; 6 to 8 though frequent
+    assert seeds == [(1, 0), (1, 3), (1, 5), (1, 6), (1, 7), (1, 8), (2, 3)]
 
 
 def test_frequent_grams_alone_bring_no_candidate(spark, monkeypatch):
     rng = random.Random(9)
-    items = [(n, " ".join(f"own{n}x{i} of the many" for i in range(10))) for n in range(5)]
+    items = [(n, " ".join(f"own{n}x{i} its{n}x{i} a{n}x{i} b{n}x{i} of the many" for i in range(8))) for n in range(5)]
     between = lambda: " ".join(f"word{rng.randrange(99)}" for _ in range(6))
     rows = [(n, " ".join(f"of the many {between()}" for _ in range(10))) for n in range(200)]
     rows += [(1000 + n, f"before it {text} and after") for n, text in items]
@@ -114,7 +116,7 @@ def test_frequent_grams_alone_bring_no_candidate(spark, monkeypatch):
     monkeypatch.setattr(d, "_aligned", lambda df, *rest: pairs.append(df.count()) or whole(df, *rest))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = found(d.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")))
-    assert got == {(1000 + n, n): 40 for n in range(5)}
+    assert got == brute(rows, items) == {(1000 + n, n): 56 for n in range(5)}
     assert pairs == [5]
 
 
@@ -122,10 +124,13 @@ def test_every_leak_holds_a_whole_stretch():
     for n_words in range(d.GRAM, 200):
         least = min(d.MIN_SCORE, -(-n_words // 2))
         length = d.stretch_length(n_words, 0.5, d.MIN_SCORE)
-        for start in range(n_words - max(least, d.GRAM) + 1):
-            places = range(start, start + max(least, d.GRAM) - d.GRAM + 1)
-            whole = [s for s in range(n_words) if all(p in places for p in range(s * length, (s + 1) * length))]
-            assert whole and length <= d.MIN_SCORE // 2
+        stretches = d.stretches(n_words - d.GRAM + 1, length)
+        sizes = np.bincount(stretches)
+        assert 2 * sizes.min() >= min(length, len(stretches)) and sizes.max() <= length <= d.MIN_SCORE // 2
+        width = max(least, d.GRAM) - d.GRAM + 1
+        for start in range(len(stretches) - width + 1):
+            inside = np.bincount(stretches[start : start + width], minlength=len(sizes))
+            assert (inside == sizes).any()
 
 
 def test_bitmap_marks_the_grams(spark):

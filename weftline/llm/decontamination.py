@@ -8,10 +8,12 @@ exact join that follows. Hits close to each other make a passage.
 Seeds are rare n-grams. How many passages hold an n-gram decides: an item is cut
 into stretches so short that any part of it that is a leak holds a whole one, and of
 each stretch the ``SEEDS`` rarest n-grams that occur at all are its seeds, whatever
-their count. So an excerpt that leaked into very many documents still has seeds,
-while the frequent n-grams of an item bring no candidates; they only show where a
-candidate is to be aligned. A passage and an item that share a seed are a candidate.
-Copies edited so much that no seed of them is left are lost; the tests measure that.
+their count; those that share a word with a rarer seed come after all others. So an
+excerpt that leaked into very many documents still has seeds, and an edited word
+breaks only one of the separate seeds of a stretch, while the frequent n-grams of an
+item bring no candidates; they only show where a candidate is to be aligned. A
+passage and an item that share a seed are a candidate. Copies edited so much that no
+seed of them is left are lost; the tests measure that.
 
 A candidate goes on when enough words of the item stand close together in the
 passage; this count is never less than the score, so no leak is lost by it. What is
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.sizing import broadcast_if_small
@@ -133,21 +135,29 @@ def stretch_length(n_words: int, min_share: float, min_score: int) -> int:
     return max(1, (least - GRAM + 2) // 2)
 
 
+def stretches(n_places: int, length: int) -> np.ndarray:
+    """The stretch of each place: as few of even size as have at most ``length`` places."""
+    n = -(-n_places // length)
+    return np.arange(n_places) * n // max(1, n_places)
+
+
 def _item_grams(items: DataFrame, min_share: float, min_score: int) -> DataFrame:
-    """``gram, item, stretch`` of every item."""
+    """``gram, item, stretch, place`` of every item."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t.as_py()) for t in batch.column(1)]
             found = [grams_of(w) for w in words]
-            stretches = [np.arange(len(g)) // stretch_length(len(w), min_share, min_score) for w, g in zip(words, found, strict=True)]
+            lengths = [stretch_length(len(w), min_share, min_score) for w in words]
+            places = [stretches(len(g), n) for g, n in zip(found, lengths, strict=True)]
             keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(g) for g in found])
             values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            places = np.concatenate([*stretches, np.zeros(0, np.int64)])
-            yield pa.record_batch([pa.array(values), pa.array(keys), pa.array(places)], ["gram", "item", "stretch"])
+            numbers = np.concatenate([*places, np.zeros(0, np.int64)])
+            at = np.concatenate([*map(np.arange, map(len, found)), np.zeros(0, np.int64)])
+            yield pa.record_batch([pa.array(c) for c in (values, keys, numbers, at)], ["gram", "item", "stretch", "place"])
 
     held = items.select("item", F.col("text").cast("binary").alias("text"))
-    return held.mapInArrow(grams, "gram bigint, item bigint, stretch bigint").distinct()
+    return held.mapInArrow(grams, "gram bigint, item bigint, stretch bigint, place bigint")
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
@@ -164,12 +174,23 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
 
 
 def rare_seeds(grams: DataFrame, hits: DataFrame, seeds: int) -> DataFrame:
-    """``gram, item``: of each stretch the ``seeds`` n-grams in the fewest passages,
-    of those that are in any. A stretch has at most MIN_SCORE / 2 of them."""
+    """``gram, item``: of each stretch the ``seeds`` n-grams in the fewest passages, of
+    those that are in any; first such as share no word, then the next rarest. A
+    stretch has at most MIN_SCORE / 2 n-grams."""
     counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("passages"))
-    rank = F.row_number().over(Window.partitionBy("item", "stretch").orderBy("passages", "gram"))
-    ranked = grams.join(counts, "gram").withColumn("rank", rank)
-    return ranked.where(F.col("rank") <= seeds).select("gram", "item").distinct()
+    by_rarity = F.sort_array(F.collect_list(F.struct("passages", "gram", "place"))).alias("found")
+    ranked = grams.join(counts, "gram").groupBy("item", "stretch").agg(by_rarity)
+    apart = F.aggregate(
+        "found",
+        F.filter("found", lambda x: F.lit(False)),
+        lambda kept, x: F.when(
+            (F.size(kept) < seeds) & ~F.exists(kept, lambda y: F.abs(y["place"] - x["place"]) < GRAM),
+            F.concat(kept, F.array(x)),
+        ).otherwise(kept),
+    )
+    chosen = ranked.withColumn("apart", apart).withColumn("rest", F.array_except("found", "apart"))
+    taken = F.slice(F.concat("apart", "rest"), 1, seeds)
+    return chosen.select("item", F.explode(taken).alias("seed")).select("seed.gram", "item").distinct()
 
 
 def find_passages(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
