@@ -32,7 +32,7 @@ from weftline.operators import (  # noqa: E402
 )
 from weftline.operators.sections import MARKERS, SHORT_LINES  # noqa: E402
 from weftline.plans.sizing import spread_small_input  # noqa: E402
-from weftline.sources.snapshots import snapshot_export, snapshot_import_clean  # noqa: E402
+from weftline.sources.snapshots import damaged_parts, snapshot_export, snapshot_import_clean  # noqa: E402
 from weftline.sources.tables import load_table, schema_of  # noqa: E402
 from weftline.sources.versions import VersionStore  # noqa: E402
 from weftline.sources.workspace import fresh_path, stage  # noqa: E402
@@ -464,9 +464,21 @@ SNAPSHOT_TABLES = (
 )
 
 
+def _contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and portable hash of each table, which SQL can compute as well."""
+    found = None
+    for name, held in sorted(tables.items()):
+        row = held.agg(F.count(F.lit(1)).alias("rows"), table_hash(held.schema).alias("content_hash"))
+        row = row.select(F.lit(name).alias("table"), "rows", "content_hash")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: load_table(spark, sf_dir, t) for t in SNAPSHOT_TABLES}
-    return snapshot_export(spark, tables, fresh_path(spark, "snapshot"))
+    """What the files of the snapshot hold."""
+    path = fresh_path(spark, "snapshot")
+    snapshot_export(spark, {t: load_table(spark, sf_dir, t) for t in SNAPSHOT_TABLES}, path)
+    return _contents({t: spark.read.schema(schema_of(t)).parquet(f"{path}/{t}") for t in SNAPSHOT_TABLES})
 
 
 def import_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,13 +489,17 @@ def import_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.replace("stale", load_table(spark, sf_dir, "region"))
     snapshot_export(spark, {t: load_table(spark, sf_dir, t) for t in SNAPSHOT_TABLES}, path)
     snapshot_import_clean(spark, path, {t: schema_of(t) for t in SNAPSHOT_TABLES}, store)
-    found = None
-    for name in store.names():
-        held = store.current(name)
-        row = held.agg(F.count(F.lit(1)).alias("rows"), table_hash(held.schema).alias("content_hash"))
-        row = row.select(F.lit(name).alias("table"), "rows", "content_hash")
-        found = row if found is None else found.unionByName(row)
-    return found
+    return _contents({name: store.current(name) for name in store.names()})
+
+
+def damaged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned items and German texts are written into a finished snapshot a second time."""
+    path, tables = fresh_path(spark, "snapshot"), ("documents", "lineitem", "orders")
+    snapshot_export(spark, {t: load_table(spark, sf_dir, t) for t in tables}, path)
+    load_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").write.mode("append").parquet(f"{path}/lineitem")
+    load_table(spark, sf_dir, "documents").where("lang = 'de'").write.mode("append").parquet(f"{path}/documents")
+    damaged = damaged_parts(spark, path, {t: schema_of(t) for t in tables})
+    return damaged.groupBy("table", "problem").agg(F.sum("rows_listed").alias("rows_listed"), F.sum("rows_found").alias("rows_found"))
 
 
 def import_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,6 +602,7 @@ def queries() -> dict[str, Query]:
         "snapshot_export": export_all,
         "snapshot_import_clean": import_documents,
         "snapshot_import_all": import_all,
+        "snapshot_damaged": damaged_rows,
         "location_append": location_append,
         "location_append_stream": location_append_stream,
         "location_latest": location_latest,

@@ -529,6 +529,13 @@ FROM charges JOIN runs USING (run) GROUP BY account, period_start, period_end, r
     sql["snapshot_export"] = "\nUNION ALL".join(snapshot_hash(t) for t in SNAPSHOT_COLUMNS)
     sql["snapshot_import_all"] = sql["snapshot_export"]
     sql["snapshot_import_clean"] = "SELECT * FROM documents"
+    sql["snapshot_damaged"] = """
+SELECT * FROM (
+  SELECT 'lineitem' AS "table", 'unlisted' AS problem, 0::BIGINT AS rows_listed, count(*) AS rows_found
+  FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL
+  SELECT 'documents', 'unlisted', 0, count(*) FROM documents WHERE lang = 'de'
+) WHERE rows_found > 0"""
     sql["location_append"] = "SELECT * FROM events"
     sql["location_append_stream"] = "SELECT * FROM events"
     sql["location_latest"] = """

@@ -1,8 +1,11 @@
 import __spark_entry__ as entry
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows, same_rows
 from pyspark.sql import functions as F
 
+from weftline.functions.digests import MEASURES, table_digest
 from weftline.functions.hashing import table_hash
 from weftline.operators import chunking, fulltext, health, indexing, search
 from weftline.plans import ordering, sizing, skew
@@ -205,12 +208,48 @@ def test_bm25_against_brute_force(spark, tiny, max_travelling, monkeypatch):
 def test_snapshot_round_trip(spark, tiny):
     path, store = fresh_path(spark, "snapshot"), VersionStore(spark, fresh_path(spark, "store"))
     tables = {t: load_table(spark, tiny, t) for t in ("events", "customer", "embeddings", "documents")}
-    manifest = {r.table: (r.rows, r.content_hash) for r in snapshots.snapshot_export(spark, tables, path).collect()}
-    assert set(manifest) == set(tables)
-    snapshots.snapshot_import_clean(spark, path, {t: schema_of(t) for t in tables}, store)
+    tables["empty"] = tables["events"].where("false")
+    manifest = {r["table"]: tuple(r[k] for k in MEASURES) for r in snapshots.snapshot_export(spark, tables, path).collect()}
+    assert set(manifest) == set(tables) and manifest["empty"] == (0, 0, 0, 0)
+    schemas = {t: df.schema for t, df in tables.items()}
+    assert snapshots.damaged_parts(spark, path, schemas).isEmpty()
+    snapshots.snapshot_import_clean(spark, path, schemas, store)
     for name, df in tables.items():
         same_rows(store.current(name), df)
-        assert store.current(name).agg(table_hash(df.schema)).first()[0] == manifest[name][1]
+        assert tuple(df.agg(*table_digest(df.schema)).first()) == manifest[name]
+
+
+def test_import_names_the_damaged_part(spark, tiny, tmp_path):
+    path, store = fresh_path(spark, "snapshot"), VersionStore(spark, fresh_path(spark, "store"))
+    customer = load_table(spark, tiny, "customer").repartition(3)
+    schemas = {"customer": schema_of("customer")}
+    snapshots.snapshot_export(spark, {"customer": customer}, path)
+    names = sorted(r.part for r in snapshots.read_parts(spark, path).collect())
+    assert len(names) == 3
+    local = path.removeprefix("file:")
+    held = pq.read_table(f"{local}/customer/{names[1]}")
+    at = held.column_names.index("c_acctbal")
+    nudged = pa.array([held.column(at)[0].as_py() + 1e-7, *held.column(at)[1:].to_pylist()], pa.float64())
+    pq.write_table(held.set_column(at, held.schema.field(at), nudged), tmp_path / "changed.parquet")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.Path(f"{path}/customer/{names[1]}")
+    out = target.getFileSystem(conf).create(target, True)
+    out.write(bytearray((tmp_path / "changed.parquet").read_bytes()))
+    out.close()
+    spark.createDataFrame([("customer", "lost.parquet", 2, 1, 1, 1)], snapshots.PARTS_SCHEMA).write.mode("append").parquet(
+        f"{path}/{snapshots.PARTS}"
+    )
+    customer.limit(2).coalesce(1).write.mode("append").parquet(f"{path}/customer")
+    found = snapshots.damaged_parts(spark, path, schemas).collect()
+    assert sorted((r.problem, r.rows_listed, r.rows_found) for r in found) == [
+        ("changed", held.num_rows, held.num_rows),
+        ("missing", 2, 0),
+        ("unlisted", 0, 2),
+    ]
+    assert [r.part for r in found if r.problem == "changed"] == [names[1]]
+    with pytest.raises(snapshots.SnapshotError, match=names[1]):
+        snapshots.snapshot_import_clean(spark, path, schemas, store)
+    assert store.names() == []
 
 
 def test_bad_snapshot_publishes_nothing(spark, tiny):
@@ -259,6 +298,29 @@ def test_hash_ignores_order_but_not_content(spark):
     assert hash_of([]) == "0"
 
 
+def test_digest_is_exact(spark):
+    def digest(value: str, kind: str) -> tuple:
+        df = spark.sql(f"SELECT CAST({value} AS {kind}) AS `a.b`, 1 AS n")
+        return tuple(df.agg(*table_digest(df.schema)).first())
+
+    different = {
+        "double": ["0", "1e-7", "-0.0D", "double('NaN')", "double('Infinity')", "null", "0.1D + 0.2D", "0.3D"],
+        "float": ["0", "-0.0F", "float('NaN')", "null"],
+        "string": ["''", "null", "'a'", "' a'"],
+        "array<double>": ["array()", "null", "array(null)", "array(null, 1)", "array(1, null)", "array(1)", "array(0, -0.0D)", "array(0, 0)"],
+        "array<array<string>>": ["array(array('a'), array('b'))", "array(array('a', 'b'))", "array(array('a', 'b'), array())", "array(null)"],
+        "struct<x:int,y:array<int>>": ["null", "struct(null, null)", "struct(1, null)", "struct(null, array(1))", "struct(1, array())"],
+        "map<string,int>": ["null", "map()", "map('a', 1)", "map('a', null)", "map('b', 1)", "map('a', 1, 'b', 2)", "map('a', 2, 'b', 1)"],
+        "decimal(38,18)": ["0", "0.000000000000000001", "null"],
+        "binary": ["X''", "X'00'", "null"],
+        "boolean": ["true", "false", "null"],
+        "timestamp_ntz": ["timestamp_ntz'2024-01-01 00:00:00'", "timestamp_ntz'2024-01-01 00:00:00.000001'", "null"],
+    }
+    for kind, values in different.items():
+        assert len({digest(v, kind) for v in values}) == len(values), kind
+    assert digest("map('a', 1, 'b', 2)", "map<string,int>") == digest("map('b', 2, 'a', 1)", "map<string,int>")
+
+
 # --- plan helpers ----------------------------------------------------------
 
 

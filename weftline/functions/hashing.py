@@ -1,4 +1,5 @@
-"""Order-free content hash of a table."""
+"""Order-free content hash of a table that any SQL engine can compute as well. It spells
+floats with six places; ``functions/digests.py`` is exact."""
 
 from __future__ import annotations
 
@@ -26,13 +27,12 @@ def canonical(name: str, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
-def row_number_hash(schema: T.StructType) -> Column:
-    """First 60 bits of the md5 of the row, as a decimal ready to be summed."""
-    row = F.concat_ws(FIELD_MARK, *[canonical(f.name, f.dataType) for f in schema.fields])
-    return F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(20,0)")
-
-
 def table_hash(schema: T.StructType) -> Column:
-    """Aggregate: the sum of the row hashes. Independent of row order and of how
-    the rows are partitioned."""
-    return F.coalesce(F.sum(row_number_hash(schema)).cast("decimal(38,0)").cast("string"), F.lit("0"))
+    """Aggregate: the sum of the first 60 bits of the md5 of every row. Independent of
+    row order and of how the rows are partitioned. Two sums of 30 bits are added at the
+    end, so no row is turned into a wide decimal."""
+    row = F.md5(F.concat_ws(FIELD_MARK, *[canonical(f.name, f.dataType) for f in schema.fields]))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("bigint")
+    high, low = F.sum(F.shiftright(number, 30)), F.sum(number.bitwiseAND(F.lit((1 << 30) - 1)))
+    wide = (high.cast("decimal(20,0)") * F.lit(1 << 30) + low).cast("decimal(38,0)")
+    return F.coalesce(wide.cast("string"), F.lit("0"))
