@@ -131,6 +131,22 @@ def test_files_are_read_in_the_given_order(spark, tmp_path):
     assert got[-1][:3] == (1, 1, "First") and len(got) == 6
     with pytest.raises(ValueError):
         read_text_documents(spark, [])
+    with pytest.raises(ValueError, match="not a file"):
+        read_text_documents(spark, [str(early), str(tmp_path)])
+
+
+def test_a_list_of_files_is_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(60):
+        path = tmp_path / f"part {i % 7}%20é+{i}.txt"
+        path.write_text(f"Head {i}\nentry-{i} some long help text for the entry number {i} that is no header\n")
+        paths.append(str(path))
+    paths = [*paths[::-1], paths[3]]
+    docs = read_text_documents(spark, paths)
+    assert docs._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    got = rows(docs.select("doc_id", "text"), "doc_id")
+    assert [n for n, _ in got] == list(range(61))
+    assert [t.split("\n")[0] for _, t in got] == [f"Head {i}" for i in (*range(59, -1, -1), 3)]
 
 
 def test_catalogue_needs_one_shuffle(spark, tiny):
