@@ -209,15 +209,24 @@ class LineIndex:
         return passed.join(exact, "key").where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "key")
 
     def clean(self, docs: DataFrame, refs: DataFrame | None = None, name: str = "kept") -> DataFrame:
-        """``docs`` and a column ``name``: struct(text, n_lines, n_dropped).
+        """``docs`` and a column ``name``: struct(text, n_lines, n_dropped). A column of
+        that name gives way to it; all others stay, whatever they are called.
 
         ``refs`` are the documents' own references, when they are at hand.
         """
         refs = line_refs(docs, self.min_length, self.n_shards) if refs is None else refs
-        dropped = self.repeated_lines(refs).groupBy("doc_id").agg(F.collect_list("key").alias("dropped__"))
-        dropped = dropped.withColumnRenamed("doc_id", "dropped_id__")
-        joined = docs.join(dropped, docs["doc_id"] == dropped["dropped_id__"], "left").drop("dropped_id__")
-        return _rewritten(joined, self.min_length, name).drop("dropped__")
+        keys, owner, rewritten = (_free_name(docs, n) for n in ("dropped__", "dropped_id__", "rewritten__"))
+        dropped = self.repeated_lines(refs).groupBy("doc_id").agg(F.collect_list("key").alias(keys))
+        dropped = dropped.withColumnRenamed("doc_id", owner)
+        joined = docs.join(dropped, docs["doc_id"] == dropped[owner], "left").drop(owner)
+        return _rewritten(joined, self.min_length, name, keys, rewritten).drop(keys)
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], min_length: int, n_shards: int) -> Iterator[pa.RecordBatch]:
@@ -279,8 +288,9 @@ def _let_through(asked: pa.Table, held: pa.Table) -> pa.Table:
     return asked.filter(pa.array(found))
 
 
-def _rewritten(docs: DataFrame, min_length: int, name: str) -> DataFrame:
-    """Drop the lines of the keys in ``dropped__``; a null list drops nothing."""
+def _rewritten(docs: DataFrame, min_length: int, name: str, dropped: str, rewritten: str) -> DataFrame:
+    """Drop the lines of the keys in the column ``dropped``; a null list drops nothing.
+    ``rewritten`` is a free name."""
 
     @F.pandas_udf("text string, n_dropped bigint")
     def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -296,20 +306,20 @@ def _rewritten(docs: DataFrame, min_length: int, name: str) -> DataFrame:
             yield pd.DataFrame({"text": kept, "n_dropped": counts})
 
     text = F.coalesce("text", F.lit(""))
-    some = F.col("dropped__").isNotNull()
+    some = F.col(dropped).isNotNull()
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     no_keys = F.array().cast("array<binary>")
     return (
-        docs.withColumn("rewritten__", rewrite(F.when(some, text), F.coalesce("dropped__", no_keys)))
+        docs.withColumn(rewritten, rewrite(F.when(some, text), F.coalesce(dropped, no_keys)))
         .withColumn(
             name,
             F.struct(
-                F.when(some, F.col("rewritten__.text")).otherwise(text).alias("text"),
+                F.when(some, F.col(f"{rewritten}.text")).otherwise(text).alias("text"),
                 n_lines.cast("bigint").alias("n_lines"),
-                F.col("rewritten__.n_dropped").alias("n_dropped"),
+                F.col(f"{rewritten}.n_dropped").alias("n_dropped"),
             ),
         )
-        .drop("rewritten__")
+        .drop(rewritten)
     )
 
 

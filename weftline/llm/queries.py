@@ -208,6 +208,34 @@ def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+# Every pair of documents that share a shingle, counted exactly.
+GROUPS_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS s
+  FROM worded
+), sizes AS (
+  SELECT d.doc_id, count(s)::BIGINT AS n FROM documents d LEFT JOIN shingles x ON d.doc_id = x.doc_id GROUP BY d.doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION
+  SELECT root, b FROM reach JOIN links ON node = a
+)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id, min(root) = doc_id AS kept
+FROM sizes JOIN reach ON node = doc_id GROUP BY doc_id, n
+"""
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -323,6 +351,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": CHAT_SQL,
         "op4_url_filter": _rule_sql(),
         "op8_line_dedup": LINES_SQL,
+        "op9_minhash_groups": GROUPS_SQL,
         "op11_hard_negatives": NEGATIVES_SQL,
         "op13_phrases": PHRASES_SQL,
     }
