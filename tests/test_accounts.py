@@ -167,6 +167,10 @@ def test_append_is_idempotent(spark, tiny):
     locations.write_log(locations.with_day(events.where("value > 50")), path)
     same_rows(locations.location_append(spark, path, events.unionByName(events)), events)
     same_rows(locations.location_append(spark, path, events), events)
+    once = fresh_path(spark, "log-once")
+    locations.location_append(spark, once, events.repartition(8))
+    files = spark.read.parquet(once).select(locations.DAY, F.col("_metadata.file_path").alias("file")).distinct()
+    assert files.count() == files.select(locations.DAY).distinct().count()
 
 
 def test_first_append_makes_the_log_and_null_times_repeat_once(spark):

@@ -30,7 +30,9 @@ def new_locations(log: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def write_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy(DAY).parquet(path)
+    """One file per day of the batch; of a day beyond Spark's advisory partition size,
+    as many as it takes."""
+    rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def location_append(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
