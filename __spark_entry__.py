@@ -251,11 +251,8 @@ def dual_target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark)
-    arriving = (
-        spark.readStream.schema(schema_of("documents"))
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    # A pattern, since a stream takes a plain path for a folder only: the table may be one file.
+    arriving = spark.readStream.schema(schema_of("documents")).parquet(f"{sf_dir}/{{documents.parquet}}")
     index_stream.start_index_updates(arriving, store, fresh_path(spark, "offsets")).awaitTermination()
     return store.current("chunks")
 

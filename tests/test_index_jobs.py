@@ -121,6 +121,19 @@ def test_stream_of_documents_equals_batch(spark, corpora):
     same_rows(store.current("points"), indexing.point_index(merged))
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_registered_stream_reads_a_table_of_one_file_or_of_many(spark, corpora, tmp_path, parts):
+    held = corpora[0].select(schema_of("documents").names).toPandas()
+    table = tmp_path / "documents.parquet"
+    if parts > 1:
+        table.mkdir()
+    for i in range(parts):
+        found = pa.Table.from_pandas(held[i::parts], preserve_index=False)
+        pq.write_table(found, table / f"part-{i}.parquet" if parts > 1 else table)
+    (tmp_path / "documents.parquet.old").write_text("another table")
+    same_rows(entry.index_apply_stream(spark, str(tmp_path)), indexing.full_rebuild(corpora[0]))
+
+
 def test_health(spark):
     chunks = spark.createDataFrame(
         [("a", "x"), ("a", None), ("b", None)], "layer string, symbol string"
