@@ -2,13 +2,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows, same_rows
 
-from weftline.functions import topk
+from weftline.functions import terms, topk
 from weftline.operators import chunking, embedding, search, sections
 from weftline.sources.tables import load_table
 
@@ -100,6 +101,39 @@ def test_text_without_tokens_has_a_zero_vector_and_no_sparse_rows(spark):
 # --- top-k -----------------------------------------------------------------
 
 
+def test_memory_of_counting_does_not_follow_the_batch():
+    lists = [[f"t{(i * j) % 97}" for j in range(400)] for i in range(500)] + [None, [], ["a"] * 300]
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.string()))])
+
+    def peak(times, job):
+        held = pa.RecordBatch.from_pydict({"id": list(range(len(lists) * times)), "tokens": lists * times}, schema)
+        tracemalloc.start()
+        found = [r.num_rows for r in job(iter([held]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(found) == held.num_rows
+        return most
+
+    for job in (terms.count_terms, terms.hashed_vectors(64, "embedding")):
+        assert peak(10, job) < 2 * peak(2, job)
+
+
+def test_slices_of_a_batch_count_the_same(monkeypatch):
+    lists = [["a", "b", "a"], None, [], ["c"] * 7, ["a", "c"], ["d"], ["b", "b"]]
+    held = pa.RecordBatch.from_pydict({"id": list(range(7)), "tokens": pa.array(lists, pa.list_(pa.string()))})
+    jobs = (terms.count_terms, terms.hashed_vectors(4, "embedding"))
+    whole = [pa.Table.from_batches(job(iter([held]))).to_pylist() for job in jobs]
+    for most in (1, 2, 3, 5):
+        cut = list(terms.slices(iter([held]), most))
+        assert len(cut) > 1 and pa.Table.from_batches(cut).to_pylist() == held.to_pylist()
+        with monkeypatch.context() as patch:
+            patch.setattr(terms, "slices", lambda batches, cut=cut: iter(cut))
+            found = [pa.Table.from_batches(job(iter([held]))).to_pylist() for job in jobs]
+        for a, b in zip(whole[0], found[0], strict=True):
+            assert dict(zip(a["terms"], a["tfs"])) == dict(zip(b["terms"], b["tfs"]))
+        assert whole[1] == found[1]
+
+
 def brute(queries, vectors, k, exclude_self=False):
     out = []
     for qid, q in queries:

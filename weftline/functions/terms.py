@@ -21,6 +21,24 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Batches = Iterator[pa.RecordBatch]
 
+# A batch is counted in slices of so many tokens: the arrays made on the way take some 100
+# bytes a token, however many rows, and however long ones, Spark puts into a batch.
+SLICE_TOKENS = 1 << 18
+
+
+def slices(batches: Batches, most: int = SLICE_TOKENS) -> Batches:
+    """The rows of ``batches`` in the same order, in runs of at most ``most`` tokens; a
+    longer row is a run of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0)
+        ends = np.cumsum(lengths.to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, before + most, side="right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
 
 def _replace_last(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = batch.schema.names[:-1]
@@ -35,10 +53,10 @@ def bucket_of(token: str, buckets: int) -> int:
 
 def hashed_vectors(buckets: int, name: str) -> Callable[[Batches], Batches]:
     """Feature hashing (Weinberger et al. 2009): replace the tokens by an
-    L2-normalised vector of bucket counts. A token is hashed once per batch."""
+    L2-normalised vector of bucket counts. A token is hashed once per slice."""
 
     def embed(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.num_rows
             tokens = batch.column(batch.num_columns - 1)
             coded = tokens.flatten().dictionary_encode()
@@ -58,7 +76,7 @@ def hashed_vectors(buckets: int, name: str) -> Callable[[Batches], Batches]:
 def count_terms(batches: Batches) -> Batches:
     """Replace the tokens by the distinct terms and their counts, two lists of
     equal length."""
-    for batch in batches:
+    for batch in slices(batches):
         tokens = batch.column(batch.num_columns - 1)
         coded = tokens.flatten().dictionary_encode()
         kinds = max(len(coded.dictionary), 1)
