@@ -165,6 +165,34 @@ def test_kernel_keeps_ties_and_missing_scores_in_order():
     ]
 
 
+def kernel_cases():
+    rng = np.random.default_rng(5)
+    spread, copies = rng.normal(size=(9000, 8)), rng.normal(size=(40, 8))[rng.integers(0, 40, 9000)]
+    odd = spread.copy()
+    odd[::3], odd[5], odd[6], odd[7] = 0, np.nan, 1e-200, odd[7] * 1e40
+    alike = spread[:1] + 1e-7 * spread
+    mostly_zero = np.vstack([spread[:3], np.zeros((20, 8))])
+    return {"spread": spread, "copies": copies, "odd": odd, "alike": alike, "mostly_zero": mostly_zero}
+
+
+@pytest.mark.parametrize("case", kernel_cases())
+def test_kernel_scores_few_pairs_and_finds_the_same(case, monkeypatch):
+    vectors, k = kernel_cases()[case], 5
+    asked, ids = vectors[:300], np.random.default_rng(6).permutation(len(vectors))
+    expected = []
+    for i, scores in enumerate(topk.cosine(asked, vectors)):
+        order = np.lexsort((ids, -np.where(np.isnan(scores), -np.inf, scores)))[:k]
+        expected += [(i, ids[j], None if np.isnan(scores[j]) else scores[j]) for j in order]
+    scored = []
+    monkeypatch.setattr(topk, "cosine", lambda q, v, whole=topk.cosine: scored.append(len(q) * len(v)) or whole(q, v))
+    best = topk.TopK(k)
+    topk.cosine_block(best, asked, vectors, pa.table({"id": ids}))
+    found = best.table(pa.array(range(len(asked))), "query_id", "sim")
+    assert [tuple(r.values()) for r in found.to_pylist()] == expected
+    if case == "spread":
+        assert sum(scored) == 0  # before: every pair in double precision
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(3)

@@ -50,6 +50,23 @@ def _cut(query: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - first < k]
 
 
+def _best_of_scores(scores: np.ndarray, ids: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of each row of ``scores``, whose columns are the rows of ``ids``: query,
+    score, row of ``ids``."""
+    by_id = pc.sort_indices(ids.column(0)).to_numpy()
+    scores = scores[:, by_id]
+    key = np.where(np.isnan(scores), -np.inf, scores)
+    n = key.shape[1]
+    if n > k:
+        bar = np.partition(key, n - k, axis=1)[:, n - k]
+        query, at = np.nonzero(key >= bar[:, None])
+    else:
+        query, at = (part.ravel() for part in np.indices(key.shape))
+    score = scores[query, at]
+    best = _cut(query, score, at, k)
+    return query[best], score[best], by_id[at[best]].astype(np.int64)
+
+
 class TopK:
     """Best k candidates of each query over a stream of scored blocks."""
 
@@ -65,21 +82,14 @@ class TopK:
         the first column of ``ids`` breaks ties."""
         if ids.num_rows == 0:
             return
-        by_id = pc.sort_indices(ids.column(0)).to_numpy()
-        scores = scores[:, by_id]
-        key = np.where(np.isnan(scores), -np.inf, scores)
-        n = key.shape[1]
-        if n > self.k:
-            bar = np.partition(key, n - self.k, axis=1)[:, n - self.k]
-            query, at = np.nonzero(key >= bar[:, None])
-        else:
-            query, at = (part.ravel() for part in np.indices(key.shape))
-        score = scores[query, at]
-        best = _cut(query, score, at, self.k)
-        found = ids.take(pa.array(by_id[at[best]]))
-        self.query = np.concatenate([self.query, query[best] + first_query])
-        self.score = np.concatenate([self.score, score[best]])
-        self.ids = found if self.ids is None else pa.concat_tables([self.ids, found])
+        query, score, at = _best_of_scores(scores, ids, self.k)
+        self.add_rows(query + first_query, score, ids.take(pa.array(at)))
+
+    def add_rows(self, query: np.ndarray, score: np.ndarray, ids: pa.Table) -> None:
+        """Scored pairs, one a row: the number of the query, the score, the candidate's ids."""
+        self.query = np.concatenate([self.query, query])
+        self.score = np.concatenate([self.score, score])
+        self.ids = ids if self.ids is None else pa.concat_tables([self.ids, ids])
         if len(self.query) > max(4 * self.settled, 100_000):
             self._settle()
 
@@ -101,12 +111,99 @@ class TopK:
         return out.add_column(0, query_name, query_ids.take(pa.array(self.query)))
 
 
+# Above so many pairs of a slice that single precision cannot tell apart, all are scored.
+MOST_PAIRS = 100_000
+PAIR_ROWS = 16_384
+
+
 def cosine_block(best: TopK, queries: np.ndarray, vectors: np.ndarray, ids: pa.Table) -> None:
-    """Score two blocks in slices, so memory does not grow with their product."""
+    """Score two blocks in slices, so memory does not grow with their product.
+
+    Pairs are compared in single precision first. Those that can be among the best k by
+    its error bound are scored in double precision; the answer is the same. Vectors whose
+    length is zero, missing or extreme are scored with everything.
+    """
+    asked, held = _usual(queries), _usual(vectors)
+    _score_all(best, queries, vectors, ids, np.arange(len(queries)), np.flatnonzero(~held))
+    _score_all(best, queries, vectors, ids, np.flatnonzero(~asked), np.flatnonzero(held))
+    rows, at = np.flatnonzero(asked), np.flatnonzero(held)
+    if not len(rows) or not len(at):
+        return
+    by_id = at[pc.sort_indices(ids.column(0).take(pa.array(at))).to_numpy()]
+    vectors = vectors[by_id]
+    units = _units(vectors)
+    for start in range(0, len(rows), QUERY_ROWS):
+        row = rows[start : start + QUERY_ROWS]
+        query, score, place = _best_of_usual(queries[row], vectors, units, best.k)
+        best.add_rows(row[query], score, ids.take(pa.array(by_id[place])))
+
+
+def _score_all(
+    best: TopK, queries: np.ndarray, vectors: np.ndarray, ids: pa.Table, rows: np.ndarray, at: np.ndarray
+) -> None:
+    for start in range(0, len(at), VECTOR_ROWS):
+        part = at[start : start + VECTOR_ROWS]
+        held, held_ids = vectors[part], ids.take(pa.array(part))
+        for first in range(0, len(rows), QUERY_ROWS):
+            row = rows[first : first + QUERY_ROWS]
+            query, score, place = _best_of_scores(cosine(queries[row], held), held_ids, best.k)
+            best.add_rows(row[query], score, held_ids.take(pa.array(place)))
+
+
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Squared lengths."""
+    return np.einsum("ij,ij->i", vectors, vectors)
+
+
+def _usual(vectors: np.ndarray) -> np.ndarray:
+    return (_lengths(vectors) > 1e-60) & (_lengths(vectors) < 1e60)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.sqrt(_lengths(vectors))[:, None]).astype(np.float32)
+
+
+def _pair_cosines(queries: np.ndarray, vectors: np.ndarray, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cosine, as ``cosine`` gives it, of row ``query[i]`` and row ``at[i]``."""
+    products = [
+        np.einsum("ij,ij->i", queries[query[i : i + PAIR_ROWS]], vectors[at[i : i + PAIR_ROWS]])
+        for i in range(0, len(query), PAIR_ROWS)
+    ]
+    lengths = _lengths(queries)[query] * _lengths(vectors)[at]
+    return np.round(np.concatenate([np.empty(0), *products]) / np.sqrt(lengths), 6) + 0.0
+
+
+def _best_of_usual(
+    queries: np.ndarray, vectors: np.ndarray, units: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of each query among ``vectors``, which are in the order that breaks ties:
+    query, score, row of the vector; sorted by query, best first."""
+    n, dim = queries.shape
+    error = 2e-6 + dim * 1.2e-7  # of rounding to 6 decimals and of a sum in single precision
+    asked, bar = _units(queries), np.full(n, -np.inf)
+    query, score, place = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
     for start in range(0, len(vectors), VECTOR_ROWS):
-        held, held_ids = vectors[start : start + VECTOR_ROWS], ids.slice(start, VECTOR_ROWS)
-        for at in range(0, len(queries), QUERY_ROWS):
-            best.add(at, cosine(queries[at : at + QUERY_ROWS], held), held_ids)
+        held = vectors[start : start + VECTOR_ROWS]
+        near = asked @ units[start : start + VECTOR_ROWS].T
+        width = near.shape[1]
+        if start == 0 and width > k:
+            bar = np.partition(near, width - k, axis=1)[:, width - k].astype(np.float64) - error
+        pair = np.flatnonzero(near >= (bar - error).astype(np.float32)[:, None])
+        row, at = pair // width, pair % width
+        if len(pair) <= MOST_PAIRS:
+            found = _pair_cosines(queries, held, row, at)
+        else:
+            row, found, at = _best_of_scores(cosine(queries, held), pa.table({"place": np.arange(width)}), k)
+        query, score, place = (
+            np.concatenate(both) for both in ((query, row), (score, found), (place, at + start))
+        )
+        kept = _cut(query, score, place, k)
+        query, score, place = query[kept], score[kept], place[kept]
+        ends = np.cumsum(np.bincount(query, minlength=n))
+        full = np.diff(ends, prepend=0) == k
+        bar = np.full(n, -np.inf)
+        bar[full] = score[ends[full] - 1]
+    return query, score, place
 
 
 DOCUMENT_ROWS = 512
