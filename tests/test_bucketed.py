@@ -101,3 +101,20 @@ def test_buckets_of_ids(spark):
     ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id bigint")
     found = rows(ids.select(bucketed.bucket_of(F.col("doc_id"), 7)))
     assert found[1] == found[2] and found[0] == (0,)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tiny):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {name: spark.conf.get(name) for name in settings}
+    docs = load_table(spark, tiny, "documents").repartition(6, "doc_id")
+    no_id = docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        index = bucketed.BucketedIndex(VersionStore(spark, fresh_path(spark, "store")), 1)
+        index.update(docs.unionByName(no_id), complete=True)
+        assert len(index.table(bucketed.CHUNKS).inputFiles()) > 2
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    equals_rebuild(index, docs)

@@ -48,8 +48,9 @@ def _entry(table: str, bucket: int) -> str:
 class BucketedIndex:
     """The tables of one index in a version store.
 
-    Choose so many buckets that one holds some hundred MB of text: a bucket of a
-    table is written by one task. The number is fixed when the index is first used.
+    Choose so many buckets that one holds some hundred MB of text, since an update copies
+    whole buckets. A large bucket of a table is written by several tasks. The number is
+    fixed when the index is first used.
     """
 
     def __init__(self, store: VersionStore, n_buckets: int = BUCKETS) -> None:
@@ -110,16 +111,19 @@ class BucketedIndex:
         changed = stage(changed, "changes")
         touched = sorted(row[0] for row in changed.select(BUCKET).distinct().collect())
         if touched:
-            self._write(documents, changed, touched)
+            self._write(documents, changed, touched, all_new=held is None)
         return touched
 
     def _buckets_of(self, ids: DataFrame) -> list[int]:
         found = ids.select(bucket_of(F.col("doc_id"), self.n_buckets).alias(BUCKET)).distinct()
         return [row[0] for row in found.collect()]
 
-    def _write(self, documents: DataFrame, changed: DataFrame | None, touched: list[int]) -> None:
+    def _write(
+        self, documents: DataFrame, changed: DataFrame | None, touched: list[int], all_new: bool = False
+    ) -> None:
         """Write the touched buckets of every table side by side and publish them
-        together. ``changed`` None replaces everything."""
+        together. ``changed`` None replaces everything. ``all_new`` says that every
+        document that has an id is an insert, so none is looked up."""
         published = self.store.versions("")
         entries: dict[str, Version] = {}
         if changed is None:
@@ -127,7 +131,11 @@ class BucketedIndex:
         else:
             ids = lambda *kinds: changed.where(F.col("change").isin(*kinds)).select("doc_id")
             gone = broadcast_if_small(ids(UPDATE, DELETE))
-            fresh_docs = stage(documents.join(broadcast_if_small(ids(INSERT, UPDATE)), "doc_id", "left_semi"), "fresh")
+            if all_new:
+                fresh_docs = documents.where(F.col("doc_id").isNotNull())
+            else:
+                fresh_docs = documents.join(broadcast_if_small(ids(INSERT, UPDATE)), "doc_id", "left_semi")
+            fresh_docs = stage(fresh_docs, "fresh")
 
         def put(name: str, fresh: DataFrame) -> DataFrame:
             key, rows = KEYS[name], fresh
@@ -162,9 +170,10 @@ class BucketedIndex:
         self.store.publish(entries, withdraw=sorted((touched_names & set(published)) - set(entries)))
 
     def _put(self, name: str, rows: DataFrame, entries: dict[str, Version]) -> DataFrame:
-        """Write the buckets of a table, each one a version to publish."""
+        """Write the buckets of a table, each one a version to publish. Spark cuts a large
+        bucket into several tasks and puts small ones together."""
         path = f"{self.store.root}/{name}/{uuid.uuid4().hex}"
-        rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
         schema = rows.drop(BUCKET).schema
         for folder in subfolders(self.spark, path):
             entries[_entry(name, int(folder.rpartition("=")[2]))] = Version(f"{path}/{folder}", schema)
