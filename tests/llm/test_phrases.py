@@ -1,6 +1,8 @@
+import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cases import no_documents, odd_documents
 from compare import check, duck
@@ -90,6 +92,32 @@ def test_a_full_map_changes_nothing(corpus):
     assert wide == narrow
 
 
+def test_rows_of_the_count_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """A phrase that is frequent in every shard is spelled once and not counted by every task."""
+    made, plain = [], spark.createDataFrame([("en", "a b c. d e")] * 320, "lang string, text string").repartition(40)
+    kind = type(plain)
+    recorded = kind.mapInArrow
+
+    def mapped(self, *args, **options):
+        out = recorded(self, *args, **options)
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", mapped)
+    found = {(r["phrase"], r["n"]) for r in phrases.frequent_phrases(plain, 16)[1].where("words > 1").collect()}
+    assert found == {("a b", 320), ("b c", 320), ("a b c", 320), ("d e", 320)}
+    counts = [df for df in made if "phrase" in df.columns]
+    assert sum(df.where("words > 1").count() for df in counts) == len(found)
+
+
+def test_partitions_that_change_between_passes(spark, corpus):
+    place = F.udf(lambda: os.urandom(1)[0], "int").asNondeterministic()
+    moving = corpus.withColumn("place", place()).repartition(7, "place").drop("place")
+    rows = [(r["lang"], r["text"]) for r in corpus.collect()]
+    options = {"min_count": 5, "max_words": 4, "top": 500, "percent": 100}
+    assert mined(moving, **options) == brute(rows, **options)
+
+
 def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 10**15)], "lang string, n bigint")
     rows = [("en", 1, "a", 10**13), ("en", 1, "b", 3 * 10**13), ("en", 2, "a b", 7 * 10**12)]
