@@ -55,6 +55,7 @@ TOP = 2000
 PERCENT = 100  # of a phrase's occurrences, inside a longer one, that make it redundant
 UNKNOWN = "und"
 BLOCK_BYTES = 24_000_000  # of text a task holds at once
+BATCH_ROWS = 1 << 16  # a task hands over at once
 SHARDS = 8  # 62 at most are made
 MAP_BITS = 1 << 25  # 4 MB
 
@@ -100,8 +101,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
     n = 0
 
     def coded():
-        for lang, texts in held.items():
-            yield lang, *coded_words(texts)
+        for lang in list(held):
+            yield lang, *coded_words(held.pop(lang))
+            pa.default_memory_pool().release_unused()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -231,7 +233,8 @@ def _mine(words_map: Broadcast, pairs_map: Broadcast | None, lengths: range):
             for _, level in _levels(lang, codes, words, words_map.value, pairs, lengths, rule):
                 number = pa.array(np.full(len(level.counts), part, np.int32))
                 arrays = [number, _signed(level.hashes), _short(level.checks), pa.array(level.counts)]
-                yield pa.record_batch(arrays, ["part", "hash", "check", "n"])
+                mined = pa.record_batch(arrays, ["part", "hash", "check", "n"])
+                yield from (mined.slice(at, BATCH_ROWS) for at in range(0, mined.num_rows, BATCH_ROWS))
 
     return run
 
