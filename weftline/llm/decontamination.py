@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.memos import remembered
 from weftline.plans.sizing import broadcast_if_small
 from weftline.sources.workspace import stage
 
@@ -67,12 +68,10 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
     """One hash per token, 0 where it holds no word."""
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    known = remembered(_WordHashes, _WordHashes)
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:

@@ -39,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.memos import remembered
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1200
@@ -402,15 +404,9 @@ class Labeller(dict):
             yield places, group
 
 
-_labellers: dict[object, Labeller] = {}
-
-
 def _labeller(shared) -> Labeller:
     """One per model and Python worker, kept between tasks."""
-    if shared.id not in _labellers:
-        _labellers.clear()
-        _labellers[shared.id] = Labeller(shared.value)
-    return _labellers[shared.id]
+    return remembered((Labeller, shared.id), lambda: Labeller(shared.value))
 
 
 class _Shared:

@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.memos import remembered
 from weftline.plans.sizing import broadcast_if_small
 from weftline.sources.workspace import stage
 
@@ -79,15 +80,13 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def shingles(text: bytes | None) -> np.ndarray:
     """The sorted hashes of the distinct shingles."""
     words = (text or b"").lower().split()  # bytes: ASCII white space and A-Z only
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)] if words else [], np.uint64)
-    codes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    known = remembered(_WordHashes, _WordHashes)
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(words) - SHINGLE + 1
     mixed = codes[:n] * _PLACES[0]
     for i in range(1, SHINGLE):

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from weftline.llm.memos import remembered
 from weftline.sources.workspace import stage
 
 CAPACITY = 2048
@@ -116,14 +117,8 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_tokenizers: dict[int, WordIds] = {}
-
-
 def _word_ids(tokenizer: str) -> WordIds:
-    key = hash(tokenizer)
-    if key not in _tokenizers:
-        _tokenizers[key] = WordIds(tokenizer)
-    return _tokenizers[key]
+    return remembered((WordIds, hash(tokenizer)), lambda: WordIds(tokenizer))
 
 
 def _groups(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -225,6 +220,13 @@ def _sweep(pieces: np.ndarray, used: np.ndarray, gaps: np.ndarray) -> list[tuple
     return matches
 
 
+def _match_table(matches: list[tuple[int, int, int, int, int]]) -> pa.Table:
+    """The matches as Arrow columns: Spark takes them without a Python worker, which a
+    list of rows needs on the executors beside those of the operators."""
+    kinds = {"length": pa.int64(), "first": pa.int64(), "last": pa.int64(), "gap": pa.int32(), "gap_first": pa.int64()}
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*matches, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``key, sequence_id, offset`` of every row of ``pieces`` (key, length); keys are
     distinct and lengths go from 1 to ``capacity``."""
@@ -252,9 +254,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         else:
             ranked = _ranked(open_.where(F.col("gap") >= shortest), "gap", "sequence_id")
         matches = _sweep(left, used, gaps)
-        plan = spark.createDataFrame(
-            matches, "length bigint, first bigint, last bigint, gap int, gap_first bigint"
-        )  # at most two rows per size
+        plan = spark.createDataFrame(_match_table(matches))  # at most two rows per size
         chosen = (
             items.join(F.broadcast(plan), "length")
             .where(F.col("rank").between(F.col("first"), F.col("last")))
