@@ -1,6 +1,9 @@
 import math
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,55 @@ def test_siblings_are_left_out(spark):
     assert not set(leaves[200:]) & set(reached.tolist())
 
 
+def test_routes_of_vectors_without_clusters_are_bounded():
+    """Every window reaches every leaf: the pairs are not held at once, and a query is a
+    row for a shard, not for a leaf."""
+    draw = np.random.default_rng(8)
+    sample = draw.integers(-99, 99, (3000, 24)).astype(np.int64)
+    tree = negatives.grow_tree(sample, 3000, float((sample * sample).sum(1).max()), leaf_rows=8)
+    leaves = negatives._descend(tree, tree.lifted(sample), tree.lo, tree.hi)
+    shards = negatives.shards_of(np.bincount(leaves, minlength=tree.leaves), 1000)
+    n = 1500
+    windows = {"keys": [0, 1, 2, 3, 4], "lows": [negatives.LEAST] * 5, "highs": [negatives.MOST] * 5}
+    columns = {name: pa.array([each] * n, pa.list_(pa.int64())) for name, each in windows.items()}
+    vectors = pa.array([v.astype("<i4").tobytes() for v in sample[:n]])
+    batch = pa.record_batch({"anchor_id": pa.array(range(n)), "label": pa.array([1] * n), "vector": vectors, **columns})
+    held, cut = SimpleNamespace(value=tree), SimpleNamespace(value=shards)
+    rows = met = 0
+    tracemalloc.start()
+    for chosen in negatives._choose_first(held)(iter([batch])):
+        for rest in negatives._route_rest(held, cut)(iter([chosen])):
+            rows, met = rows + rest.num_rows, met + len(rest.column("leaves").flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met == n * (tree.leaves - negatives.FIRST_LEAVES) and rows <= n * (shards.max() + 1)
+    assert n * 5 * tree.leaves > 5 * negatives.ROUTED_AT_ONCE and peak < 150e6
+
+
+def test_leaves_form_shards():
+    assert negatives.shards_of(np.array([3, 3, 0, 5, 9, 1]), 6).tolist() == [0, 0, 0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("low", [0.1, 0.9])
+def test_best_of_windows(low):
+    """Few and many candidates of overlapping windows."""
+    draw = np.random.default_rng(2)
+    scores, fits = draw.integers(0, 50, (7, 200)), draw.random((7, 200)) < low
+    edges = [[(0, 49), (40, 45), (48, 3)], [], [(49, 49)], [(47, 49), (0, 1)], [], [(30, 40)], [(0, 20), (10, 30)]]
+    keys, lows, highs = ([list(range(len(w))) for w in edges], *([[pair[n] for pair in w] for w in edges] for n in (0, 1)))
+    found = sorted(
+        tuple(int(x) for x in row)
+        for part in negatives._best_of_windows(scores, fits, keys, lows, highs, 4)
+        for row in zip(*part, strict=True)
+    )
+    expected = []
+    for q, windows in enumerate(edges):
+        for key, (least, most) in enumerate(windows):
+            inside = [(-scores[q, c], c) for c in range(200) if fits[q, c] and least <= scores[q, c] <= most]
+            expected += [(q, key, int(c), int(-s)) for s, c in sorted(inside)[:4]]
+    assert found == sorted(expected)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

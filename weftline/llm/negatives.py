@@ -13,9 +13,13 @@ anchor.
   twice: some leaves near the annulus give a bound for the k-th score, then the
   narrowed annulus chooses among all others.
 
-A leaf and the anchors that reach it meet in groups of bounded size: leaves and
-their visitors are cut into slices by the hash of their ids, so a hot leaf is many
-groups. No pair leaves a group unless it is among the k best there.
+Neighbouring leaves form shards of bounded size, and an anchor goes once to a shard,
+with the leaves of it that it reaches. A shard and its visitors meet in groups of
+bounded size: visitors, and the rows of a leaf too large for a shard, are cut into
+slices by the hash of their ids, so a hot leaf is many groups. No pair leaves a group
+unless it is among the k best there. Routes are found for so many anchors at a time
+that a window and a leaf of it fit ``ROUTED_AT_ONCE`` times: where vectors have no
+clusters, almost every window reaches almost every leaf.
 
 Defined results: rows without an id, a label, a vector or with a component that is
 null or not finite take no part. Of the rows of one id the least by (label, vector)
@@ -32,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +50,8 @@ SLICE_ROWS = 20_000
 SLICE_QUERIES = 4_000
 FIRST_LEAVES = 3
 SCORED_AT_ONCE = 2_000_000
+ROUTED_AT_ONCE = 1_000_000
+ROUTED_TOGETHER = 256  # queries of a task
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # percent of the positive's score
@@ -66,13 +73,13 @@ def _whole(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = component_bound(width)
         for batch in batches:
-            out, squares = [], []
-            for values in batch.column(2):
-                row = np.zeros(width, np.int64)
-                held = np.asarray(values.as_py(), np.float64)
-                row[: len(held)] = np.clip(np.floor(SCALE * held), -bound, bound)
-                out.append(row.astype("<i4").tobytes())
-                squares.append(int(row @ row))
+            lists = batch.column(2)
+            row = pc.list_parent_indices(lists).to_numpy()
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            whole = np.zeros((batch.num_rows, width), np.int64)
+            whole[row, place] = np.clip(np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False)), -bound, bound)
+            out = [one.tobytes() for one in whole.astype("<i4")]
+            squares = np.einsum("ij,ij->i", whole, whole)
             arrays = [batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(squares, pa.int64())]
             yield pa.record_batch(arrays, ["vec_id", "label", "vector", "square"])
 
@@ -239,15 +246,32 @@ def _with_ranges(tree: Tree, ranges: DataFrame) -> Tree:
 
 @dataclass
 class Index:
-    """The stored vectors by leaf (vec_id, label, vector, leaf), the tree, the rows of
-    each leaf and the labels that each leaf holds."""
+    """The stored vectors by leaf (vec_id, label, vector, leaf, shard), the tree, the
+    shard of each leaf (also as a table), the rows of each shard and its labels."""
 
     rows: DataFrame
     tree: Broadcast
+    shards: Broadcast
+    places: DataFrame
     sizes: DataFrame
     labels: DataFrame
 
 
+def shards_of(leaf_rows: np.ndarray, most: int) -> np.ndarray:
+    """The shard of each leaf: neighbours together as long as they hold ``most`` rows."""
+    out, shard, held = np.zeros(len(leaf_rows), np.int32), 0, 0
+    for leaf, rows in enumerate(leaf_rows.tolist()):
+        if held and held + rows > most:
+            shard, held = shard + 1, 0
+        out[leaf], held = shard, held + rows
+    return out
+
+
+def _with_shard(leaves: DataFrame, places: DataFrame) -> DataFrame:
+    own = places.select(F.col("leaf").alias("leaf"), F.col("shard").alias("shard"))  # columns of its own in each join
+    return leaves.join(F.broadcast(own), "leaf")
+
+
 def build_index(vectors: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Index:
     """Index every row of ``whole_vectors`` (a stored table)."""
     spark = vectors.sparkSession
@@ -259,8 +283,19 @@ def build_index(vectors: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int
     tree = _with_ranges(tree, placed.where("node IS NOT NULL"))
     rows = placed.where("leaf IS NOT NULL").select("vec_id", "label", "vector", "leaf")
     sizes = stage(rows.groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("n")), "leaves")
+    counted = sizes.groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()  # leaves come from the sample
+    leaf_sizes = np.zeros(tree.leaves, np.int64)
+    leaf_sizes[counted.column("leaf").to_numpy()] = counted.column("n").to_numpy()
+    shards = shards_of(leaf_sizes, SLICE_ROWS)
+    places = spark.createDataFrame(pa.table({"leaf": np.arange(tree.leaves, dtype=np.int32), "shard": shards}))
+    rows, sizes = (_with_shard(df, places) for df in (rows, sizes))
     return Index(
-        rows, spark.sparkContext.broadcast(tree), sizes.groupBy("leaf").agg(F.sum("n").alias("n")), sizes.select("leaf", "label")
+        rows,
+        spark.sparkContext.broadcast(tree),
+        spark.sparkContext.broadcast(shards),
+        places,
+        sizes.groupBy("shard").agg(F.sum("n").alias("n")),
+        sizes.select("shard", "label").distinct(),
     )
 
 
@@ -269,6 +304,7 @@ def build_index(vectors: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int
 # keys (what the window is for), lows, highs (bounds of the score).
 
 QUERY = "anchor_id bigint, label bigint, vector binary, keys array<bigint>, lows array<bigint>, highs array<bigint>, first array<int>"
+ROUTE = f"{QUERY}, shard int, leaves array<int>"
 FOUND = "anchor_id bigint, key bigint, vec_id bigint, score bigint"
 
 
@@ -299,60 +335,78 @@ def reached_leaves(tree: Tree, anchors: np.ndarray, owner: np.ndarray, inner: np
         node, rows = waiting.pop()
         if not len(rows):
             continue
-        apart = _distances(anchors, tree.points[node])[owner[rows]]
+        asked, at = np.unique(owner[rows], return_inverse=True)
+        apart = _distances(anchors[asked], tree.points[node])
         lo, hi = tree.lo[node], tree.hi[node]
+        nearest = np.maximum(lo - apart[:, :, None], apart[:, :, None] - hi).max(1)
+        farthest = (apart[:, :, None] + hi).min(1)
+        own = (nearest[at] <= outer[rows, None] + slack) & (farthest[at] >= inner[rows, None] - slack)
         for j, child in enumerate(tree.children[node]):
-            nearest = np.maximum(lo[:, j] - apart, apart - hi[:, j]).max(1)
-            farthest = (apart + hi[:, j]).min(1)
-            own = (nearest <= outer[rows] + slack) & (farthest >= inner[rows] - slack)
+            met = np.flatnonzero(own[:, j])
             if child >= 0:
-                windows.append(rows[own])
-                leaves.append(np.full(int(own.sum()), child))
-                gaps.append(np.abs(apart[own, j] - inner[rows[own]]))
+                windows.append(rows[met])
+                leaves.append(np.full(len(met), child))
+                gaps.append(np.abs(apart[at[met], j] - inner[rows[met]]))
             else:
-                waiting.append((int(-1 - child), rows[own]))
+                waiting.append((int(-1 - child), rows[met]))
     if not windows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(windows), np.concatenate(leaves), np.concatenate(gaps)
 
 
-def _routes(tree: Broadcast, batch: pa.RecordBatch):
-    """(query, leaf, gap) without repeats, nearest first within a query."""
-    vectors = _matrix(batch.column("vector"))
-    owner, inner, outer = _radii(tree.value, vectors, batch.column("lows").to_pylist(), batch.column("highs").to_pylist())
-    window, leaf, gap = reached_leaves(tree.value, _anchored(vectors), owner, inner, outer)
-    query = owner[window]
-    order = np.lexsort((gap, leaf, query))
-    query, leaf, gap = query[order], leaf[order], gap[order]
-    new = np.ones(len(query), bool)
-    new[1:] = (query[1:] != query[:-1]) | (leaf[1:] != leaf[:-1])
-    query, leaf, gap = query[new], leaf[new], gap[new]
-    order = np.lexsort((leaf, gap, query))
-    return query[order], leaf[order]
+def _routed(tree: Tree, batch: pa.RecordBatch):
+    """The queries of ``batch`` in parts, each with (query, leaf, gap) of its windows. A
+    part has so few that its windows and all leaves make at most ``ROUTED_AT_ONCE`` pairs."""
+    windows = pc.list_value_length(batch.column("lows")).to_numpy()
+    most = max(1, ROUTED_AT_ONCE // (tree.leaves * max(1, int(windows.max(initial=0)))))
+    for start in range(0, batch.num_rows, most):
+        part = batch.slice(start, most)
+        vectors = _matrix(part.column("vector"))
+        owner, inner, outer = _radii(tree, vectors, part.column("lows").to_pylist(), part.column("highs").to_pylist())
+        window, leaf, gap = reached_leaves(tree, _anchored(vectors), owner, inner, outer)
+        yield part, owner[window], leaf, gap
 
 
 def _choose_first(tree: Broadcast):
+    """Of each query the leaves of least gap, ties to the lower leaf."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                query, leaf = _routes(tree, batch)
-                starts = np.searchsorted(query, np.arange(batch.num_rows + 1))
-                chosen = [leaf[a : min(b, a + FIRST_LEAVES)].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield batch.append_column("first", pa.array(chosen, pa.list_(pa.int32())))
+            for part, query, leaf, gap in _routed(tree.value, batch):
+                near = np.full((part.num_rows, tree.value.leaves), np.inf)
+                np.minimum.at(near, (query, leaf), gap)
+                every, chosen = np.arange(part.num_rows), np.full((part.num_rows, FIRST_LEAVES), -1, np.int32)
+                for n in range(FIRST_LEAVES):
+                    least = near.argmin(1)
+                    found = np.isfinite(near[every, least])
+                    chosen[found, n] = least[found]
+                    near[every, least] = np.inf
+                yield part.append_column("first", pa.array([c[c >= 0].tolist() for c in chosen], pa.list_(pa.int32())))
 
     return run
 
 
-def _route_rest(tree: Broadcast):
+def _route_rest(tree: Broadcast, shards: Broadcast):
+    """A row for each query and shard: the leaves there that are not among its first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                query, leaf = _routes(tree, batch)
-                seen = batch.column("first").to_pylist()
-                at = np.array([n for n, (q, f) in enumerate(zip(query, leaf, strict=True)) if f not in seen[q]], np.int64)
-                for part in np.array_split(at, max(1, len(at) // 10_000)):
-                    rows = batch.take(pa.array(query[part]))
-                    yield rows.append_column("leaf", pa.array(leaf[part], pa.int32()))
+            for part, query, leaf, _ in _routed(tree.value, batch):
+                reached = np.zeros((part.num_rows, tree.value.leaves), bool)
+                reached[query, leaf] = True
+                first = part.column("first")
+                reached[pc.list_parent_indices(first).to_numpy(), first.flatten().to_numpy()] = False
+                query, leaf = np.nonzero(reached)
+                shard = shards.value[leaf]
+                starts = np.flatnonzero(np.diff(query, prepend=-1) | np.diff(shard, prepend=-1))
+                ends = np.append(starts[1:], len(leaf))
+                for at in range(0, len(starts), 10_000):
+                    a, b = starts[at : at + 10_000], ends[at : at + 10_000]
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.append(a, b[-1]) - a[0], pa.int32()), pa.array(leaf[a[0] : b[-1]], pa.int32())
+                    )
+                    rows = part.take(pa.array(query[a])).append_column("shard", pa.array(shard[a], pa.int32()))
+                    yield rows.append_column("leaves", lists)
 
     return run
 
@@ -371,27 +425,76 @@ def best_in_window(scores: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.
     return row[best], at[best]
 
 
+def _best_of_windows(scores: np.ndarray, fits: np.ndarray, keys: list, lows: list, highs: list, k: int):
+    """(query, key, column, score) of the k best fitting columns in each window of each
+    row of ``scores``; ties to the lower column."""
+    owner = np.repeat(np.arange(len(keys)), [len(w) for w in keys])
+    key, low, high = (np.array([x for w in side for x in w], np.int64) for side in (keys, lows, highs))
+    lowest, highest = np.full(len(keys), MOST), np.full(len(keys), LEAST)
+    np.minimum.at(lowest, owner, low)
+    np.maximum.at(highest, owner, high)
+    inside = fits & (scores >= lowest[:, None]) & (scores <= highest[:, None])
+    if np.count_nonzero(inside) > inside.size // 8:
+        step = max(1, SCORED_AT_ONCE // scores.shape[1])
+        for at in range(0, len(owner), step):
+            rows = owner[at : at + step]
+            held = inside[rows] & (scores[rows] >= low[at : at + step, None]) & (scores[rows] <= high[at : at + step, None])
+            row, column = best_in_window(scores[rows], held, k)
+            yield rows[row], key[at + row], column, scores[rows[row], column]
+        return
+    row, column = np.nonzero(inside)
+    score = scores[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+    for n in range(int(nth.max(initial=-1)) + 1):
+        window = np.full(len(keys), -1)
+        window[owner[nth == n]] = np.flatnonzero(nth == n)
+        own = window[row]
+        at = np.flatnonzero((own >= 0) & (score >= low[own]) & (score <= high[own]))
+        at = at[np.arange(len(at)) - np.searchsorted(row[at], row[at], side="left") < k]
+        yield row[at], key[own[at]], column[at], score[at]
+
+
+def _visits(asked: pa.Table, leaves: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``leaves`` each row of ``asked`` has come to."""
+    lists = asked.column("leaves").combine_chunks()
+    row, leaf = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(leaves, leaf), len(leaves) - 1)
+    here = leaves[at] == leaf
+    out = np.zeros((asked.num_rows, len(leaves)), bool)
+    out[row[here], at[here]] = True
+    return out
+
+
 def _search_group(k: int, same: bool):
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if held.num_rows and asked.num_rows:
             held = held.sort_by("vec_id")
             ids, labels = held.column("vec_id").to_numpy(), held.column("label").to_numpy()
+            leaves, leaf = np.unique(held.column("leaf").to_numpy(), return_inverse=True)
             vectors = _matrix(held.column("vector"))
-            step = max(1, SCORED_AT_ONCE // held.num_rows)
-            for start in range(0, asked.num_rows, step):
-                part = asked.slice(start, step)
-                anchors, own = part.column("anchor_id").to_numpy(), part.column("label").to_numpy()
-                scores = _products(_matrix(part.column("vector")), vectors)
-                fits = ((labels == own[:, None]) == same) & (ids != anchors[:, None])
-                windows = [part.column(c).to_pylist() for c in ("keys", "lows", "highs")]
-                owner = np.repeat(np.arange(len(anchors)), [len(w) for w in windows[0]])
-                key, low, high = (np.array([x for w in side for x in w], np.int64) for side in windows)
-                for at in range(0, len(owner), step):
-                    rows = owner[at : at + step]
-                    inside = fits[rows] & (scores[rows] >= low[at : at + step, None]) & (scores[rows] <= high[at : at + step, None])
-                    row, column = best_in_window(scores[rows], inside, k)
-                    out.append((anchors[rows[row]], key[at + row], ids[column], scores[rows[row], column]))
+            asked = asked.take(pc.sort_indices(pc.list_element(asked.column("leaves").combine_chunks(), 0)))
+            own = asked.column("label").to_numpy()
+            everyone = [(np.arange(len(own)), np.arange(len(ids)))]
+            meet = ((np.flatnonzero(own == m), np.flatnonzero(labels == m)) for m in np.intersect1d(own, labels)) if same else everyone
+            for queries, rows in meet:
+                step = max(1, SCORED_AT_ONCE // len(rows))
+                for start in range(0, len(queries), step):
+                    part = asked.take(pa.array(queries[start : start + step]))
+                    comes = _visits(part, leaves)
+                    at = rows[comes.any(0)[leaf[rows]]]
+                    if not len(at):
+                        continue
+                    anchors = part.column("anchor_id").to_numpy()
+                    scores = _products(_matrix(part.column("vector")), vectors[at])
+                    fits = comes[:, leaf[at]] & (ids[at] != anchors[:, None])
+                    if not same:
+                        fits &= labels[at] != part.column("label").to_numpy()[:, None]
+                    windows = [part.column(c).to_pylist() for c in ("keys", "lows", "highs")]
+                    for row, key, column, score in _best_of_windows(scores, fits, *windows, k):
+                        out.append((anchors[row], key, ids[at[column]], score))
         columns = [np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in range(4)]
         return pa.table(dict(zip(["anchor_id", "key", "vec_id", "score"], columns, strict=True)))
 
@@ -399,22 +502,23 @@ def _search_group(k: int, same: bool):
 
 
 def _best_in_leaves(index: Index, routes: DataFrame, k: int, same: bool) -> DataFrame:
-    """The k best per window and group among the leaves it is sent to."""
+    """The k best per window and group among the leaves it is sent to. ``routes`` has
+    the shard and, in it, ``leaves``."""
     if same:
-        routes = routes.join(index.labels, ["leaf", "label"], "left_semi")
+        routes = routes.join(index.labels, ["shard", "label"], "left_semi")
     slices = lambda n, rows: F.ceil(F.col(n) / rows).cast("int")
-    asked = routes.groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"))
-    shapes = index.sizes.join(asked, "leaf").select(
-        "leaf", slices("n", SLICE_ROWS).alias("rows"), slices("asked", SLICE_QUERIES).alias("visits")
+    asked = routes.groupBy("shard").agg(F.count(F.lit(1)).alias("asked"))
+    shapes = index.sizes.join(asked, "shard").select(
+        "shard", slices("n", SLICE_ROWS).alias("rows"), slices("asked", SLICE_QUERIES).alias("visits")
     )
     shapes = F.broadcast(shapes)  # at most a row per leaf, and leaves come from the sample
     slot = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = index.rows.join(shapes, "leaf").withColumn("row_slice", slot("vec_id", "rows")).withColumn("visit_slice", every("visits"))
-    come = routes.join(shapes, "leaf").withColumn("visit_slice", slot("anchor_id", "visits")).withColumn("row_slice", every("rows"))
-    group = ["leaf", "row_slice", "visit_slice"]
-    held = held.select(*group, "vec_id", "label", "vector")
-    come = come.select(*group, "anchor_id", "label", "vector", "keys", "lows", "highs")
+    held = index.rows.join(shapes, "shard").withColumn("row_slice", slot("vec_id", "rows")).withColumn("visit_slice", every("visits"))
+    come = routes.join(shapes, "shard").withColumn("visit_slice", slot("anchor_id", "visits")).withColumn("row_slice", every("rows"))
+    group = ["shard", "row_slice", "visit_slice"]
+    held = held.select(*group, "vec_id", "label", "vector", "leaf")
+    come = come.select(*group, "anchor_id", "label", "vector", "keys", "lows", "highs", "leaves")
     return held.groupBy(*group).cogroup(come.groupBy(*group)).applyInArrow(_search_group(k, same), FOUND)
 
 
@@ -434,13 +538,15 @@ def search_windows(index: Index, anchors: DataFrame, windows: DataFrame, k: int,
         own = anchors.select(F.col("vec_id").alias("anchor_id"), "label", "vector")
         return own.join(each.select("anchor_id", *arrays), "anchor_id")
 
-    queries = stage(packed(windows).mapInArrow(_choose_first(index.tree), QUERY), "queries")
-    routes = queries.select("*", F.explode("first").alias("leaf"))
-    first = stage(_best_in_leaves(index, routes, k, same), "found")
+    # Few and small rows that are much work: Spark would put them into one task.
+    spread = lambda held: held.repartition(math.ceil(anchors.count() / ROUTED_TOGETHER) or 1, "anchor_id")
+    queries = stage(spread(packed(windows)).mapInArrow(_choose_first(index.tree), QUERY), "queries")
+    routes = _with_shard(queries.select("*", F.explode("first").alias("leaf")), index.places)
+    first = stage(_best_in_leaves(index, routes.withColumn("leaves", F.array("leaf")), k, same), "found")
     bound = _ranked(first, k).where(F.col("rank") == k).select("anchor_id", "key", F.col("score").alias("bound"))
     narrowed = windows.join(bound, ["anchor_id", "key"], "left").withColumn("low", F.greatest("low", "bound"))
-    queries = packed(narrowed).join(queries.select("anchor_id", "first"), "anchor_id")
-    routes = stage(queries.mapInArrow(_route_rest(index.tree), f"{QUERY}, leaf int"), "routes")
+    queries = spread(packed(narrowed).join(queries.select("anchor_id", "first"), "anchor_id"))
+    routes = stage(queries.mapInArrow(_route_rest(index.tree, index.shards), ROUTE), "routes")
     return _ranked(first.unionByName(_best_in_leaves(index, routes, k, same)), k)
 
 
