@@ -124,3 +124,54 @@ def test_queries_without_known_terms(spark, docs):
     empty = new_store(spark)
     ranking.publish_postings(empty, docs.limit(0))
     assert ranking.ranked_search(empty, docs.limit(3).withColumnRenamed("doc_id", "item_id")).isEmpty()
+
+
+def test_postings_are_not_shuffled(spark, docs, monkeypatch):
+    """Counted terms go to their range once, a row for each document, and are not stored."""
+    plans, staged = {}, {}
+    write, kept = VersionStore.write, ranking.stage
+
+    def planned(store, df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(store, df, name, *rest)
+
+    def noted(df, name):
+        staged[name] = df.columns
+        return kept(df, name)
+
+    monkeypatch.setattr(VersionStore, "write", planned)
+    monkeypatch.setattr(ranking, "stage", noted)
+    ranking.publish_postings(new_store(spark), docs, 16)
+    assert plans[ranking.BLOCKS].count("Exchange hashpartitioning") == 1 and "Generate" not in plans[ranking.BLOCKS]
+    assert not any("terms" in columns for columns in staged.values())
+
+
+def test_a_range_gives_at_most_k_rows_a_query(spark, tiny, docs):
+    store = new_store(spark)
+    ranking.publish_postings(store, docs, 64)
+    asked = stage(ranking.query_terms(store, load_table(spark, tiny, "benchmark")), "asked")
+    bounds = stage(ranking.range_bounds(store, asked), "bounds")
+    every = stage(ranking._scores(store, asked, bounds), "every")
+    best = stage(ranking._scored(store, asked, bounds, 2), "best")
+    assert best.count() <= 2 * bounds.count() < every.count()
+    same_rows(ranking._best(best, 2), ranking._best(every, 2))
+    bar = ranking._best(every, 2).where("rank = 2").select("item_id", F.col("score").alias("bar"))
+    above = stage(ranking._scored(store, asked, bounds.join(bar, "item_id"), 2), "above")
+    assert above.join(bar, "item_id").where("score < bar").isEmpty()
+    same_rows(ranking._best(above, 2), ranking._best(every, 2))
+
+
+def test_rows_of_one_id_count_together(spark):
+    """Whatever their lengths and so their ranges; also rows without an id."""
+    words = ["ant", "bee", "cat", "dog", "elk", "fox", "gnu", "hen"]
+    texts = [(i, " ".join(words[(i * n) % 8] for n in range(1 + i % 13))) for i in range(60)]
+    texts += [(3, "ant " * 40 + "bee"), (3, "bee"), (7, "cat dog " * 30), (None, "ant"), (None, "bee cat " * 20), (61, None)]
+    docs = stage(spark.createDataFrame(texts, "doc_id bigint, text string"), "docs")
+    asked = spark.createDataFrame([(1, "ant bee"), (2, "cat"), (3, "hen gnu cat")], "item_id bigint, text string")
+    found = []
+    for range_documents in (2, 10_000):
+        store = new_store(spark)
+        ranking.publish_postings(store, docs, range_documents)
+        found.append(stage(ranking.ranked_search(store, asked, 6), "found"))
+    same_rows(*found)
+    assert found[0].select("item_id", "doc_id").distinct().count() == found[0].count() == 18
