@@ -25,6 +25,7 @@ from weftline.sources.workspace import stage
 
 RANGE_DOCUMENTS = 256
 FIRST_RANGES = 4
+MAX_TRAVELLING_QUERIES = 10_000
 BLOCKS, TERMS, CORPUS = "term-blocks", "terms", "corpus"
 ROUNDING = 1e-5  # scores are rounded to 6 decimals
 
@@ -111,7 +112,7 @@ def _scored(store: VersionStore, asked: DataFrame, ranges: DataFrame, k: int | N
     each = asked.groupBy("item_id").agg(F.collect_list(F.struct("term", "idf")).alias("w"))
     each = each.select("item_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("idfs"))
     bar = F.col("bar") if "bar" in ranges.columns else F.lit(None).cast("double").alias("bar")
-    wanted = ranges.select("item_id", "range", bar).join(broadcast_if_small(each), "item_id")
+    wanted = ranges.select("item_id", "range", bar).join(broadcast_if_small(each, MAX_TRAVELLING_QUERIES), "item_id")
     held = store.current(BLOCKS).select("term", "range", "doc_ids", "weights")
     for part in (asked.select("term"), ranges.select("range")):
         held = held.join(broadcast_if_small(part.distinct()), part.columns, "left_semi")
